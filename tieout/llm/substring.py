@@ -126,66 +126,83 @@ class Packer:
         sent[hits] = False
         sent[one] = True
         if len(hits):
-            at = hits[np.argsort(keys[hits], kind="stable")]
-            yield self._rows(np.zeros(len(at), np.int64), True, keys[at], places[at] & ~PROVEN, None, int(keys[at[0]]) & (1 << self.bits) - 1)
+            yield pack_hits(keys[hits], places[hits] & ~PROVEN, self.bits)
         high, low, keys, places = high[sent], low[sent], keys[sent], places[sent]
-        bucket = (high >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(high), np.int64)
+        bucket = top_bits(high, self.bits)
         prints = low if self.wide else ((high << U64(self.bits)) >> U64(32)).astype(np.uint32)
         order = np.argsort(bucket, kind="stable")
         if len(order):
-            yield self._rows(bucket[order], False, keys[order], places[order], prints[order])
-
-    def _rows(self, bucket, hit, keys, places, prints, to: int | None = None) -> pa.RecordBatch:
-        cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]).tolist()
-        out: dict[str, list] = {c: [] for c in PACKED.names}
-        for a, b in zip(cuts, cuts[1:]):
-            k = keys[a:b]
-            runs = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [b - a]])
-            row = (int(bucket[a]) if to is None else to, hit, k[runs[:-1]].astype("<i8").tobytes(), planes(np.diff(runs)), planes(places[a:b]), b"" if prints is None else prints[a:b].tobytes())
-            for c, x in zip(out.values(), row):
-                c.append(x)
-        return pa.RecordBatch.from_pydict(out, PACKED)
-
-
-def hit_rows(keys: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (key, places) of hits, 20,000 at a time."""
-    order = np.lexsort((places, keys))
-    keys, places = keys[order], places[order].astype("<u4")
-    cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-    for at in range(0, len(cuts) - 1, 20_000):
-        own = cuts[at : at + 20_001].tolist()
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys[own[:-1]]), "places": pa.array([places[a:b].tobytes() for a, b in zip(own, own[1:])], pa.binary())})
-
-
-def _resolve_batches(batches: Iterator[pa.RecordBatch], block: int, wide: bool) -> Iterator[pa.RecordBatch]:
-    """The rows of a bucket come together."""
-    bucket, held = None, []
-
-    def unpacked(row) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(np.frombuffer(row[0], "<i8"), from_planes(row[1])), from_planes(row[2])
-
-    def ended() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        keys, places = map(np.concatenate, zip(*map(unpacked, held)))
-        prints = np.concatenate([np.frombuffer(row[3], "<u8" if wide else "<u4") for row in held])
-        held.clear()
-        proven = places & PROVEN != 0
-        places = places & ~PROVEN
-        hits, _ = repeated(prints, keys, places, block, proven)
-        if len(hits):
-            yield from hit_rows(keys[hits], places[hits])
+            yield pack(bucket[order], False, keys[order], places[order], prints[order])
+
+
+
+def pack(bucket: np.ndarray, hit: bool, keys: np.ndarray, places: np.ndarray, prints: np.ndarray | None) -> pa.RecordBatch:
+    """One row for each bucket; bucket is sorted, and keys within it."""
+    cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]).tolist()
+    out: dict[str, list] = {c: [] for c in PACKED.names}
+    for a, b in zip(cuts, cuts[1:]):
+        k = keys[a:b]
+        runs = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [b - a]])
+        own = (k[runs[:-1]].astype("<i8").tobytes(), planes(np.diff(runs)), planes(places[a:b]), b"" if prints is None else prints[a:b].tobytes())
+        for c, x in zip(out.values(), (int(bucket[a]), hit, *own)):
+            c.append(x)
+    return pa.RecordBatch.from_pydict(out, PACKED)
+
+
+def top_bits(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
+
+def pack_hits(keys: np.ndarray, places: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Hits by buckets of their keys."""
+    bucket = top_bits(mixed(keys.view(U64)), bits)
+    order = np.lexsort((places, keys, bucket))
+    return pack(bucket[order], True, keys[order], places[order], None)
+
+
+def _unpacked(row) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.frombuffer(row[0], "<i8"), from_planes(row[1])), from_planes(row[2])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """(entries, hits) of each bucket, whose rows come together."""
+    bucket, held = None, ([], [])
     for batch in batches:
         for now, hit, *row in zip(*(batch.column(c).to_pylist() for c in PACKED.names)):
-            if hit:
-                yield from hit_rows(*unpacked(row))
-                continue
             if now != bucket:
-                yield from ended()
-                bucket = now
-            held.append(row)
-    yield from ended()
+                yield held
+                bucket, held = now, ([], [])
+            held[hit].append(row)
+    yield held
+
+
+def _resolve_batches(batches: Iterator[pa.RecordBatch], block: int, wide: bool, bits: int) -> Iterator[pa.RecordBatch]:
+    """The hits of a bucket's entries, by buckets of their keys; hits found before go on."""
+    for entries, hits in _by_bucket(batches):
+        for row in hits:
+            yield pack_hits(*_unpacked(row), bits)
+        if entries:
+            keys, places = map(np.concatenate, zip(*map(_unpacked, entries)))
+            prints = np.concatenate([np.frombuffer(row[3], "<u8" if wide else "<u4") for row in entries])
+            proven = places & PROVEN != 0
+            places = places & ~PROVEN
+            found, _ = repeated(prints, keys, places, block, proven)
+            if len(found):
+                yield pack_hits(keys[found], places[found], bits)
+
+
+def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (key, places) for each text with hits."""
+    for _, hits in _by_bucket(batches):
+        if not hits:
+            continue
+        keys, places = map(np.concatenate, zip(*map(_unpacked, hits)))
+        order = np.lexsort((places, keys))
+        keys, places = keys[order], places[order].astype("<u4")
+        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        for at in range(0, len(cuts) - 1, 5000):
+            own = cuts[at : at + 5001].tolist()
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys[own[:-1]]), "places": pa.array([places[a:b].tobytes() for a, b in zip(own, own[1:])], pa.binary())})
 
 
 def _probe_batches(batches: Iterator[pa.RecordBatch], bits: int, window: int) -> Iterator[pa.RecordBatch]:
@@ -219,7 +236,7 @@ def _window_batches(batches: Iterator[pa.RecordBatch], bits: int, window: int) -
             words = texts[k].as_py().encode().split()
             h = word_hashes(words)
             high, low = rolling(h, window), rolling(mixed(h ^ BASE), window)
-            found = np.concatenate([np.frombuffer(x, "<u4") for x in hits[k].as_py()]).astype(np.int64)
+            found = np.frombuffer(hits[k].as_py(), "<u4").astype(np.int64)
             step = np.zeros(len(high) + block + 1, np.int64)  # a window around a hit starts up to window - block before
             np.add.at(step, np.maximum(found - (window - block), 0), 1)
             np.add.at(step, np.minimum(found + 1, len(step) - 1), -1)
@@ -237,7 +254,7 @@ def _keep_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
             removed, kept = [], []
             for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
                 words = text.encode().split()
-                found = np.concatenate([np.frombuffer(x, "<u4") for x in starts]).astype(np.int64)
+                found = np.frombuffer(starts, "<u4").astype(np.int64)
                 step = np.zeros(len(words) + window + 1, np.int64)
                 np.add.at(step, found, 1)
                 np.add.at(step, found + window, -1)
@@ -265,21 +282,24 @@ def buckets_for(entries: int, in_bucket: int) -> int:
     return max(0, -(-entries // in_bucket) - 1).bit_length()
 
 
-def resolve(packed: DataFrame, block: int, wide: bool) -> DataFrame:
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_resolve_batches, block=block, wide=wide), HITS_DDL)
+def resolve(packed: DataFrame, block: int, wide: bool, bits: int, name: str) -> DataFrame:
+    """Rows (key, name): the places of each text's entries that are hits."""
+    together = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    hits = together(packed).mapInArrow(partial(_resolve_batches, block=block, wide=wide, bits=bits), PACKED_DDL)
+    return together(hits).mapInArrow(_merge_batches, HITS_DDL).withColumnRenamed("places", name)
 
 
 def repeats(docs: DataFrame, n_words: int, window: int = WINDOW, in_bucket: int = IN_BUCKET) -> DataFrame:
     """Rows (key, print, n_removed, kept) of the distinct texts that have repeats, copies apart."""
     block = (window + 1) // 2
     texts = docs.select(*identity(), text_or_empty().alias("text"))
-    probes = texts.select("key", "text").mapInArrow(partial(_probe_batches, bits=buckets_for(n_words * (block // 2 + 1) // block, in_bucket), window=window), PACKED_DDL)
-    hits = write_table(resolve(probes, block, False), "substring_hits")
-    by_key = hits.groupBy("key").agg(F.collect_list("places").alias("hits"))
-    hit_texts = write_table(texts.groupBy("key", "print").agg(F.first("text").alias("text")).join(by_key, "key"), "substring_texts")
-    n_hit = hit_texts.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    windows = hit_texts.select("key", "text", "hits").mapInArrow(partial(_window_batches, bits=buckets_for(n_hit // 6, in_bucket), window=window), PACKED_DDL)
-    found = resolve(windows, 1, True).groupBy("key").agg(F.collect_list("places").alias("starts"))
+    bits = buckets_for(n_words * (block // 2 + 1) // block, in_bucket)
+    probes = texts.select("key", "text").mapInArrow(partial(_probe_batches, bits=bits, window=window), PACKED_DDL)
+    hits = write_table(resolve(probes, block, False, bits, "hits"), "substring_hits")
+    hit_texts = write_table(texts.groupBy("key", "print").agg(F.first("text").alias("text")).join(hits, "key"), "substring_texts")
+    bits = buckets_for(hit_texts.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6, in_bucket)
+    windows = hit_texts.select("key", "text", "hits").mapInArrow(partial(_window_batches, bits=bits, window=window), PACKED_DDL)
+    found = resolve(windows, 1, True, bits, "starts")
     return hit_texts.select("key", "print", "text").join(found, "key").mapInArrow(
         partial(_keep_batches, window=window), "key long, print binary, n_removed long, kept string"
     )
