@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieout.llm import bpe, classifier, license_scan, media, packing, quality_rules, sharding, simhash, substring
+from tieout.llm import bpe, classifier, license_scan, media, packing, quality_rules, sharding, simhash, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.query(documents(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(documents(spark, sf_dir))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Query]:
             op5_media,
             op6_quality_classifier,
             op7_substring_dedup,
+            op8_toxicity,
             op9_simhash,
             op10_bpe,
         )
