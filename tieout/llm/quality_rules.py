@@ -221,10 +221,14 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents kept, with their own columns."""
+    """The documents kept, with their own columns.
+
+    Documents and votes are written once: both the fit and the filter read them, and no filter is pushed below the counts,
+    where it would repeat them.
+    """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    fitted = write_table(posteriors(voted(features(docs, []))), "rule_posteriors")
-    return judge(voted(features(whole, ["_row"])), fitted).where("kept").select("_row.*")
+    votes = write_table(voted(features(whole, ["_row"])).select("_row", "pattern", "base_failed"), "rule_votes")
+    return judge(votes, write_table(posteriors(votes), "rule_posteriors")).where("kept").select("_row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
