@@ -86,7 +86,7 @@ def test_years_in_labels_are_label_text(spark):
 def test_page_without_heading_gives_nothing_and_trailing_prefix_is_told(spark):
     words = spark.createDataFrame(Page(quarters=0).text("Dear holders", 120).words + Page(page=2).text("Cash", 120).values(120, "1", "2", "3", "4").text("Lost label", 150).words, schemas.WORDS)
     assert [r["page"] for r in layout.extract(words).collect()] == [2]
-    assert [r["label"] for r in layout.trailing_prefixes(layout.roles(layout.lines(words, "X"))).collect()] == ["Lost label"]
+    assert [r["label"] for r in layout.trailing_prefixes(layout.roles(layout.labelled(layout.lines(words, "X"), True))).collect()] == ["Lost label"]
     assert layout.document_periods(words).first()["periods"] == ["Q1 2024", "Q2 2024", "Q3 2024", "Q4 2024"]
 
 

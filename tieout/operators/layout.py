@@ -55,9 +55,12 @@ def _joined(words: str | Column) -> Column:
     return F.array_join(F.transform(words, lambda w: w["text"]), " ")
 
 
-def headers(rows: DataFrame) -> DataFrame:
-    """LAY2: (doc_id, page, header_no, periods, anchors) of pages that have a row of at least four adjacent quarter and year
-    pairs; the anchors are the right edges of the years."""
+def headed(rows: DataFrame, issuer: str) -> DataFrame:
+    """LAY2, LAY3: rows of pages that have a heading, with header_no, periods, anchors and section_title.
+
+    The heading is the first row of at least four adjacent quarter and year pairs; anchors are the right edges of the
+    years; the title is what stands above, without the issuer's own lines. All are windows over the page.
+    """
     pair = lambda i: F.struct(
         F.get("words", i)["text"].alias("quarter"), F.get("words", i + 1)["text"].alias("year"), F.get("words", i + 1)["x1"].alias("anchor")
     )
@@ -65,23 +68,22 @@ def headers(rows: DataFrame) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.size("words") - 1), pair),
         lambda p: F.coalesce(fn.is_quarter(p["quarter"]) & fn.is_year(p["year"]), F.lit(False)),
     )
-    found = rows.withColumn("_pairs", pairs).where(F.size("_pairs") >= LEAST_PERIODS)
-    return found.groupBy(*PAGE).agg(F.min(F.struct("row_no", "_pairs")).alias("_h")).select(
-        *PAGE,
+    page = Window.partitionBy(*PAGE)
+    first = F.min(F.when(F.size("_pairs") >= LEAST_PERIODS, F.struct("row_no", "_pairs"))).over(page)
+    found = rows.withColumn("_pairs", pairs).withColumn("_h", first).where("_h is not null")
+    shown = F.trim("line")
+    above = F.when((F.col("row_no") < F.col("_h.row_no")) & (shown != "") & ~shown.startswith(issuer), F.struct("row_no", shown.alias("shown")))
+    titled = found.withColumn("_above", F.array_sort(F.collect_list(above).over(page)))
+    title = F.array_join(F.transform("_above", lambda x: x["shown"]), " | ")
+    return titled.select(
+        *rows.columns,
         F.col("_h.row_no").alias("header_no"),
         F.transform("_h._pairs", lambda p: F.concat_ws(" ", p["quarter"], p["year"])).alias("periods"),
         F.transform("_h._pairs", lambda p: p["anchor"]).alias("anchors"),
+        F.when(title == "", "unknown").otherwise(title).alias("section_title"),
     )
 
 
-def titles(rows: DataFrame, heads: DataFrame, issuer: str) -> DataFrame:
-    """LAY3: the lines above the heading, without the issuer's own."""
-    shown = F.trim("line")
-    above = rows.join(heads.select(*PAGE, "header_no"), PAGE).where("row_no < header_no").where((shown != "") & ~shown.startswith(issuer))
-    lines = F.array_sort(F.collect_list(F.struct("row_no", shown.alias("shown"))))
-    return above.groupBy(*PAGE).agg(F.array_join(F.transform(lines, lambda x: x["shown"]), " | ").alias("section_title"))
-
-
 def assigned(tokens: Column, anchors: Column) -> Column:
     """LAY7: an amount for each column: by place if there are as many tokens as columns, else by the nearest right edge, where
     the first that is not nil counts."""
@@ -98,9 +100,7 @@ def assigned(tokens: Column, anchors: Column) -> Column:
 
 def lines(words: DataFrame, issuer: str) -> DataFrame:
     """LAY3-LAY7: rows below the heading with label, left edge and values (null where there are none)."""
-    rows = page_rows(cluster(body_words(words)))
-    heads = headers(rows)
-    below = rows.join(heads, PAGE).where("row_no > header_no").join(titles(rows, heads, issuer), PAGE, "left")
+    below = headed(page_rows(cluster(body_words(words))), issuer).where("row_no > header_no")
     edge = F.array_min("anchors") - COLUMN_MARGIN
     is_value = lambda w: (w["x1"] > F.col("_edge")) & fn.is_value(w["text"])
     split = (
@@ -119,7 +119,7 @@ def lines(words: DataFrame, issuer: str) -> DataFrame:
         split.withColumn("_amounts", assigned(F.col("_tokens"), F.col("anchors")))
         .withColumn("values", F.when(F.size("_values") > 0, F.map_from_entries(F.transform(kept, entry))))
         .where(~F.col("label").startswith("_"))
-        .select(*PAGE, "row_no", F.coalesce("section_title", F.lit("unknown")).alias("section_title"), "label", "raw_text", "x0", "values", F.col("line").alias("source_line"))
+        .select(*PAGE, "row_no", "section_title", "label", "raw_text", "x0", "values", F.col("line").alias("source_line"))
     )
 
 
@@ -128,12 +128,21 @@ def orphan_values(all_lines: DataFrame) -> DataFrame:
     return all_lines.where("label = '' and values is not null").select(*PAGE, "row_no", "source_line")
 
 
-def roles(all_lines: DataFrame) -> DataFrame:
+def labelled(all_lines: DataFrame, strict: bool) -> DataFrame:
+    """LAY6: lines with a label; in strict mode values without one are an error, raised where the row is read."""
+    if not strict:
+        return all_lines.where("label <> ''")
+    message = F.format_string("page %s of %s: a row carried values but no label: %s", F.col("page").cast("string"), "doc_id", F.substring("source_line", 1, 90))
+    lost = (F.col("label") == "") & F.col("values").isNotNull()
+    return all_lines.where(F.when(lost, F.raise_error(message).cast("boolean")).otherwise(F.col("label") != ""))
+
+
+def roles(known: DataFrame) -> DataFrame:
     """LAY8-LAY10: each labelled line's role (item, tail, heading, prefix), the item it belongs to, and the headings above."""
     upto = Window.partitionBy(*PAGE).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(*PAGE).orderBy("row_no").rowsBetween(1, Window.unboundedFollowing)
     valued = F.col("values").isNotNull()
-    known = all_lines.where("label <> ''").withColumn("_n", F.count(F.when(valued, 1)).over(upto)).withColumn("_next", F.first(F.when(valued, F.col("x0")), ignorenulls=True).over(after))
+    known = known.withColumn("_n", F.count(F.when(valued, 1)).over(upto)).withColumn("_next", F.first(F.when(valued, F.col("x0")), ignorenulls=True).over(after))
     heading = F.rtrim("raw_text").endswith(":") | F.coalesce(F.col("x0") < F.col("_next") - HEADING_INDENT, F.lit(False))
     role = F.when(valued, "item").when(fn.starts_lowercase(F.col("label")) & (F.col("_n") > 0), "tail").when(heading, "heading").otherwise("prefix")
     told = known.withColumn("role", role).withColumn("row_ord", F.when(F.col("role") == "prefix", F.col("_n") + 1).otherwise(F.col("_n")).cast("int"))
@@ -154,8 +163,7 @@ def trailing_prefixes(told: DataFrame) -> DataFrame:
 
 def extract(words: DataFrame, issuer: str = "\0", strict: bool = True) -> DataFrame:
     """LAY11: raw rows (see schemas.RAW_ROWS). In strict mode a page with values but no label is an error."""
-    all_lines = lines(words, issuer)
-    told = roles(all_lines)
+    told = roles(labelled(lines(words, issuer), strict))
     item = lambda c: F.max(F.when(F.col("role") == "item", F.col(c)))
     parts = F.array_sort(F.collect_list(F.when(F.col("role") != "heading", F.struct("row_no", "label"))))
     made = told.groupBy(*PAGE, "row_ord").agg(
@@ -166,16 +174,10 @@ def extract(words: DataFrame, issuer: str = "\0", strict: bool = True) -> DataFr
         item("source_line").alias("source_line"),
         F.count_if(F.col("role") == "item").alias("_items"),
     )
-    rows = made.where("_items > 0").select(*PAGE, "row_ord", "section_title", "section_path", "raw_label", "values", "source_line")
-    if not strict:
-        return rows
-    broken = orphan_values(all_lines).groupBy(*PAGE).agg(F.count(F.lit(1)).alias("_n"), F.min("source_line").alias("_first"))
-    message = F.format_string("page %s of %s: %s row(s) carried values but no label; first: %s", F.col("page").cast("string"), "doc_id", F.col("_n").cast("string"), F.substring("_first", 1, 90))
-    kept = rows.join(broken, PAGE, "left")
-    return kept.withColumn("row_ord", F.when(F.col("_n").isNotNull(), F.raise_error(message).cast("int")).otherwise(F.col("row_ord"))).drop("_n", "_first")
+    return made.where("_items > 0").select(*PAGE, "row_ord", "section_title", "section_path", "raw_label", "values", "source_line")
 
 
 def document_periods(words: DataFrame) -> DataFrame:
     """SRC1: the periods of the first page of a document that has a heading."""
-    heads = headers(page_rows(cluster(body_words(words))))
+    heads = headed(page_rows(cluster(body_words(words))), "\0").where("row_no = header_no")
     return heads.groupBy("doc_id").agg(F.min_by("periods", "page").alias("periods"))
