@@ -315,7 +315,7 @@ def q23_tree_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return tables.run(spark, sf_dir, tables.LEDGER_SQL), tables.run(spark, sf_dir, tables.BANK_SQL)
+    return tables.run(spark, sf_dir, tables.one_pass(tables.LEDGER_PARTS)), tables.run(spark, sf_dir, tables.one_pass(tables.BANK_PARTS))
 
 
 def q24_recon_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,44 +65,51 @@ def _later(days: int) -> str:
     return f"CAST(day + INTERVAL '{days}' DAYS AS DATE)"
 
 
-def _side(parts: list[tuple[str, str, str, str, str]]) -> str:
-    """(condition, number, day, cents, memo) of each kind of row."""
-    base = f"(SELECT o_orderkey AS k, {CASE} AS m, {BASE} FROM {{orders}}) x"
+Parts = list[tuple[str, str, str, str, str]]
+CASES = f"(SELECT o_orderkey AS k, {CASE} AS m, {BASE} FROM {{orders}}) x"
+
+
+def one_pass(parts: Parts) -> str:
+    """(condition, number, day, cents, memo) of each kind of row, by one scan of the orders. For Spark alone."""
+    rows = [f"named_struct('ok', {where}, 'id', CAST(k * 10 + {n} AS BIGINT), 'day', {day}, 'cents', CAST({cents} AS BIGINT), 'memo', {memo})" for where, n, day, cents, memo in parts]
+    return f"SELECT r.id, r.day, r.cents, r.memo FROM (SELECT explode(filter(array({', '.join(rows)}), r -> r.ok)) AS r FROM {CASES}) y"
+
+
+def by_kind(parts: Parts) -> str:
+    """The same, kind by kind."""
+    base = CASES
     return " UNION ALL ".join(f"SELECT CAST(k * 10 + {n} AS BIGINT) AS id, {day} AS day, CAST({cents} AS BIGINT) AS cents, {memo} AS memo FROM {base} WHERE {where}" for where, n, day, cents, memo in parts)
 
 
 INVOICE = "concat('Inv ', CAST(k AS STRING))"
-LEDGER_SQL = _side(
-    [
-        ("m <= 7", "0", "day", "cents", INVOICE),
-        ("m IN (8, 9)", "0", "day", "cents", "concat('Inv 000', CAST(k AS STRING))"),
-        ("m = 10", "0", "day", "cents - 700", INVOICE),
-        ("m = 10", "1", "day", "700", INVOICE),
-        ("m = 11", "0", "day", "cents", INVOICE),
-        ("m = 12", "0", "day", "cents", INVOICE),
-        ("m = 13", "0", "day", "10000", INVOICE),
-        ("m = 13", "1", "day", "-10000", INVOICE),
-        ("m = 15", "0", "day", "cents", "concat('Retrac', CAST(k AS STRING))"),
-    ]
-)
-BANK_SQL = _side(
-    [
-        ("m <= 4", "0", "day", "cents", INVOICE),
-        ("m = 5", "0", _later(2), "cents", INVOICE),
-        ("m = 6", "0", _later(-3), "cents", INVOICE),
-        ("m = 7", "0", _later(20), "cents", INVOICE),
-        ("m = 8", "0", "day", "cents", "concat('I', CAST(k AS STRING))"),
-        ("m = 9", "0", _later(5), "cents", "concat('#', CAST(k AS STRING))"),
-        ("m = 10", "0", "day", "cents", INVOICE),
-        ("m = 11", "0", "day", "cents - 1100", INVOICE),
-        ("m = 11", "1", "day", "500", INVOICE),
-        ("m = 11", "2", "day", "600", INVOICE),
-        ("m = 12", "0", "day", "cents + 5", INVOICE),
-        ("m = 14", "0", "day", "30000", INVOICE),
-        ("m = 14", "1", "day", "-30000", INVOICE),
-        ("m = 16", "0", "day", "cents", "concat('Revooh', CAST(k AS STRING))"),
-    ]
-)
+LEDGER_PARTS = [
+    ("m <= 7", "0", "day", "cents", INVOICE),
+    ("m IN (8, 9)", "0", "day", "cents", "concat('Inv 000', CAST(k AS STRING))"),
+    ("m = 10", "0", "day", "cents - 700", INVOICE),
+    ("m = 10", "1", "day", "700", INVOICE),
+    ("m = 11", "0", "day", "cents", INVOICE),
+    ("m = 12", "0", "day", "cents", INVOICE),
+    ("m = 13", "0", "day", "10000", INVOICE),
+    ("m = 13", "1", "day", "-10000", INVOICE),
+    ("m = 15", "0", "day", "cents", "concat('Retrac', CAST(k AS STRING))"),
+]
+BANK_PARTS = [
+    ("m <= 4", "0", "day", "cents", INVOICE),
+    ("m = 5", "0", _later(2), "cents", INVOICE),
+    ("m = 6", "0", _later(-3), "cents", INVOICE),
+    ("m = 7", "0", _later(20), "cents", INVOICE),
+    ("m = 8", "0", "day", "cents", "concat('I', CAST(k AS STRING))"),
+    ("m = 9", "0", _later(5), "cents", "concat('#', CAST(k AS STRING))"),
+    ("m = 10", "0", "day", "cents", INVOICE),
+    ("m = 11", "0", "day", "cents - 1100", INVOICE),
+    ("m = 11", "1", "day", "500", INVOICE),
+    ("m = 11", "2", "day", "600", INVOICE),
+    ("m = 12", "0", "day", "cents + 5", INVOICE),
+    ("m = 14", "0", "day", "30000", INVOICE),
+    ("m = 14", "1", "day", "-30000", INVOICE),
+    ("m = 16", "0", "day", "cents", "concat('Revooh', CAST(k AS STRING))"),
+]
+LEDGER_SQL, BANK_SQL = by_kind(LEDGER_PARTS), by_kind(BANK_PARTS)
 
 #: Printed pages: a document for each brand, three pages, an item for each part, four quarters; some cells are empty, some
 #: labels wrap and some items stand under a heading. Items are 30 points apart.
@@ -121,31 +128,30 @@ def cell_value(column: int) -> str:
 
 
 def words_sql() -> str:
-    """Words in an order of their own, so that rows have to be found."""
-    top = "CAST(200 + 30 * nth AS DOUBLE)"
-    word = "SELECT doc_id, page, {text} AS text, CAST({x0} AS DOUBLE) AS x0, CAST({x1} AS DOUBLE) AS x1, CAST({top} AS DOUBLE) AS top, {seq} AS seq FROM {source} WHERE {where}"
-    item, pages = f"({ITEM_SQL}) i", f"(SELECT DISTINCT doc_id, page FROM ({ITEM_SQL}) i) g"
+    """Words in an order of their own, so that rows have to be found: one pass over the items, each giving its own words, and
+    the first of a page those of the page. For Spark alone."""
+    top = "200 + 30 * nth"
     parts = []
 
-    def add(text: str, x0: str, x1: str, at: str, seq: str, source: str = item, where: str = "TRUE") -> None:
-        parts.append(word.replace("{text}", text).replace("{x0}", x0).replace("{x1}", x1).replace("{top}", at).replace("{seq}", seq).replace("{where}", where).replace("{source}", source))
+    def add(text: str, x0: float, x1: float, at: str, seq: str, where: str = "TRUE") -> None:
+        parts.append(f"named_struct('ok', {where}, 'text', {text}, 'x0', {x0:.1f}D, 'x1', {x1:.1f}D, 'top', CAST({at} AS DOUBLE), 'seq', {seq})")
 
-    add("'ISSUER'", "40", "80", "20", "1", pages)
-    add("'Consolidated Balance Sheets'", "40", "200", "40", "2", pages)
+    first = "nth = 0"
+    add("'ISSUER'", 40, 80, "20", "1", first)
+    add("'Consolidated Balance Sheets'", 40, 200, "40", "2", first)
+    add("'7'", 300, 306, "999990", "9", first)
     for k, quarter, year, edge in COLUMNS:
-        add(f"'{quarter}'", str(edge - 40), str(edge - 25), "100", str(10 + 2 * k), pages)
-        add(f"'{year}'", str(edge - 22), str(edge), "100", str(11 + 2 * k), pages)
-    add("concat('Section ', CAST(nth AS STRING), ':')", "38.6", "90", f"{top} - 14", "100 + 100 * nth", where="nth % 4 = 0")
-    add("concat('Item', CAST(k AS STRING))", "44.6", "90", f"{top} - 4", "101 + 100 * nth")
-    add("'and more'", "44.6", "120", f"{top} + 5", "102 + 100 * nth", where="k % 3 = 1")
+        add(f"'{quarter}'", edge - 40, edge - 25, "100", str(10 + 2 * k), first)
+        add(f"'{year}'", edge - 22, edge, "100", str(11 + 2 * k), first)
+    add("concat('Section ', nth, ':')", 38.6, 90, f"{top} - 14", "100 + 100 * nth", "nth % 4 = 0")
+    add("concat('Item', k)", 44.6, 90, f"{top} - 4", "101 + 100 * nth")
+    add("'and more'", 44.6, 120, f"{top} + 5", "102 + 100 * nth", "k % 3 = 1")
     for k, _, _, edge in COLUMNS:
-        shown = f"CAST(k * 10 + {k} AS STRING)"
-        token = f"CASE WHEN k % 2 = 0 THEN concat('(', {shown}, ')') ELSE {shown} END"
+        token = f"CASE WHEN k % 2 = 0 THEN concat('(', k * 10 + {k}, ')') ELSE concat(k * 10 + {k}) END"
         if k == 3:
             token = f"CASE WHEN k % 7 = 0 THEN '—' ELSE {token} END"
-        add(token, str(edge - 30), str(edge - 1), top, f"{110 + k} + 100 * nth", where="k % 5 <> 0" if k == 3 else "TRUE")
-    add("'7'", "300", "306", "999990", "9", pages)
-    return " UNION ALL ".join(parts)
+        add(token, edge - 30, edge - 1, top, f"{110 + k} + 100 * nth", "k % 5 <> 0" if k == 3 else "TRUE")
+    return f"SELECT doc_id, page, w.text, w.x0, w.x1, w.top, w.seq FROM (SELECT doc_id, page, explode(filter(array({', '.join(parts)}), w -> w.ok)) AS w FROM ({ITEM_SQL}) i) x"
 
 
 def label_of() -> str:
