@@ -1,7 +1,6 @@
 from tieout.operators import checks, metrics, trace
 from tieout.sources.writers import exit_code
 
-SIGN = {"+": 1, "-": -1}
 PERIODS = [(f"Q{q} {y}", y * 10 + q) for y in (2024, 2025) for q in (1, 2, 3, 4)]
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.functions.text import invoice_core, to_cents
+from tieout.schemas import MEMO_LENGTHS
 from tieout.sources.scratch import settle
 
 # Days and cents by which scenarios are told apart.
@@ -163,9 +164,10 @@ def corpus_violations(ledger: DataFrame, bank: DataFrame, first_day: str, last_d
     """PF9: counts of broken rules of the two tables."""
     inside = lambda c: F.col(c).between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))
     cents = lambda c: (F.col(c).cast("decimal(38,10)") * 100) % 1 == 0
+    fits = lambda c: F.length(c) <= MEMO_LENGTHS[c]
     rules = [
-        (ledger, "ledger", {"date": inside("gl_date"), "cents": cents("amount"), "main_memo": F.length("main_memo") <= 100, "line_memo": F.length("line_memo") <= 150}),
-        (bank, "bank", {"date": inside("posted_date"), "cents": cents("posted_amount"), "messy_memo": F.length("messy_memo") <= 250}),
+        (ledger, "ledger", {"date": inside("gl_date"), "cents": cents("amount"), "main_memo": fits("main_memo"), "line_memo": fits("line_memo")}),
+        (bank, "bank", {"date": inside("posted_date"), "cents": cents("posted_amount"), "messy_memo": fits("messy_memo")}),
     ]
     parts = []
     for table, name, own in rules:

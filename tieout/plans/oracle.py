@@ -5,7 +5,7 @@ from __future__ import annotations
 from tieout.operators import rules
 from tieout.operators.metrics import lineage_rows
 from tieout.plans import tables
-from tieout.plans.queries import FIRST_SQL, LABEL_SQL, NUMBER_SQL, ROWS_SQL, TITLES, TOKENS, UNITS, _quoted, alias_rows_sql
+from tieout.plans.queries import FIRST_SQL, NUMBER_SQL, ROWS_SQL, TITLES, TOKENS, UNITS, _quoted, alias_rows_sql
 from tieout.schemas import KEYS, allowed_keys
 
 duck = tables.duck
