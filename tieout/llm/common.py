@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the cluster names no shared folder, as in tests.
 LOCAL_SCRATCH = "/tmp/checkpoints/tieout"
-#: Words are runs of anything but ASCII white space.
-WORD = rb"[^\x20\x09-\x0D]+"
+#: Bytes of one Arrow batch to a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,6 +28,12 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df; its session from now on sends Python workers Arrow batches of a few MB, so that long texts do not add up."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -23,10 +23,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tieout.llm.common import connected_components, text_or_empty, write_table
+from tieout.llm.common import bounded_batches, connected_components, text_or_empty, write_table
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -167,31 +167,36 @@ def link(nodes: DataFrame, most_in_list: int = MOST_IN_LIST) -> DataFrame:
     return first.where("kind < 0").select("a", "b").unionByName(_dealt(again, None).select("a", "b"))
 
 
-def cluster(docs: DataFrame, keep: list[str], most_in_list: int = MOST_IN_LIST) -> DataFrame:
-    """Rows (keep, fp, component): component is a fingerprint, the same for all that links connect."""
+def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows (keep, fp) of all documents."""
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     made = ", ".join([*[f"{c} {types[c]}" for c in keep], "fp long"])
-    fps = write_table(docs.select(*keep, text_or_empty().alias("text")).mapInArrow(_fingerprint_batches, made), "simhash")
-    components = connected_components(link(fps.select("fp").distinct(), most_in_list), "simhash_components")
-    return fps.join(components.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return write_table(bounded_batches(docs).select(*keep, text_or_empty().alias("text")).mapInArrow(_fingerprint_batches, made), "simhash")
 
 
-def with_component_id(clustered: DataFrame) -> DataFrame:
-    least = clustered.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return clustered.join(least, "component")
+def least_of_component(fps: DataFrame, value: Column, most_in_list: int = MOST_IN_LIST) -> DataFrame:
+    """Rows (fp, component, least): the least value of all rows whose fingerprints are linked, for each fingerprint.
+
+    Rows are summed up by fingerprint first, so the table has one row for each fingerprint however many copies it has.
+    """
+    nodes = write_table(fps.groupBy("fp").agg(F.min(value).alias("own")), "simhash_nodes")
+    components = connected_components(link(nodes.select("fp"), most_in_list), "simhash_components").withColumnRenamed("node", "fp")
+    placed = nodes.join(components, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = placed.groupBy("component").agg(F.min("own").alias("least"))
+    return write_table(placed.select("fp", "component").join(least, "component"), "simhash_least")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest doc_id; columns as they are."""
     row = F.md5(F.to_json(F.struct(F.col("doc_id"), F.col("text")), {"ignoreNullFields": "false"}))
     keyed = docs.withColumn("_row", row)
-    clustered = cluster(keyed.select("doc_id", "text", "_row"), ["doc_id", "_row"])
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row")))
-    kept = write_table(clustered.groupBy("component").agg(first.alias("first")).select(F.col("first._row").alias("_row")), "simhash_kept")
+    fps = fingerprints(keyed.select("doc_id", "text", "_row"), ["doc_id", "_row"])
+    found = least_of_component(fps, F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row")))
+    kept = write_table(found.select(F.col("least._row").alias("_row")).distinct(), "simhash_kept")
     return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return with_component_id(cluster(docs, ["doc_id"])).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    fps = fingerprints(docs, ["doc_id"])
+    found = least_of_component(fps, F.col("doc_id")).select("fp", F.col("least").alias("component_id"))
+    return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
