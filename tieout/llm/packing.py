@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tieout.llm.bpe import BATCH, VOCABULARY, codec
-from tieout.llm.common import exact_rank, slices_for, text_or_empty, write_table
+from tieout.llm.common import bounded_batches, exact_rank, slices_for, text_or_empty, write_table
 
 CAPACITY = 2048
 END_ID = 0
-RANKED_TOGETHER = 20_000
+RANKED_TOGETHER = 2_000
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -161,7 +161,7 @@ def pack(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY, end_
     id_type = docs.schema["doc_id"].dataType.simpleString()
     made = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     cut_up = partial(_piece_batches, path=path, capacity=capacity, end_id=end_id, with_ids=with_ids)
-    pieces = write_table(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(cut_up, made), "pieces")
+    pieces = write_table(bounded_batches(docs).select("doc_id", text_or_empty().alias("text")).mapInArrow(cut_up, made), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     by_length: dict[int, list] = {}
     for length, first, _, per, sequence, offset in plan(histogram, capacity):
