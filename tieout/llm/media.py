@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tieout.llm.common import text_or_empty, write_table
+from tieout.llm.common import bounded_batches, text_or_empty, write_table
 
 BLOCK = 64
 RATE = 8000
@@ -121,7 +121,7 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The media column: rows (doc_id, n_bytes, media, digests), and the chunks (digest, packed) each once."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    texts = bounded_batches(docs).select("doc_id", text_or_empty().alias("text"))
     lists = texts.mapInArrow(_list_batches, f"doc_id {id_type}, n_bytes long, media string, digests array<binary>")
     held = texts.select("text").mapInArrow(_chunk_batches, "digest binary, packed binary")
     return write_table(lists, "media_lists"), held.groupBy("digest").agg(F.first("packed").alias("packed"))
