@@ -17,7 +17,7 @@ gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tieout.llm.common import text_or_empty, write_table
+from tieout.llm.common import bounded_batches, text_or_empty, write_table
 
 WINDOW = 35
 #: Entries of a bucket, which one Python worker holds.
@@ -292,11 +292,13 @@ def resolve(packed: DataFrame, block: int, wide: bool, bits: int, name: str) ->
 def repeats(docs: DataFrame, n_words: int, window: int = WINDOW, in_bucket: int = IN_BUCKET) -> DataFrame:
     """Rows (key, print, n_removed, kept) of the distinct texts that have repeats, copies apart."""
     block = (window + 1) // 2
-    texts = docs.select(*identity(), text_or_empty().alias("text"))
+    texts = bounded_batches(docs).select(*identity(), text_or_empty().alias("text"))
     bits = buckets_for(n_words * (block // 2 + 1) // block, in_bucket)
     probes = texts.select("key", "text").mapInArrow(partial(_probe_batches, bits=bits, window=window), PACKED_DDL)
     hits = write_table(resolve(probes, block, False, bits, "hits"), "substring_hits")
-    hit_texts = write_table(texts.groupBy("key", "print").agg(F.first("text").alias("text")).join(hits, "key"), "substring_texts")
+    # by key alone, as the hits are, so that texts are dealt out once; prints tell the few texts of one key apart
+    by_key = texts.groupBy("key").agg(F.collect_set(F.struct("print", "text")).alias("own"))
+    hit_texts = write_table(by_key.join(hits, "key").select("key", "hits", F.inline("own")), "substring_texts")
     bits = buckets_for(hit_texts.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6, in_bucket)
     windows = hit_texts.select("key", "text", "hits").mapInArrow(partial(_window_batches, bits=bits, window=window), PACKED_DDL)
     found = resolve(windows, 1, True, bits, "starts")
@@ -323,7 +325,7 @@ def query(docs: DataFrame, window: int = WINDOW, in_bucket: int = IN_BUCKET) ->
     n_words = rows.select(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     found = repeats(docs, n_words, window, in_bucket).select("key", "print", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     copies = rows.groupBy("key", "print").agg(F.count(F.lit(1)).alias("copies"))
-    text = copies.join(found, ["key", "print"], "left")
+    text = write_table(copies.join(found, ["key", "print"], "left"), "substring_found")
     gone = (F.col("copies") > 1) & (F.col("n_words") >= window)
     return rows.join(text, ["key", "print"]).select(
         "doc_id",
@@ -334,7 +336,10 @@ def query(docs: DataFrame, window: int = WINDOW, in_bucket: int = IN_BUCKET) ->
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, in_bucket: int = IN_BUCKET) -> DataFrame:
-    """The documents without their repeats: text and n_chars change where words are removed, no row goes."""
+    """The documents without their repeats: text and n_chars change where words are removed, no row goes.
+
+    The join is a merge join at every size: how many texts change grows with the corpus.
+    """
     rows = judge(docs, [], window)
     n_words = rows.select(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     found = repeats(docs, n_words, window, in_bucket).select("key", "print", F.when(F.col("n_removed") > 0, F.col("kept")).alias("kept"))
@@ -346,7 +351,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, in_bucket: int = IN_BU
     )
     changed = write_table(text.where("_kept is not null"), "substring_changed")
     key, print_ = identity()
-    joined = docs.withColumns({"_key": key, "_print": print_}).join(changed, ["_key", "_print"], "left").drop("_key", "_print")
+    joined = docs.withColumns({"_key": key, "_print": print_}).join(changed.hint("merge"), ["_key", "_print"], "left").drop("_key", "_print")
     new = {"text": F.coalesce("_kept", "text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
