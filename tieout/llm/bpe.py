@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tieout.llm.common import text_or_empty
+from tieout.llm.common import bounded_batches, text_or_empty
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters of which all regular-expression engines know the class: there both libraries split alike.
@@ -208,7 +208,7 @@ def encode(
     """Rows (doc_id, ids, and decoded if asked for) of documents (doc_id, text); ids are little-endian unsigned
     32-bit integers in one binary."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    rows = bounded_batches(docs).select("doc_id", text_or_empty().alias("text"))
     made = "ids binary" + ", decoded string" * decode
     short = rows.where(F.char_length("text") <= spread_chars).mapInArrow(
         partial(_encode_batches, path=path, leaf_chars=leaf_chars, decode=decode), f"doc_id {id_type}, {made}"

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tieout.llm.common import text_or_empty, write_table
+from tieout.llm.common import bounded_batches, text_or_empty, write_table
 
 FOLDS = 5
 FEATURES = 256
@@ -102,7 +102,7 @@ def _statistics_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 def statistics_of(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, statistics) of all documents."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_statistics_batches, f"doc_id {id_type}, statistics array<double>")
+    made = bounded_batches(docs).select("doc_id", text_or_empty().alias("text")).mapInArrow(_statistics_batches, f"doc_id {id_type}, statistics array<double>")
     return write_table(made, "document_statistics")
 
 
@@ -228,7 +228,7 @@ def _keep_batches(batches: Iterator[pa.RecordBatch], model: Model, threshold: fl
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """The documents whose score reaches the threshold, with their own columns."""
     model = fit(statistics_of(docs), labels, most_labelled)
-    return docs.mapInArrow(partial(_keep_batches, model=model, threshold=threshold), docs.schema)
+    return bounded_batches(docs).mapInArrow(partial(_keep_batches, model=model, threshold=threshold), docs.schema)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tieout.llm.common import text_or_empty
+from tieout.llm.common import bounded_batches, text_or_empty
 from tieout.llm.license_texts import NOTICES, PHRASES
 
 #: Over UTF-8 bytes: all bytes beyond ASCII are of words.
@@ -232,7 +232,7 @@ def scan(
     """Rows (doc_id, counts, labels, score, spans) of documents (doc_id, text); one pass, no shuffle."""
     parameters = (tuple(notices), tuple(phrases.items()), least_run, most_gap, least_cover)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(
+    return bounded_batches(docs).select("doc_id", text_or_empty().alias("text")).mapInArrow(
         partial(_scan_batches, parameters=parameters), f"doc_id {id_type}, {RESULT_DDL}"
     )
 

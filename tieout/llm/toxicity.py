@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tieout.llm.common import text_or_empty
+from tieout.llm.common import bounded_batches, text_or_empty
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are features beside the words.
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple = CATEGORIES, most
     known = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y")).where(crc != 0)
     # at most most_labelled rows, so they can be sent to all tasks
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id")
+    rows = bounded_batches(docs).select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id")
     counts = rows.select("text", "y").mapInArrow(_form_batches, "form string, n long, bad long").groupBy("form").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     n, bad = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if bad and n > bad:
@@ -205,7 +205,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """Rows (doc_id, p_category...) of all documents."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     made = ", ".join([f"doc_id {id_type}", *[f"p_{c} double" for c in chain.names]])
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(partial(_score_batches, chain=chain), made)
+    return bounded_batches(docs).select("doc_id", text_or_empty().alias("text")).mapInArrow(partial(_score_batches, chain=chain), made)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
