@@ -6,7 +6,8 @@ with one scenario and status. All steps are equi-joins on amounts, days or memos
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,6 +125,27 @@ def _without(side: DataFrame, ids: DataFrame) -> DataFrame:
     return side.join(ids, "id", "left_anti")
 
 
+#: The steps that pair rows before groups are summed, in the order of the waterfall.
+PAIRED: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "exact": exact,
+    "shift": shifted,
+    "wide": partial(shifted, low=WIDE_DAYS, high=None),
+    "similar": similar,
+    "similar_date": similar_shifted,
+}
+
+
+def left_for(scenario: str, gl: DataFrame, bank: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides as a step of PAIRED finds them: without voids and the rows that steps before it take."""
+    left = {s: settle(_without(rows, voids(rows).select("id")), f"recon_{s}") for s, rows in (("gl", gl), ("bank", bank))}
+    for name, step in PAIRED.items():
+        if name == scenario:
+            break
+        pairs = settle(step(left["gl"], left["bank"]), "recon_pairs")
+        left = {s: settle(_without(rows, pairs.select(F.col(f"{s}_id").alias("id"))), f"recon_{s}") for s, rows in left.items()}
+    return left["gl"], left["bank"]
+
+
 def waterfall(gl: DataFrame, bank: DataFrame) -> DataFrame:
     """Rows (side, id, scenario, status, match_id) of all rows of both sides. match_id is the least ledger id of a match, or the
     least id of a void pair; it is null for what is left."""
@@ -148,11 +170,8 @@ def waterfall(gl: DataFrame, bank: DataFrame) -> DataFrame:
         take(scenario, {many: both.select(F.col("many_id").alias("id"), "match_id"), one: both.select(F.col("one_id").alias("id"), "match_id").distinct()})
 
     take("void", {s: voids(left[s]).select("id", F.col("void_id").alias("match_id")) for s in ("gl", "bank")})
-    take_pairs("exact", exact(left["gl"], left["bank"]))
-    take_pairs("shift", shifted(left["gl"], left["bank"]))
-    take_pairs("wide", shifted(left["gl"], left["bank"], WIDE_DAYS, None))
-    take_pairs("similar", similar(left["gl"], left["bank"]))
-    take_pairs("similar_date", similar_shifted(left["gl"], left["bank"]))
+    for name, step in PAIRED.items():
+        take_pairs(name, step(left["gl"], left["bank"]))
     take_groups("many_gl", "gl", "bank")
     take_groups("many_bank", "bank", "gl")
     take_pairs("near", near(left["gl"], left["bank"]))
