@@ -64,6 +64,11 @@ def trace_key(filing: Filing, key: str) -> str:
     return "\n".join(out + ([f"quarantined rows that name it: {held}"] if held else []))
 
 
+def show_all(view: DataFrame) -> None:
+    """show() of every row; it stops at 20 by itself."""
+    view.show(max(1, view.count()), truncate=False)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tieout", description=__doc__.splitlines()[0])
     p.add_argument("document")
@@ -98,16 +103,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.compare and mapping is not None:
         other, _ = normalize.normalize(filing.raw, normalize.by_alias(rules.dim_alias(spark)))
         checks.comparison_report(checks.compare_normalizers(filing.accepted, other, normalize.ROW)).show()
-    filing.views["funding_mix"].where("delta_assets is not null").orderBy("period_sort").show(truncate=False)
-    filing.views["growth_efficiency"].orderBy("period_sort").show(truncate=False)
+    show_all(filing.views["funding_mix"].where("delta_assets is not null").orderBy("period_sort"))
+    show_all(filing.views["growth_efficiency"].orderBy("period_sort"))
     if args.db:
         writers.rebuild({"line_items": filing.items, "quarantined": filing.quarantined, **filing.views}, args.db)
     if args.json:
         writers.filing_json(filing.header(args.ticker, Path(args.document).name), filing.items, filing.quarantined, ENTITY, args.json)
     if args.html:
         views = filing.views
-        made = report.render(f"{args.company} {args.ticker}".strip(), filing.items, filing.checks, views["funding_mix"], views["growth_efficiency"], filing.quarantined, filing.raw.count())
-        Path(args.html).write_text(made, encoding="utf-8")
+        made = report.parts(f"{args.company} {args.ticker}".strip(), filing.items, filing.checks, views["funding_mix"], views["growth_efficiency"], filing.quarantined, filing.raw.count())
+        with open(args.html, "w", encoding="utf-8") as file:
+            file.writelines(made)
     return writers.exit_code(filing.checks, args.strict)
 
 

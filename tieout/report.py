@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,16 +54,24 @@ def chart(funding: DataFrame, height: int = 260, width: int = 90) -> str:
     return f'<svg width="{width * len(periods)}" height="{height + 45}">{"".join(shapes)}</svg><p>{legend}</p>'
 
 
-def table(rows: list[dict], decimals: int = 0) -> str:
-    if not rows:
-        return "<p>none</p>"
+def table_parts(rows: Iterable[dict], decimals: int = 0) -> Iterator[str]:
+    """The table piece by piece, so that rows can be many."""
     cell = lambda v: amount(v, decimals) if isinstance(v, float) else html.escape("—" if v is None else str(v))
-    head = "".join(f"<th>{html.escape(c)}</th>" for c in rows[0])
-    return f"<table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r.values()) + "</tr>" for r in rows) + "</table>"
+    started = False
+    for r in rows:
+        if not started:
+            yield "<table><tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in r) + "</tr>"
+            started = True
+        yield "<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r.values()) + "</tr>"
+    yield "</table>" if started else "<p>none</p>"
+
+
+def table(rows: list[dict], decimals: int = 0) -> str:
+    return "".join(table_parts(rows, decimals))
 
 
-def render(title: str, items: DataFrame, checks: DataFrame, funding: DataFrame, efficiency: DataFrame, quarantined: DataFrame, raw_rows: int, shown: int = 200) -> str:
-    """The whole report. Counts are over everything; the list of quarantined rows shows the first of them and says how many."""
+def parts(title: str, items: DataFrame, checks: DataFrame, funding: DataFrame, efficiency: DataFrame, quarantined: DataFrame, raw_rows: int) -> Iterator[str]:
+    """The whole report, piece by piece. All quarantined rows are listed; they come in order, one partition at a time."""
     from tieout.operators.checks import summarize
 
     totals = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or(F.col("method") != "alias"), F.lit(False)).alias("model")).first()
@@ -70,13 +79,17 @@ def render(title: str, items: DataFrame, checks: DataFrame, funding: DataFrame,
     passed = next((r for r in summary if r["name"] is None), {"n_passed": 0, "n_checks": 0})
     held = quarantined.count()
     cards = [("rows", raw_rows), ("line items", totals["n"]), ("checks", f"{passed['n_passed']}/{passed['n_checks']}"), ("quarantined", held), ("labels", "model" if totals["model"] else "rules")]
-    parts = "".join(f'<div class="card"><b>{html.escape(str(v))}</b><br>{html.escape(k)}</div>' for k, v in cards)
-    first = records(quarantined.orderBy("page", "row_ord").select("page", "raw_label", "source_line", "reason").limit(shown))
-    body = [
-        f"<h1>{html.escape(title)}</h1>{parts}",
-        f"<h2>Funding mix</h2>{chart(funding)}{table(records(funding.where('delta_assets is not null').orderBy('period_sort').drop('period_sort')), 1)}",
-        f"<h2>Growth and efficiency</h2>{table(records(efficiency.orderBy('period_sort').drop('period_sort')), 3)}",
-        f"<h2>Checks</h2>{table([r for r in summary if r['name'] is not None])}",
-        f"<h2>Quarantine</h2><p>{held} rows</p>{table(first)}",
-    ]
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{STYLE}</style></head><body>{''.join(body)}</body></html>"
+    yield f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{STYLE}</style></head><body>"
+    yield f"<h1>{html.escape(title)}</h1>" + "".join(f'<div class="card"><b>{html.escape(str(v))}</b><br>{html.escape(k)}</div>' for k, v in cards)
+    yield f"<h2>Funding mix</h2>{chart(funding)}{table(records(funding.where('delta_assets is not null').orderBy('period_sort').drop('period_sort')), 1)}"
+    yield f"<h2>Growth and efficiency</h2>{table(records(efficiency.orderBy('period_sort').drop('period_sort')), 3)}"
+    yield f"<h2>Checks</h2>{table([r for r in summary if r['name'] is not None])}"
+    yield f"<h2>Quarantine</h2><p>{held} rows</p>"
+    rows = quarantined.orderBy("page", "row_ord").select("page", "raw_label", "source_line", "reason")
+    yield from table_parts(r.asDict() for r in rows.toLocalIterator())
+    yield "</body></html>"
+
+
+def render(*args, **kw) -> str:
+    """parts() as one text."""
+    return "".join(parts(*args, **kw))
