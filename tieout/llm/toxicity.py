@@ -4,9 +4,10 @@ Categories are predicted one after the other: each linear model sees the words a
 texts from others, and the probabilities of all categories before it. While fitting, those probabilities are out of fold, so that
 a later model learns from what it will see; for scoring they are those of the models fitted on all folds.
 
-Labels come from rows whose crc32(doc_id as text) mod 5 is not 0. The chain is fitted on a bounded sample of them
-(most_labelled, by a hash of doc_id), so vocabulary, matrix and models have one size for any corpus; all rows are
-scored over their whole texts in one pass.
+Labels come from rows whose crc32(doc_id as text) mod 5 is not 0. The vocabulary is chosen by counts over all labelled
+documents. The chain is fitted on a bounded sample of them (most_labelled, by a hash of doc_id; equal texts of one doc_id
+count once there), so vocabulary, matrix and models have one size for any corpus; all rows are scored over their whole
+texts in one pass.
 
 Null and empty texts have no words and are scored like any other; without labels of both classes a category's
 probability is its share. Repeated labels count once, by the largest. Extra columns are not read; an empty table
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tieout.llm.common import bounded_batches, text_or_empty
+from tieout.llm.common import bounded_batches, text_or_empty, write_table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are features beside the words.
@@ -36,6 +37,8 @@ VOCABULARY_SIZE = 384
 #: Labelled documents with a feature, at least.
 LEAST_SUPPORT = 5
 MOST_LABELLED = 20_000
+#: Forms that a task holds before it passes their counts on.
+MOST_FORMS = 1 << 18
 FOLDS = 4
 RIDGE = 1.0
 STEPS = 15
@@ -147,15 +150,23 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[np.n
 
 
 def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(form, documents, toxic documents) summed over a task."""
+    """(form, documents, toxic documents) summed over a task, in parts; form null has all documents."""
     total, toxic = Counter(), Counter()
+
+    def part() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"form": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64()), "bad": pa.array([toxic[f] for f in total], pa.int64())})
+
     for batch in batches:
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-            own = set().union(*map(forms, set(words_of(text))))
+            own = {None}.union(*map(forms, set(words_of(text))))
             total.update(own)
             if y:
                 toxic.update(own)
-    yield pa.RecordBatch.from_pydict({"form": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64()), "bad": pa.array([toxic[f] for f in total], pa.int64())})
+            if len(total) > MOST_FORMS:
+                yield part()
+                total.clear()
+                toxic.clear()
+    yield part()
 
 
 def _matrix_batches(batches: Iterator[pa.RecordBatch], chain: Chain, categories: tuple) -> Iterator[pa.RecordBatch]:
@@ -172,16 +183,19 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple = CATEGORIES, most
     chain = Chain([c for c, _ in categories])
     crc = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
     known = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y")).where(crc != 0)
-    # at most most_labelled rows, so they can be sent to all tasks
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    rows = bounded_batches(docs).select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id")
-    counts = rows.select("text", "y").mapInArrow(_form_batches, "form string, n long, bad long").groupBy("form").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    n, bad = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    texts = bounded_batches(docs).where(crc != 0).select("doc_id", text_or_empty().alias("text"))
+    made = texts.join(known, "doc_id").select("text", "y").mapInArrow(_form_batches, "form string, n long, bad long")
+    counts = write_table(made.groupBy("form").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "toxicity_forms")
+    n, bad = counts.where("form is null").select("n", "bad").first() or (0, 0)
+    # at most most_labelled rows that are in the table, so they can be sent to all tasks
+    marked = texts.withColumn("_hash", F.xxhash64("text"))
+    some = marked.select("doc_id", "_hash").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_hash").limit(most_labelled)
+    rows = marked.join(F.broadcast(some), ["doc_id", "_hash"]).distinct()
     if bad and n > bad:
         # how far the share among toxic documents is from that among others, in its own deviations
         p, p1, p0 = F.col("n") / n, F.col("bad") / bad, (F.col("n") - F.col("bad")) / (n - bad)
         z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / bad + 1 / (n - bad)))
-        top = counts.where(F.col("n") >= LEAST_SUPPORT).orderBy(F.abs(z).desc(), "form").limit(VOCABULARY_SIZE).select("form").collect()
+        top = counts.where((F.col("n") >= LEAST_SUPPORT) & F.col("form").isNotNull()).orderBy(F.abs(z).desc(), "form").limit(VOCABULARY_SIZE).select("form").collect()
         chain.vocabulary = {r["form"]: k for k, r in enumerate(top)}
     made = rows.mapInArrow(partial(_matrix_batches, chain=chain, categories=categories), "doc_id string, x binary, y array<int>")
     got = sorted((r["doc_id"], r["x"], r["y"]) for r in made.collect())  # most_labelled rows of one size
