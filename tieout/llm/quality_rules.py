@@ -67,7 +67,8 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep, and counts over the whole text.
 
     A repeated window is found by sorting: each window's hash gives the upper bits of a number and its place the
-    lower, so equal windows are neighbours once the numbers are sorted; neighbours are compared word by word.
+    lower, so equal windows are neighbours once the numbers are sorted; neighbours are compared word by word. Where different
+    windows share those upper bits, as in very long texts, windows that share them are sorted once more, by their words.
     """
     words = docs.select(
         *[F.col(k) for k in keep],
@@ -113,14 +114,22 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
         "_keys",
         F.sort_array(F.transform("_windows", lambda h, i: h.bitwiseAND(F.bitwise_not("_mask")).bitwiseOR(i.cast("long")))),
     )
-    found = sorted_keys.select(
+    near = lambda x, k, test: test(F.get("_keys", k - 1), x) | test(x, F.get("_keys", k + 1))
+    clash = F.size(F.filter("_keys", lambda x, k: _alike(F.get("_keys", k - 1), x) & ~_same(F.get("_keys", k - 1), x))) > 0
+    by_words = F.sort_array(F.transform(F.filter("_keys", lambda x, k: near(x, k, _alike)), _window))
+    ordered = sorted_keys.withColumn("_ordered", F.when(clash, by_words))
+    equal = lambda a, b: F.coalesce(a["words"] == b["words"], F.lit(False))
+    found = ordered.select(
         *[F.col(k) for k in keep],
         *names,
         F.array_sort(
-            F.transform(
-                F.filter("_keys", lambda x, k: _same(F.get("_keys", k - 1), x) | _same(x, F.get("_keys", k + 1))),
-                lambda x: x.bitwiseAND(F.col("_mask")).cast("int"),
-            )
+            F.when(
+                F.col("_ordered").isNotNull(),
+                F.transform(
+                    F.filter("_ordered", lambda x, k: equal(F.get("_ordered", k - 1), x) | equal(x, F.get("_ordered", k + 1))),
+                    lambda x: x["at"],
+                ),
+            ).otherwise(F.transform(F.filter("_keys", lambda x, k: near(x, k, _same)), _place))
         ).alias("_at"),
     )
     steps = F.zip_with("_at", F.slice("_at", 2, F.size("_at")), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
@@ -131,12 +140,26 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def _place(key: Column) -> Column:
+    return key.bitwiseAND(F.col("_mask")).cast("int")
+
+
+def _window(key: Column) -> Column:
+    """The words and the place of a key's window."""
+    at = _place(key)
+    return F.struct(F.struct(*[F.get("_words", at + k).alias(f"w{k}") for k in range(3)]).alias("words"), at.alias("at"))
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two keys share the bits of the hash; false beyond the ends."""
+    return F.coalesce(a.bitwiseXOR(b).between(F.lit(0).cast("long"), F.col("_mask")), F.lit(False))
+
+
 def _same(a: Column, b: Column) -> Column:
-    """Whether two keys are of equal windows; null and so false beyond the ends."""
-    i, j = a.bitwiseAND(F.col("_mask")).cast("int"), b.bitwiseAND(F.col("_mask")).cast("int")
+    """Whether two keys are of equal windows; false beyond the ends."""
+    i, j = _place(a), _place(b)
     words = [F.get("_words", i + k) == F.get("_words", j + k) for k in range(3)]
-    hashes = a.bitwiseXOR(b).between(F.lit(0).cast("long"), F.col("_mask"))
-    return F.coalesce(F.when(hashes, words[0] & words[1] & words[2]), F.lit(False))
+    return F.when(_alike(a, b), words[0] & words[1] & words[2]).otherwise(F.lit(False))
 
 
 def voted(counted: DataFrame) -> DataFrame:
