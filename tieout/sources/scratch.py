@@ -4,15 +4,33 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where spark.checkpoint.dir is unset, as in tests.
+#: Used only where spark.checkpoint.dir is unset and driver and executors are one process, as in tests.
 LOCAL_SCRATCH = "/tmp/checkpoints/tieout"
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder; a cluster has to name one, since its machines do not share their own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
+    return LOCAL_SCRATCH
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read back, so that loops do not repeat it and lost executors cost a read."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written once as Parquet and read back, so that loops do not repeat it and lost executors cost a read."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove the files of a settled table that nothing reads any more."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
