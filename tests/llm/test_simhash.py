@@ -1,9 +1,11 @@
 import random
 import re
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import hard_docs, hard_rows, no_docs
 from tieout.llm import common, simhash
@@ -56,7 +58,7 @@ def test_links_give_the_components_of_all_pairs(spark):
     fps = planted(rng)
     want = components_by_hand(fps)
     nodes = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    for most in (simhash.MOST_IN_LIST, 20):  # the second deals long lists again
+    for most in (simhash.MOST_IN_LIST, 20, 4):  # the second and third deal long lists again, and cut blocks
         edges = simhash.link(nodes, most)
         assert all((np.uint64(r["a"] & (1 << 64) - 1) ^ np.uint64(r["b"] & (1 << 64) - 1)).bit_count() <= 4 for r in edges.collect())
         found = {r["node"]: r["component"] for r in common.connected_components(edges, "t").collect()}
@@ -66,6 +68,26 @@ def test_links_give_the_components_of_all_pairs(spark):
         assert {frozenset(g) for g in got.values()} == set(want.values())
 
 
+def test_every_four_positions_hold_a_triple():
+    assert len(simhash.POSITIONS) == 20
+    assert all(any(set(t) <= set(four) for t in simhash.POSITIONS) for four in combinations(range(8), 4))
+
+
+def test_the_count_filter_drops_pairs_of_a_list(spark):
+    rng = random.Random(12)
+    shared = rng.getrandbits(64) & simhash.MASKS[0]
+    fps = np.array([shared | rng.getrandbits(64) & ~simhash.MASKS[0] for _ in range(400)], np.uint64)  # one list, the other bytes at random
+    differ = (fps[:, None] ^ fps[None, :])[np.triu_indices(len(fps), 1)]
+    kept = simhash.retained(differ)
+    by_bytes = [sum((int(x) >> 8 * p & 255) == 0 for p in range(8)) >= 4 for x in differ[:5000]]
+    assert kept[:5000].tolist() == by_bytes
+    assert 0 < kept.sum() < len(differ) * 0.05
+    assert {i for i, x in enumerate(differ) if int(x).bit_count() <= 4} == set(simhash.linked(differ).tolist())
+    nodes = spark.createDataFrame([(simhash._signed(int(f)),) for f in set(fps.tolist())], "fp long")
+    lists = simhash.postings(nodes).groupBy("part", "key").count()
+    assert lists.count() > 400 and lists.where("count = 400").count() == 1
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(11)
     for edges in ([(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)], [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(120)], [(1, 1)]):
@@ -103,3 +125,7 @@ def test_keep_one(spark):
     assert len(kept) == len(set(groups.values()))
     assert len({groups[by_hand(r["text"])] for r in kept}) == len(kept)
     assert kept[0].asDict().keys() == set(docs.columns)
+    named = docs.withColumns({"_row": F.lit(1), "_ROW_": F.lit(2), "times": F.lit(3), "stays": F.lit(4), "fp": F.lit(5)})
+    again = simhash.keep_one(named)
+    assert again.columns == named.columns and again.count() == len(kept)
+    assert simhash.keep_one(no_docs(spark)).count() == 0

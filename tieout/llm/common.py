@@ -3,33 +3,18 @@
 from __future__ import annotations
 
 import os
-import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Used only where the cluster names no shared folder, as in tests.
-LOCAL_SCRATCH = "/tmp/checkpoints/tieout"
+from tieout.sources.scratch import discard
+from tieout.sources.scratch import settle as write_table
+
 #: Bytes of one Arrow batch to a Python worker.
 BATCH_BYTES = 8 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster for tables that cut lineage."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or LOCAL_SCRATCH
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and return it read back: lineage ends here, and a lost
-    executor costs a re-read, not a re-run."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df; its session from now on sends Python workers Arrow batches of a few MB, so that long texts do not add up, and
     tells new workers where this package is, in case the driver alone has it on its path."""
@@ -55,6 +40,31 @@ def group_key(name: str) -> Column:
     return F.when(F.col(name).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(name).cast("string")))
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name like base that df does not have, in any spelling."""
+    taken, name = {c.lower() for c in df.columns}, f"_{base}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: A key is hot if it has more than one in so many of the rows; so there are fewer hot keys than this.
+HOT_SHARE = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+    """left joined with right, which has one row for each key and in count the number of left's rows of that key.
+
+    Hot keys, fewer than HOT_SHARE whatever the input, are sent to all tasks, so their rows stay where they are; only the
+    others are dealt by key. Both sides are read twice and should be written tables.
+    """
+    rows = right.select(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.col(count) * HOT_SHARE > rows
+    sent = F.broadcast(right.where(hot))
+    others = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot), key)
+    return left.join(sent, key).unionByName(others).drop(count)
+
+
 def slices_for(rows: int, per_slice: int) -> int:
     """Slices so that one holds about per_slice rows, whatever the number of rows."""
     return max(1, -(-rows // per_slice))
@@ -102,8 +112,10 @@ def connected_components(edges: DataFrame, name: str, most_rounds: int = 60) ->
         later = write_table(small, name)
         mark = F.struct(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.lit(0)))
         if later.select(mark).first() == now.select(mark).first():
+            discard(now)
             return later.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
                 later.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
             )
+        discard(now)
         now = later
     raise RuntimeError(f"components of {name} have not settled in {most_rounds} rounds")
