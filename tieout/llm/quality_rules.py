@@ -2,7 +2,8 @@
 
 Each rule votes for good (1) or bad (-1), or abstains (0). Votes come in at most 3 ** rules patterns whatever the
 corpus, so only their counts are gathered; expectation-maximisation over them, written as one SQL expression,
-estimates each rule's accuracy on either class and the share of good documents without any label. Its posterior for each pattern goes
+estimates each rule's accuracy on either class and the share of good documents without any label; no accuracy is set or bounded by hand, each
+has a weak prior. Its posterior for each pattern goes
 back to the documents by a join with that bounded table. A document is kept if its posterior is high enough
 and the base rule holds, in place of having to pass every rule.
 
@@ -25,8 +26,9 @@ LEAST_POSTERIOR = 0.5
 ROUNDS = 30
 #: Where expectation-maximisation starts: the share of good documents, and each rule's accuracy on either class.
 START = {"prior": 0.8, "on_good": 0.99, "on_bad": 0.5}
-#: Bounds of the accuracies: a rule may overlook bad documents, but seldom votes against good ones.
-GOOD_BOUNDS, BAD_BOUNDS = (0.99, 0.999), (0.1, 0.98)
+#: What is held of an accuracy before a vote is seen, on good and on bad documents, and the weight of that as a share of all
+#: documents. It keeps accuracies off 0 and 1, tells the two classes apart, and counts alike at every size.
+HELD, HELD_SHARE = {"on_good": 0.9, "on_bad": 0.5}, 0.01
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -192,8 +194,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def posteriors(votes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Rows (pattern, posterior) for the patterns that occur: 3 ** rules at most."""
+def fit(votes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """One row: seen, the patterns that occur with their votes and counts, and model, with prior, on_good and on_bad."""
     n = len(rules())
     digits = F.array(*[(F.expr(f"(pattern div {3**k}) % 3") - 1).cast("double") for k in range(n)])
     counts = votes.groupBy("pattern").agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -202,22 +204,25 @@ def posteriors(votes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     )
 
     def refit(weighed: Column) -> Column:
-        def accuracy(side: float, share: Callable[[Column], Column], bounds: tuple[float, float]) -> Callable[[Column], Column]:
+        every = _total(F.transform(weighed, lambda p: p["n"]))
+
+        def accuracy(side: float, share: Callable[[Column], Column], held: float) -> Callable[[Column], Column]:
             """Of a rule's votes on one class, the share on that class's side."""
+            weight = HELD_SHARE * F.greatest(every, F.lit(1.0))
 
             def of(r: Column) -> Column:
                 cast = _total(F.transform(weighed, lambda p: p["n"] * share(p) * F.abs(F.get(p["votes"], r))))
                 right = _total(F.transform(weighed, lambda p: F.when(F.get(p["votes"], r) == side, p["n"] * share(p)).otherwise(F.lit(0.0))))
-                return F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), (right + 1) / (cast + 2)))
+                return (right + weight * held) / (cast + weight)
 
             return of
 
         index = F.sequence(F.lit(0), F.lit(n - 1))
-        prior = (_total(F.transform(weighed, lambda p: p["n"] * p["good"])) + 1) / (_total(F.transform(weighed, lambda p: p["n"])) + 2)
+        prior = (_total(F.transform(weighed, lambda p: p["n"] * p["good"])) + 1) / (every + 2)
         return F.struct(
             prior.alias("prior"),
-            F.transform(index, accuracy(1.0, lambda p: p["good"], GOOD_BOUNDS)).alias("on_good"),
-            F.transform(index, accuracy(-1.0, lambda p: 1 - p["good"], BAD_BOUNDS)).alias("on_bad"),
+            F.transform(index, accuracy(1.0, lambda p: p["good"], HELD["on_good"])).alias("on_good"),
+            F.transform(index, accuracy(-1.0, lambda p: 1 - p["good"], HELD["on_bad"])).alias("on_bad"),
         )
 
     def weigh(model: Column) -> Column:
@@ -226,12 +231,23 @@ def posteriors(votes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     start = F.struct(*[(F.array_repeat(F.lit(x), n) if k else F.lit(x)).alias(name) for k, (name, x) in enumerate(START.items())])
     model = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda m, _: _let(weigh(m), refit))
-    fitted = one.select("seen", model.alias("model"))
+    return one.select("seen", model.alias("model"))
+
+
+def posteriors(fitted: DataFrame) -> DataFrame:
+    """Rows (pattern, posterior) for the patterns that occur: 3 ** rules at most."""
     return fitted.select(F.explode("seen").alias("p"), "model").select(
         F.col("p.pattern").alias("pattern"), _posterior(F.col("p.votes"), F.col("model")).alias("posterior")
     )
 
 
+def accuracies(fitted: DataFrame) -> DataFrame:
+    """Rows (rule, on_good, on_bad): what was estimated."""
+    names = F.array(*[F.lit(r).alias("rule") for r in rules()])
+    of = F.arrays_zip(names.alias("rule"), F.col("model.on_good").alias("on_good"), F.col("model.on_bad").alias("on_bad"))
+    return fitted.select(F.inline(of))
+
+
 def judge(votes: DataFrame, fitted: DataFrame, least: float = LEAST_POSTERIOR) -> DataFrame:
     """Add posterior and kept. fitted has 3 ** rules rows at most, so it is sent to all."""
     return votes.join(F.broadcast(fitted), "pattern").withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))
@@ -240,7 +256,7 @@ def judge(votes: DataFrame, fitted: DataFrame, least: float = LEAST_POSTERIOR) -
 def assess(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, counts, base_failed, posterior, kept) of documents (doc_id, text)."""
     votes = write_table(voted(features(docs, ["doc_id"])), "rule_votes")
-    return judge(votes, write_table(posteriors(votes), "rule_posteriors"))
+    return judge(votes, write_table(posteriors(fit(votes)), "rule_posteriors"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -251,7 +267,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
     votes = write_table(voted(features(whole, ["_row"])).select("_row", "pattern", "base_failed"), "rule_votes")
-    return judge(votes, write_table(posteriors(votes), "rule_posteriors")).where("kept").select("_row.*")
+    return judge(votes, write_table(posteriors(fit(votes)), "rule_posteriors")).where("kept").select("_row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
