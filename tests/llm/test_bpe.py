@@ -45,6 +45,19 @@ def test_long_unsplit_run():
         assert own.encode(text).tolist() == truth(text)
 
 
+def test_very_long_texts(spark):
+    """More than a million characters: prose, an unsplit run, special tokens at and across the cuts, other letters."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 9)))
+    prose = " ".join(word() for _ in range(250_000))
+    texts = [prose, prose[:700_000] + "<|endoftext|>" + prose[700_000:] + "日本" * 50, "ab" * 100_000, ("<|endoftext|>" * 9000), prose]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe.encode(docs, decode=True).collect()}
+    for k, text in enumerate(texts):
+        assert np.frombuffer(got[k]["ids"], "<u4").tolist() == truth(text)
+        assert got[k]["decoded"] == text
+
+
 def test_query_and_spread_path(spark):
     for spread in (bpe.SPREAD_CHARS, 1000):
         got = bpe.encode(hard_docs(spark), spread_chars=spread, leaf_chars=256, decode=True).collect()

@@ -10,8 +10,8 @@ exact, and only these are accepted:
   that place and its last token the right side's. A token sequence is the encoding of a run if and only if each
   neighbouring pair is the encoding of its own bytes, and all pairs then come from one of three valid encodings.
 
-Texts beyond spread_chars are dealt out: their leaves become rows, are encoded by different tasks and joined after
-one shuffle by text. Null texts count as empty; an empty text has no tokens. Equal rows give equal rows; only
+Texts beyond spread_chars are dealt out: each distinct one is cut in one pass, its leaves become rows, are encoded by
+different tasks and joined after one shuffle by text. The ids are the same either way. Null texts count as empty; an empty text has no tokens. Equal rows give equal rows; only
 doc_id and text are read, so further columns of any name do no harm; an empty table gives an empty one.
 """
 
@@ -38,8 +38,10 @@ SAFE = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]*")
 RUN = re.compile(rb"(?:[A-Za-z\x80-\xff]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
 LEAF_CHARS = 4096
 SPREAD_CHARS = 65536
-#: Documents in one Arrow batch of results.
+#: Documents or leaves in one Arrow batch of results.
 BATCH = 256
+LEAVES = pa.schema([("key", pa.string()), ("n", pa.int64()), ("run", pa.int64()), ("leaf", pa.string())])
+LEAVES_DDL = "key string, n long, run long, leaf string"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -165,37 +167,61 @@ def result_batch(doc_id: pa.Array, ids: list[np.ndarray], own: Codec, decode: bo
     return pa.RecordBatch.from_pydict(columns)
 
 
+def _cut_batches(batches: Iterator[pa.RecordBatch], path: str, leaf_chars: int) -> Iterator[pa.RecordBatch]:
+    """The leaves (key, n, run, leaf) of whole texts, each text cut in one pass. Special tokens are cut out first and are runs
+    of an odd number, so no cut splits one."""
+    own, rows = codec(path), []
+
+    def made() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_pydict(dict(zip(("key", "n", "run", "leaf"), map(list, zip(*rows)))), LEAVES)
+        rows.clear()
+        return batch
+
+    for batch in batches:
+        for k, key in enumerate(batch.column("key").to_pylist()):
+            n = 0
+            for run, part in enumerate(own.split_special.split(batch.column("text")[k].as_py())):
+                cuts = leaf_cuts(len(part), leaf_chars) if part else [0]
+                for a, b in zip(cuts, cuts[1:]):
+                    rows.append((key, n, run, part[a:b]))
+                    n += 1
+                    if len(rows) >= BATCH:
+                        yield made()
+    if rows:
+        yield made()
+
+
 def _leaf_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """ids of single leaves; a leaf with special tokens goes on as text, since a cut may have split one."""
+    """Leaves with the ids of each, alone."""
     own = codec(path)
     for whole in batches:
         for at in range(0, whole.num_rows, BATCH):
             batch = whole.slice(at, BATCH)
-            texts = batch.column("leaf").to_pylist()
-            yield pa.RecordBatch.from_pydict(
-                {"key": batch.column("key"), "n": batch.column("n"), "leaf": batch.column("leaf"), "ids": pa.array([own.leaf(t).astype("<u4").tobytes() for t in texts], pa.binary())}
-            )
+            leaves = zip(batch.column("run").to_pylist(), batch.column("leaf").to_pylist())
+            ids = [np.array([own.special[x]], "<u4") if run % 2 else own.leaf(x).astype("<u4") for run, x in leaves]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in ids], pa.binary())], [*batch.schema.names, "ids"])
 
 
 def _join_batches(batches: Iterator[pa.RecordBatch], path: str, leaf_chars: int, decode: bool) -> Iterator[pa.RecordBatch]:
-    """The leaves of a text come together and in order."""
+    """The leaves of a text come together and in order; those of a run are joined up its tree."""
     own = codec(path, leaf_chars)
 
-    def ended(key, parts):
-        text = b"".join(x for x, _ in parts).decode()
-        ids = own.encode(text) if own.split_special.search(text) else own.concatenate(parts)
+    def ended(key: str, runs: list[list]) -> pa.RecordBatch:
+        ids = np.concatenate([own.concatenate(parts) for parts in runs])
         return result_batch(pa.array([key], pa.string()), [ids], own, decode).rename_columns(["key", "ids", *["decoded"] * decode])
 
-    key, parts = None, []
+    key, run, runs = None, None, []
     for batch in batches:
-        for now, leaf, ids in zip(*(batch.column(c).to_pylist() for c in ("key", "leaf", "ids"))):
-            if now != key and parts:
-                yield ended(key, parts)
-                parts = []
-            key = now
-            parts.append((leaf.encode(), np.frombuffer(ids, "<u4")))
-    if parts:
-        yield ended(key, parts)
+        for now, own_run, leaf, ids in zip(*(batch.column(c).to_pylist() for c in ("key", "run", "leaf", "ids"))):
+            if now != key:
+                if runs:
+                    yield ended(key, runs)
+                key, run, runs = now, None, []
+            if own_run != run:
+                run, runs = own_run, [*runs, []]
+            runs[-1].append((leaf.encode(), np.frombuffer(ids, "<u4")))
+    if runs:
+        yield ended(key, runs)
 
 
 def encode(
@@ -214,19 +240,10 @@ def encode(
         partial(_encode_batches, path=path, leaf_chars=leaf_chars, decode=decode), f"doc_id {id_type}, {made}"
     )
     long = rows.where(F.char_length("text") > spread_chars).withColumn("key", F.sha2("text", 256))
-    n = F.col("parts")
-    leaves = (
-        long.withColumn("size", F.char_length("text"))
-        .withColumn("parts", F.pow(F.lit(2), F.ceil(F.log2(F.col("size") / leaf_chars))).cast("long"))
-        .select("key", "text", "size", "parts", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("n"))
-        .withColumn("start", F.floor(F.col("size") * F.col("n") / n).cast("int"))
-        .withColumn("end", F.floor(F.col("size") * (F.col("n") + 1) / n).cast("int"))
-        .select("key", "n", F.expr("substring(text, start + 1, end - start)").alias("leaf"))
-        .groupBy("key", "n")
-        .agg(F.first("leaf").alias("leaf"))
-    )
+    leaves = long.groupBy("key").agg(F.first("text").alias("text")).mapInArrow(partial(_cut_batches, path=path, leaf_chars=leaf_chars), LEAVES_DDL)
     joined = (
-        leaves.mapInArrow(partial(_leaf_batches, path=path), "key string, n long, leaf string, ids binary")
+        leaves.repartition("key", "n")
+        .mapInArrow(partial(_leaf_batches, path=path), LEAVES_DDL + ", ids binary")
         .repartition("key")
         .sortWithinPartitions("key", "n")
         .mapInArrow(partial(_join_batches, path=path, leaf_chars=leaf_chars, decode=decode), f"key string, {made}")
