@@ -78,3 +78,22 @@ def test_tree_is_walked_before_its_children(spark):
     got = tree.to_table(reports, ["Account", "Debit"]).collect()
     assert [(r["Account"], r["Debit"]) for r in got] == [("Cash", "5"), ("Group", ""), ("Leaf", "7"), ("Deep", None)]
     assert tree.cells(reports).count() == 8
+
+
+def test_tree_of_more_than_a_million_nodes(spark):
+    from pyspark.sql import functions as F
+
+    row = '{"ColData":[{"value":"x"},{"value":"1"}]}'
+    body = '{"Columns":{"Column":[]},"Rows":{"Row":[' + ",".join([row] * 110) + "]}}"
+    reports = spark.range(10_000).select(F.col("id").cast("string").alias("report_id"), F.lit(body).alias("body"))
+    got = tree.flatten(reports).agg(F.count(F.lit(1)), F.countDistinct("report_id"), F.max(F.get("path", F.lit(0)))).first()
+    assert tuple(got) == (1_100_000, 10_000, 109)
+
+
+def test_tree_deeper_than_a_hundred(spark):
+    node = None
+    for k in range(120, 0, -1):
+        node = {"ColData": [{"value": f"level {k}"}], **({"Rows": {"Row": [node]}} if node else {})}
+    reports = spark.createDataFrame([("deep", json.dumps({"Rows": {"Row": [node]}}))], "report_id string, body string")
+    got = sorted((len(r["path"]), r["cells"]) for r in tree.flatten(reports).collect())
+    assert got == [(k, [f"level {k}"]) for k in range(1, 121)]

@@ -2,19 +2,25 @@
 
 A side has (id, day, cents, memo). Each step works on what the steps before left; every row is matched once at most, and ends
 with one scenario and status. All steps are equi-joins on amounts, days or memos; amounts are whole cents.
+
+Where days or amounts may differ, no pairs of rows are listed: rows alike in everything compared are counted as one place, a
+key's places are paired by counts, nearest first, and the rows of paired places then meet in order of their ids. One pass
+does it, however many rows are alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.functions.text import invoice_core, to_cents
 from tieout.schemas import MEMO_LENGTHS
-from tieout.sources.scratch import settle
+from tieout.session import bounded_batches
+from tieout.sources.scratch import discard, settle
 
 # Days and cents by which scenarios are told apart.
 SLIGHT_DAYS = (1, 3)
@@ -24,7 +30,8 @@ NEAR_CENTS = (1, 9)
 # End of fixed values.
 #: Scenarios a person looks at.
 REVIEW = ("wide", "near")
-PAIRS = "gl_id long, bank_id long"
+#: A key with more pairs of places than this is paired gap by gap, else from a sorted list; the result is the same.
+LISTED_PAIRS = 10_000
 
 
 def ledger_side(ledger: DataFrame, id_col: str = "gl_id") -> DataFrame:
@@ -50,38 +57,71 @@ def pair_in_order(gl: DataFrame, bank: DataFrame, keys: list[str]) -> DataFrame:
     return ranked(gl, "gl_id").join(ranked(bank, "bank_id"), [*keys, "_nth"]).select("gl_id", "bank_id")
 
 
-def candidates(gl: DataFrame, bank: DataFrame, keys: list[str], gap: Column, low: int, high: int | None) -> DataFrame:
-    """(gl_id, bank_id, gap) of rows with equal keys whose gap lies in a range; gap is over g and b."""
-    a = gl.select(F.col("id").alias("gl_id"), *keys, F.struct("day", "cents").alias("g"))
-    b = bank.select(F.col("id").alias("bank_id"), *keys, F.struct("day", "cents").alias("b"))
-    found = a.join(b, keys).select("gl_id", "bank_id", gap.alias("gap")).where(F.col("gap") >= low)
-    return found.where(F.col("gap") <= high) if high is not None else found
-
-
-def days_apart() -> Column:
-    return F.abs(F.datediff(F.col("g.day"), F.col("b.day")))
-
-
-def cents_apart() -> Column:
-    return F.abs(F.col("g.cents") - F.col("b.cents"))
-
-
-def one_to_one(found: DataFrame, name: str) -> DataFrame:
-    """Mutual best pairs of candidates, again and again until none is left; ties by ids.
-
-    Each round accepts at least the best pair that is left of every connected group, so rounds are few.
+def in_order_of_gap(gl: dict[int, int], bank: dict[int, int], low: int, high: int | None) -> Iterator[tuple[int, int]]:
+    """Pairs of places (ledger, bank) whose gap lies in a range: nearest first, the later bank place before the earlier."""
+    if high is None and len(gl) * len(bank) <= LISTED_PAIRS:
+        for _, _, p, q in sorted((abs(q - p), q < p, p, q) for p in gl for q in bank if abs(q - p) >= low):
+            yield p, q
+        return
+    span = max(max(gl) - min(bank), max(bank) - min(gl))
+    for gap in range(low, min(span, high if high is not None else span) + 1):
+        for step in (gap, -gap):
+            yield from [(p, p + step) for p in sorted(gl) if p + step in bank]
+
+
+def allocate(places: list[dict], low: int, high: int | None) -> list[tuple[int, int, int, int, int]]:
+    """(ledger place, bank place, first row of either, rows) for a key's places (at, gl, bank), which count rows."""
+    gl, bank = ({x["at"]: x[s] for x in places if x[s]} for s in ("gl", "bank"))
+    if not gl or not bank:
+        return []
+    used_gl, used_bank, made = dict.fromkeys(gl, 0), dict.fromkeys(bank, 0), []
+    for p, q in in_order_of_gap(gl, bank, low, high):
+        if p in gl and q in bank:
+            n = min(gl[p], bank[q])
+            made.append((p, q, used_gl[p], used_bank[q], n))
+            for counts, used, x in ((gl, used_gl, p), (bank, used_bank, q)):
+                counts[x] -= n
+                used[x] += n
+                if not counts[x]:
+                    del counts[x]
+    return made
+
+
+ALLOCATED = ("gl_at", "bank_at", "gl_first", "bank_first", "n")
+
+
+def _allocate_batches(batches: Iterator[pa.RecordBatch], low: int, high: int | None) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [(k, *x) for k, places in enumerate(batch.column("places").to_pylist()) for x in allocate(places, low, high)]
+        keys = [c for c in batch.schema.names if c != "places"]
+        index, *columns = map(list, zip(*made)) if made else [[] for _ in range(6)]
+        taken = [batch.column(c).take(pa.array(index, pa.int64())) for c in keys]
+        yield pa.RecordBatch.from_arrays([*taken, *[pa.array(x, pa.int64()) for x in columns]], [*keys, *ALLOCATED])
+
+
+def nearest(gl: DataFrame, bank: DataFrame, keys: list[str], at: Column, low: int, high: int | None) -> DataFrame:
+    """(gl_id, bank_id) of rows with equal keys, at most one for each row, whose places differ by low to high: nearest first.
+
+    A task holds the places of a key, not its rows: one entry for each day, or each amount, that occurs.
     """
-    left, accepted = settle(found, name), []
-    while True:
-        order = F.struct("gap", "gl_id", "bank_id")
-        best = left.groupBy("gl_id").agg(F.min(order).alias("best")).select("best.*")
-        mutual = best.intersect(left.groupBy("bank_id").agg(F.min(order).alias("best")).select("best.*")).select("gl_id", "bank_id")
-        took = settle(mutual, name)
-        if took.isEmpty():
-            break
-        accepted.append(took)
-        left = settle(left.join(took.select("gl_id"), "gl_id", "left_anti").join(took.select("bank_id"), "bank_id", "left_anti"), name)
-    return reduce(DataFrame.unionByName, accepted) if accepted else left.select("gl_id", "bank_id")
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    placed = lambda side: side.select("id", *keys, at.cast("long").alias("at")).where(known & F.col("at").isNotNull())
+    sides = {"gl": placed(gl), "bank": placed(bank)}
+    counted = [rows.groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(s)) for s, rows in sides.items()]
+    n_of = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)).alias(s)
+    places = reduce(DataFrame.unionByName, counted).groupBy(*keys, "at").agg(n_of("gl"), n_of("bank"))
+    both = places.groupBy(*keys).agg(F.collect_list(F.struct("at", "gl", "bank")).alias("places"), F.sum("gl").alias("_gl"), F.sum("bank").alias("_bank"))
+    types = {f.name: f.dataType.simpleString() for f in placed(gl).schema}
+    ddl = ", ".join([*[f"{k} {types[k]}" for k in keys], *[f"{c} long" for c in ALLOCATED]])
+    pairs = bounded_batches(both).where("_gl > 0 and _bank > 0").drop("_gl", "_bank").mapInArrow(partial(_allocate_batches, low=low, high=high), ddl)
+
+    def matched(side: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(*keys, "at").orderBy("id")) - 1
+        own = sides[side].select(F.col("id").alias(f"{side}_id"), *keys, F.col("at").alias(f"{side}_at"), nth.alias("_nth"))
+        hit = own.join(pairs, [*keys, f"{side}_at"]).withColumn("_k", F.col("_nth") - F.col(f"{side}_first"))
+        return hit.where((F.col("_k") >= 0) & (F.col("_k") < F.col("n"))).select(*keys, "gl_at", "bank_at", "_k", f"{side}_id")
+
+    return matched("gl").join(matched("bank"), [*keys, "gl_at", "bank_at", "_k"]).select("gl_id", "bank_id")
 
 
 def exact(gl: DataFrame, bank: DataFrame) -> DataFrame:
@@ -90,7 +130,7 @@ def exact(gl: DataFrame, bank: DataFrame) -> DataFrame:
 
 def shifted(gl: DataFrame, bank: DataFrame, low: int = SLIGHT_DAYS[0], high: int | None = SLIGHT_DAYS[1]) -> DataFrame:
     """Sets 2 and 3: amount and memo agree, days do not."""
-    return one_to_one(candidates(gl, bank, ["cents", "memo"], days_apart(), low, high), "recon_shift")
+    return nearest(gl, bank, ["cents", "memo"], F.unix_date("day"), low, high)
 
 
 def _cored(side: DataFrame) -> DataFrame:
@@ -104,25 +144,24 @@ def similar(gl: DataFrame, bank: DataFrame) -> DataFrame:
 
 def similar_shifted(gl: DataFrame, bank: DataFrame) -> DataFrame:
     """Set 5."""
-    rows = candidates(_cored(gl).where("core is not null"), _cored(bank), ["cents", "core"], days_apart(), *SIMILAR_DAYS)
-    return one_to_one(rows, "recon_similar")
+    return nearest(_cored(gl), _cored(bank), ["cents", "core"], F.unix_date("day"), *SIMILAR_DAYS)
 
 
 def near(gl: DataFrame, bank: DataFrame) -> DataFrame:
     """Set 11: day and memo agree, amounts nearly."""
-    return one_to_one(candidates(gl, bank, ["day", "memo"], cents_apart(), *NEAR_CENTS), "recon_near")
+    return nearest(gl, bank, ["day", "memo"], F.col("cents"), *NEAR_CENTS)
 
 
-def groups_to_one(many: DataFrame, one: DataFrame) -> DataFrame:
-    """Sets 6 and 7: (many_id, one_id) of groups of one day and memo that sum to a row of the other side."""
-    sums = many.groupBy("day", "memo").agg(F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("n")).where("n > 1")
+def _summed(many: DataFrame, one: DataFrame) -> DataFrame:
+    """(day, memo, least, one_id) of groups of one day and memo, least being the group's least id, that sum to a row of the other side."""
+    sums = many.groupBy("day", "memo").agg(F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
     first = one.groupBy("day", "memo", "cents").agg(F.min("id").alias("one_id"))
-    hit = sums.join(first, ["day", "memo", "cents"]).select("day", "memo", "one_id")
-    return many.join(hit, ["day", "memo"]).select(F.col("id").alias("many_id"), "one_id")
+    return sums.join(first, ["day", "memo", "cents"]).select("day", "memo", "least", "one_id")
 
 
-def _without(side: DataFrame, ids: DataFrame) -> DataFrame:
-    return side.join(ids, "id", "left_anti")
+def groups_to_one(many: DataFrame, one: DataFrame) -> DataFrame:
+    """Sets 6 and 7: (many_id, one_id) of groups of one day and memo that sum to a row of the other side."""
+    return many.join(_summed(many, one), ["day", "memo"]).select(F.col("id").alias("many_id"), "one_id")
 
 
 #: The steps that pair rows before groups are summed, in the order of the waterfall.
@@ -133,50 +172,67 @@ PAIRED: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "similar": similar,
     "similar_date": similar_shifted,
 }
+SIDES = ("gl", "bank")
+
+
+class _Left:
+    """The rows of both sides that no step has taken, one table; each step writes what it takes and what it leaves."""
+
+    def __init__(self, gl: DataFrame, bank: DataFrame):
+        columns = ["id", "day", "cents", "memo"]
+        self.rows = settle(reduce(DataFrame.unionByName, [x.select(F.lit(s).alias("side"), *columns) for s, x in zip(SIDES, (gl, bank))]), "recon_left")
+        self.taken: list[DataFrame] = []
+
+    def side(self, name: str) -> DataFrame:
+        return self.rows.where(F.col("side") == name).drop("side")
+
+    def take(self, scenario: str, matches: DataFrame) -> None:
+        """matches has side, id and match_id."""
+        status = "review" if scenario in REVIEW else "void" if scenario == "void" else "matched"
+        took = settle(matches.select("side", "id", F.lit(scenario).alias("scenario"), F.lit(status).alias("status"), "match_id"), "recon_taken")
+        self.taken.append(took)
+        rest = settle(self.rows.join(took.select("side", "id"), ["side", "id"], "left_anti"), "recon_left")
+        discard(self.rows)
+        self.rows = rest
+
+    def take_voids(self) -> None:
+        own = [voids(self.side(s)).select(F.lit(s).alias("side"), "id", F.col("void_id").alias("match_id")) for s in SIDES]
+        self.take("void", reduce(DataFrame.unionByName, own))
+
+    def take_pairs(self, scenario: str, pairs: DataFrame) -> None:
+        both = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("id"), F.col("gl_id").alias("match_id")) for s in SIDES])
+        self.take(scenario, pairs.select(F.inline(both)))
+
+    def take_groups(self, scenario: str, many: str, one: str) -> None:
+        """Each group's rows and the one row that they sum to."""
+        hit = _summed(self.side(many), self.side(one)).withColumn("match_id", F.col("least" if many == "gl" else "one_id"))
+        rows = self.side(many).join(hit, ["day", "memo"]).select(F.lit(many).alias("side"), "id", "match_id")
+        self.take(scenario, rows.unionByName(hit.select(F.lit(one).alias("side"), F.col("one_id").alias("id"), "match_id")))
 
 
 def left_for(scenario: str, gl: DataFrame, bank: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides as a step of PAIRED finds them: without voids and the rows that steps before it take."""
-    left = {s: settle(_without(rows, voids(rows).select("id")), f"recon_{s}") for s, rows in (("gl", gl), ("bank", bank))}
+    left = _Left(gl, bank)
+    left.take_voids()
     for name, step in PAIRED.items():
         if name == scenario:
             break
-        pairs = settle(step(left["gl"], left["bank"]), "recon_pairs")
-        left = {s: settle(_without(rows, pairs.select(F.col(f"{s}_id").alias("id"))), f"recon_{s}") for s, rows in left.items()}
-    return left["gl"], left["bank"]
+        left.take_pairs(name, step(left.side("gl"), left.side("bank")))
+    return left.side("gl"), left.side("bank")
 
 
 def waterfall(gl: DataFrame, bank: DataFrame) -> DataFrame:
     """Rows (side, id, scenario, status, match_id) of all rows of both sides. match_id is the least ledger id of a match, or the
     least id of a void pair; it is null for what is left."""
-    made: list[DataFrame] = []
-    left = {"gl": settle(gl, "recon_gl"), "bank": settle(bank, "recon_bank")}
-
-    def take(scenario: str, parts: dict[str, DataFrame]) -> None:
-        status = "review" if scenario in REVIEW else "void" if scenario == "void" else "matched"
-        for side, ids in parts.items():
-            took = settle(ids.select(F.lit(side).alias("side"), "id", F.lit(scenario).alias("scenario"), F.lit(status).alias("status"), "match_id"), "recon_step")
-            made.append(took)
-            left[side] = settle(_without(left[side], took.select("id")), f"recon_{side}")
-
-    def take_pairs(scenario: str, pairs: DataFrame) -> None:
-        own = settle(pairs, "recon_pairs")
-        take(scenario, {s: own.select(F.col(f"{s}_id").alias("id"), F.col("gl_id").alias("match_id")) for s in ("gl", "bank")})
-
-    def take_groups(scenario: str, many: str, one: str) -> None:
-        own = settle(groups_to_one(left[many], left[one]), "recon_groups")
-        least = own.groupBy("one_id").agg((F.min("many_id") if many == "gl" else F.min("one_id")).alias("match_id"))
-        both = own.join(least, "one_id")
-        take(scenario, {many: both.select(F.col("many_id").alias("id"), "match_id"), one: both.select(F.col("one_id").alias("id"), "match_id").distinct()})
-
-    take("void", {s: voids(left[s]).select("id", F.col("void_id").alias("match_id")) for s in ("gl", "bank")})
+    left = _Left(gl, bank)
+    left.take_voids()
     for name, step in PAIRED.items():
-        take_pairs(name, step(left["gl"], left["bank"]))
-    take_groups("many_gl", "gl", "bank")
-    take_groups("many_bank", "bank", "gl")
-    take_pairs("near", near(left["gl"], left["bank"]))
-    rest = [left[s].select(F.lit(s).alias("side"), "id", F.lit("unmatched").alias("scenario"), F.lit("open").alias("status"), F.lit(None).cast("long").alias("match_id")) for s in left]
-    return reduce(DataFrame.unionByName, [*made, *rest])
+        left.take_pairs(name, step(left.side("gl"), left.side("bank")))
+    left.take_groups("many_gl", "gl", "bank")
+    left.take_groups("many_bank", "bank", "gl")
+    left.take_pairs("near", near(left.side("gl"), left.side("bank")))
+    rest = left.rows.select("side", "id", F.lit("unmatched").alias("scenario"), F.lit("open").alias("status"), F.lit(None).cast("long").alias("match_id"))
+    return reduce(DataFrame.unionByName, [*left.taken, rest])
 
 
 def corpus_violations(ledger: DataFrame, bank: DataFrame, first_day: str, last_day: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -13,6 +16,21 @@ SETTINGS = {
 }
 
 
+#: Bytes of one Arrow batch to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df; its session from now on sends Python workers Arrow batches of a few MB, so that long texts do not add up, and
+    tells new workers where this package is, in case the driver alone has it on its path."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    paths, root = spark.sparkContext.environment.get("PYTHONPATH", ""), str(Path(__file__).resolve().parents[1])
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
+    return df
+
+
 def session(name: str = "tieout", **settings: str) -> SparkSession:
     """An existing session, or a new one; the master and sizes are the cluster's to set."""
     builder = SparkSession.builder.appName(name)
