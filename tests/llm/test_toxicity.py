@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -6,27 +7,65 @@ from tests.llm.fixtures import hard_docs, hard_rows, no_docs
 from tieout.llm import toxicity
 
 
-def test_logistic_against_gradient():
+def fitted(x, y, folds):
+    return toxicity.newton(lambda models: toxicity.part_sums(x, y, folds, models), np.zeros(x.shape[1] + 1))
+
+
+def test_models_against_their_gradients():
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(400, 3))
+    x, folds = rng.normal(size=(400, 3)), np.arange(400) % toxicity.FOLDS
     y = (rng.uniform(size=400) < 1 / (1 + np.exp(-(x @ [1.5, -1, 0] + 0.3)))).astype(float)
-    w = toxicity.logistic(x, y)
-    p = toxicity.probability(w, x)
-    assert np.abs(np.hstack([x, np.ones((400, 1))]).T @ (y - p) - np.append(toxicity.RIDGE * w[:-1], 1e-6 * w[-1])).max() < 1e-2
-    assert (toxicity.logistic(x, np.zeros(400)) == 0).sum() == 3
+    models = fitted(x, y, folds)
+    assert len(models) == toxicity.FOLDS + 1
+    for f, w in enumerate(models):
+        own, target = x[folds != f], y[folds != f]
+        gradient = np.hstack([own, np.ones((len(own), 1))]).T @ (target - toxicity.probability(w, own))
+        assert np.abs(gradient - toxicity.penalty(4) * w).max() < 1e-2
+
+
+def test_a_step_too_far_is_halved():
+    x, folds = np.array([[1e4], [-1e4], [9e3], [-9e3]] * 4), np.arange(16) % toxicity.FOLDS
+    y = (x[:, 0] > 0).astype(float)
+    assert all(np.isfinite(w).all() and w[0] > 0 for w in fitted(x, y, folds))
 
 
 def test_chain_is_fitted_out_of_fold():
     """Noise that a model could learn by heart must not be trusted by the next one."""
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(200, 80))
-    y = rng.integers(0, 2, (200, 1)).astype(float)
-    folds = np.arange(200) % toxicity.FOLDS
-    first, second = toxicity.fit_chain(x, np.hstack([y, y]), folds)
-    by_heart = toxicity.logistic(np.hstack([x, toxicity.probability(first, x)[:, None]]), y[:, 0])
+    x, folds = rng.normal(size=(200, 80)), np.arange(200) % toxicity.FOLDS
+    y = rng.integers(0, 2, 200).astype(float)
+    first = fitted(x, y, folds)
+    unseen = np.empty((200, 81))
+    for f in range(toxicity.FOLDS):
+        unseen[folds == f] = toxicity.extended(x[folds == f], [first[f]])
+    second = fitted(unseen, y, folds)[-1]
+    by_heart = fitted(toxicity.extended(x, [first[-1]]), y, folds)[-1]
     assert second[80] < by_heart[80]
 
 
+def test_forms_that_stand_together_make_a_group():
+    rng = np.random.default_rng(7)
+    kind = rng.integers(0, 3, 300)
+    has = rng.uniform(size=(300, 30)) < np.where(np.arange(30)[None, :] % 3 == kind[:, None], 0.4, 0.01)
+    groups = toxicity.form_groups((has.T.astype(float) @ has), np.ones(30), 3)
+    assert len({(g, i % 3) for i, g in enumerate(groups)}) == 3
+    weights = np.stack([[1.0 * (groups == k) for k in range(3)]] * toxicity.FOLDS)
+    kinds = toxicity.kind_of(np.hstack([has, np.ones((300, 1))]), np.ones(300), rng.integers(0, 4, 300), weights)
+    assert np.mean(kinds == groups[kind]) > 0.9
+    assert set(toxicity.kind_of(np.hstack([has, np.ones((300, 1))]), np.zeros(300), kind, weights)) == {-1}
+
+
+def test_partitions_sum_to_the_whole():
+    rng = np.random.default_rng(8)
+    x, y, fold = rng.normal(size=(50, 4)), rng.integers(0, 2, 50).astype(float), rng.integers(0, 4, 50)
+    models = [rng.normal(size=5) for _ in range(toxicity.FOLDS + 1)]
+    whole = toxicity.part_sums(x, y, fold, models)
+    parts = [toxicity.part_sums(x[own], y[own], fold[own], models) for own in (slice(0, 20), slice(20, 50))]
+    for f in range(len(models)):
+        for part in range(3):
+            assert np.allclose(whole[f][part], parts[0][f][part] + parts[1][f][part])
+
+
 def made_docs(spark, n=800):
     rng = random.Random(15)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(900)]
@@ -48,12 +87,16 @@ def test_held_out_accuracy(spark):
     docs, labels = made_docs(spark)
     got = {r["doc_id"]: r for r in toxicity.query(docs, labels).collect()}
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
-    held = [d for d in got if toxicity.zlib.crc32(str(d).encode()) % 5 == 0]
+    held = [d for d in got if zlib.crc32(str(d).encode()) % 5 == 0]
     assert np.mean([got[d]["toxic"] == truth[d] for d in held]) > 0.97
-    assert all(0 <= got[d][f"p_{c}"] <= 1 for d in got for c, _ in toxicity.CATEGORIES)
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    insult = [d for d in held if "moron" in texts[d] or "idiot" in texts[d]]
-    assert np.mean([got[d]["p_insult"] for d in insult]) > 0.5
+    assert all(0 <= got[d][f"p_{c}"] <= 1 for d in got for c in toxicity.CATEGORIES)
+    texts = {r["doc_id"]: r["text"].split() for r in docs.collect()}
+    words = {*"idiot moron clown loser scum stupid pathetic worthless disgusting trash".split()}
+    kind = lambda d: int(np.argmax([got[d][f"p_kind_{k + 1}"] for k in range(toxicity.KINDS)]))
+    toxic = [d for d in held if truth[d]]
+    here, foreign = ([kind(d) for d in toxic if bool(words & set(texts[d])) == own] for own in (True, False))
+    most = max(set(here), key=here.count)
+    assert here.count(most) > 0.8 * len(here) and foreign.count(most) < 0.4 * len(foreign)
 
 
 def test_hard_rows_and_missing_labels(spark):

@@ -1,25 +1,29 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other: each linear model sees the words and beginnings of words that tell toxic
-texts from others, and the probabilities of all categories before it. While fitting, those probabilities are out of fold, so that
-a later model learns from what it will see; for scoring they are those of the models fitted on all folds.
+The labels know one class, toxic; its kinds are taken from the data. Telling forms (words and beginnings of words) that stand
+together in toxic texts make a group, and a toxic text is of the kind whose forms it has most of. Groups are made out of
+fold: the kind of a text is judged by groups found without its fold.
+
+Categories are predicted one after the other, the kinds and then toxic: each linear model sees the telling forms, and the
+probabilities of all categories before it. While fitting, those probabilities are out of fold, so that a later model learns
+from what it will see; for scoring they are those of the models fitted on all folds. Models are fitted by Newton's method:
+each of a fixed number of partitions sums its part of the gradients and Hessians of all folds in one pass, so what reaches
+the driver has one size for any corpus and any sample.
 
 Labels come from rows whose crc32(doc_id as text) mod 5 is not 0. The vocabulary is chosen by counts over all labelled
 documents. The chain is fitted on a bounded sample of them (most_labelled, by a hash of doc_id; equal texts of one doc_id
-count once there), so vocabulary, matrix and models have one size for any corpus; all rows are scored over their whole
-texts in one pass.
+count once there); all rows are scored over their whole texts in one pass.
 
 Null and empty texts have no words and are scored like any other; without labels of both classes a category's
-probability is its share. Repeated labels count once, by the largest. Extra columns are not read; an empty table
+probability is the share of toxic labels. Repeated labels count once, by the largest. Extra columns are not read; an empty table
 gives an empty one.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -41,15 +45,14 @@ MOST_LABELLED = 20_000
 MOST_FORMS = 1 << 18
 FOLDS = 4
 RIDGE = 1.0
-STEPS = 15
+#: Passes of Newton's method for each category, at most, and the relative gain of the last.
+STEPS, LEAST_GAIN = 10, 1e-5
+#: Partitions that each sum a part of the gradients and Hessians.
+SUMMED_IN = 8
 THRESHOLD = 0.5
 BATCH = 512
-#: Categories that are told apart within the label by its wording: insults of persons, then contempt of anything.
-CATEGORIES = (
-    ("insult", "idiot moron clown loser scum"),
-    ("contempt", "stupid pathetic worthless disgusting trash"),
-    ("toxic", ""),
-)
+KINDS = 3
+CATEGORIES = [*[f"kind_{k + 1}" for k in range(KINDS)], "toxic"]
 
 
 def words_of(text: str) -> list[str]:
@@ -76,7 +79,10 @@ class _Places(dict):
 
 @dataclass
 class Chain:
-    names: list[str]
+    """A model for each category, each over the vocabulary, the number of words and the categories before; the last weight of one
+    is its intercept."""
+
+    names: list[str] = field(default_factory=lambda: list(CATEGORIES))
     vocabulary: dict[str, int] = field(default_factory=dict)
     weights: list[np.ndarray] = field(default_factory=list)
 
@@ -94,59 +100,89 @@ class Chain:
         return np.log1p(x)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        for w in self.weights:
-            x = np.hstack([x, probability(w, x)[:, None]])
-        return x[:, len(self.vocabulary) + 1 :]
+        return extended(x, self.weights)[:, len(self.vocabulary) + 1 :]
 
     def __getstate__(self):
         return {"names": self.names, "vocabulary": self.vocabulary, "weights": self.weights}
 
 
+def extended(x: np.ndarray, chain: list[np.ndarray]) -> np.ndarray:
+    """x and the probabilities of a chain of models."""
+    for w in chain:
+        x = np.hstack([x, probability(w, x)[:, None]])
+    return x
+
+
 def probability(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    return 1 / (1 + np.exp(-margin(w, x)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by reweighted least squares; the last weight is the intercept."""
-    w = np.zeros(x.shape[1] + 1)
-    share = (y.sum() + 0.5) / (len(y) + 1)
-    w[-1] = np.log(share / (1 - share))
-    if not len(y) or y.min() == y.max():
-        return w
-    z = np.hstack([x, np.ones((len(x), 1))])
-    penalty = RIDGE * np.eye(len(w))
-    penalty[-1, -1] = 1e-6
+def margin(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
-    def loss(u: np.ndarray) -> float:
-        m = np.clip(x @ u[:-1] + u[-1], -30, 30)
-        return float((np.log1p(np.exp(m)) - y * m).sum() + (penalty.diagonal() * u * u).sum() / 2)
 
-    now = loss(w)
-    for _ in range(STEPS):
-        p = probability(w, x)
+def penalty(width: int) -> np.ndarray:
+    """Of each weight; next to none of the intercept."""
+    return np.append(np.full(width - 1, RIDGE), 1e-6)
+
+
+def part_sums(x: np.ndarray, y: np.ndarray, fold: np.ndarray, models: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(Hessian, gradient, loss) of rows for each model: model f does not see fold f, the last sees all."""
+    z, sums = np.hstack([x, np.ones((len(x), 1))]), []
+    for f, w in enumerate(models):
+        seen = fold != f
+        own, target, m = z[seen], y[seen], margin(w, x[seen])
+        p = 1 / (1 + np.exp(-m))
         v = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((z * v[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
-        size = 1.0
-        while size > 1e-3 and loss(w + size * step) > now:  # Newton's step may go too far
-            size /= 2
-        w, before, now = w + size * step, now, loss(w + size * step)
-        if before - now < 1e-6 * abs(before):
-            break
-    return w
+        sums.append(((own * v[:, None]).T @ own, own.T @ (target - p), float((np.log1p(np.exp(m)) - target * m).sum())))
+    return sums
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
-    """A model for each column of labels; folds says which rows a fold's model does not see."""
-    weights = []
-    for k in range(labels.shape[1]):
-        weights.append(logistic(x, labels[:, k]))
-        unseen = np.empty(len(x))
-        for f in range(FOLDS):
-            out = folds == f
-            if out.any():
-                unseen[out] = probability(logistic(x[~out], labels[~out, k]), x[out])
-        x = np.hstack([x, unseen[:, None]])
-    return weights
+def newton(sums: Callable[[list[np.ndarray]], list[tuple[np.ndarray, np.ndarray, float]]], start: np.ndarray) -> list[np.ndarray]:
+    """Ridge logistic models of all folds and of all rows, by passes that give part_sums over the rows."""
+    models = [start.copy() for _ in range(FOLDS + 1)]
+    best: list[tuple[float, np.ndarray] | None] = [None] * len(models)
+    own = penalty(len(start))
+    for _ in range(STEPS):
+        gains = []
+        for f, (hessian, gradient, loss) in enumerate(sums(models)):
+            w, loss = models[f], loss + float((own * models[f] ** 2).sum()) / 2
+            if best[f] and loss > best[f][0]:  # Newton's step went too far
+                models[f] = (w + best[f][1]) / 2
+                gains.append(1.0)
+                continue
+            gains.append((best[f][0] - loss) / max(abs(loss), 1e-9) if best[f] else 1.0)
+            best[f] = (loss, w)
+            models[f] = w + np.linalg.solve(hessian + np.diag(own), gradient - own * w)
+        if max(gains) < LEAST_GAIN:
+            break
+    return [w for _, w in best]
+
+
+def form_groups(together: np.ndarray, telling: np.ndarray, kinds: int, near: np.ndarray | None = None) -> np.ndarray:
+    """The group of each form, by how often two stand together in toxic texts; telling weighs the forms.
+
+    Groups grow from seeds that are telling and apart, or from the groups near; a form joins the group with which it stands together
+    most on the whole.
+    """
+    n = len(together)
+    alike = together / np.sqrt(np.maximum(np.outer(together.diagonal(), together.diagonal()), 1e-9))
+    np.fill_diagonal(alike, 0)
+    if near is None:
+        seeds: list[int] = []
+        for _ in range(min(kinds, n)):
+            apart = 1 - np.clip(alike[:, seeds].max(axis=1), 0, 1) if seeds else np.ones(n)
+            apart[seeds] = -1
+            seeds.append(int(np.argmax(telling * apart)))
+        near = np.argmax(alike[:, seeds], axis=1) if seeds else np.zeros(n, int)
+        near[seeds] = np.arange(len(seeds))
+    for _ in range(20):
+        mean = np.stack([alike[:, near == k].mean(axis=1) if (near == k).any() else np.full(n, -1.0) for k in range(kinds)], axis=1)
+        now = mean.argmax(axis=1)
+        if (now == near).all():
+            break
+        near = now
+    return near
 
 
 def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,42 +205,115 @@ def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield part()
 
 
-def _matrix_batches(batches: Iterator[pa.RecordBatch], chain: Chain, categories: tuple) -> Iterator[pa.RecordBatch]:
+def _matrix_batches(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, BATCH):
+            batch = whole.slice(at, BATCH)
+            x = chain.matrix(batch.column("text").to_pylist()).astype(np.float32)
+            yield pa.RecordBatch.from_pydict({"fold": batch.column("fold"), "y": batch.column("y"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, fold) of the rows, a block at a time."""
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        x = chain.matrix(texts).astype(np.float32)
-        seeds = [frozenset(s.split()) for _, s in categories]
-        y = [[int(bool(bad) and (not s or not s.isdisjoint(words_of(t)))) for s in seeds] for t, bad in zip(texts, batch.column("y").to_pylist())]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.string()), "x": pa.array([r.tobytes() for r in x], pa.binary()), "y": pa.array(y, pa.list_(pa.int32()))})
+        if batch.num_rows:
+            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, width).astype(np.float64)
+            yield x, batch.column("y").to_numpy(zero_copy_only=False).astype(np.float64), batch.column("fold").to_numpy(zero_copy_only=False)
+
+
+def _together_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """For each fold, how many toxic texts have two forms."""
+    sums = np.zeros((FOLDS, width - 1, width - 1))
+    for x, y, fold in _blocks(batches, width):
+        for f in range(FOLDS):
+            has = (x[(fold == f) & (y == 1), :-1] > 0).astype(np.float64)
+            sums[f] += has.T @ has
+    yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.astype(np.float32).tobytes()], pa.binary())})
+
+
+def kind_of(x: np.ndarray, y: np.ndarray, fold: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """The kind of each toxic row, -1 for others; groups is (fold, kind, form)."""
+    mass = np.einsum("nf,nkf->nk", (x[:, : groups.shape[2]] > 0).astype(np.float64), groups[fold])
+    return np.where(y == 1, mass.argmax(axis=1), -1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: tuple = CATEGORIES, most_labelled: int = MOST_LABELLED) -> Chain:
+def _sum_batches(batches: Iterator[pa.RecordBatch], width: int, groups: np.ndarray, before: list[list[np.ndarray]], models: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """part_sums over a partition; before has, for each fold and for all rows, the chain of categories fitted so far."""
+    total: list | None = None
+    for x, y, fold in _blocks(batches, width):
+        kind, k = kind_of(x, y, fold, groups), len(before[0])
+        target = (kind == k).astype(np.float64) if k < groups.shape[1] else y
+        seen = np.empty((len(x), width + k))
+        for f in range(FOLDS):
+            seen[fold == f] = extended(x[fold == f], before[f])
+        own = part_sums(seen, target, fold, models)
+        total = own if total is None else [tuple(a + b for a, b in zip(s, t)) for s, t in zip(total, own)]
+    if total:
+        upper = np.triu_indices(len(models[0]))
+        packed = [np.concatenate([h[upper], g, [loss]]) for h, g, loss in total]
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([np.stack(packed).tobytes()], pa.binary())})
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Chain:
     """labels has doc_id and y (0 or 1)."""
-    chain = Chain([c for c, _ in categories])
+    chain = Chain()
     crc = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
     known = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y")).where(crc != 0)
     texts = bounded_batches(docs).where(crc != 0).select("doc_id", text_or_empty().alias("text"))
     made = texts.join(known, "doc_id").select("text", "y").mapInArrow(_form_batches, "form string, n long, bad long")
     counts = write_table(made.groupBy("form").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "toxicity_forms")
     n, bad = counts.where("form is null").select("n", "bad").first() or (0, 0)
-    # at most most_labelled rows that are in the table, so they can be sent to all tasks
+    share = (bad + 0.5) / (n + 1)
+    constant = np.log(share / (1 - share))
+    if not bad or bad == n:
+        chain.weights = [np.append(np.zeros(1 + k), constant) for k in range(len(chain.names))]
+        return chain
+    # how far the share among toxic documents is from that among others, in its own deviations
+    p, p1, p0 = F.col("n") / n, F.col("bad") / bad, (F.col("n") - F.col("bad")) / (n - bad)
+    z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / bad + 1 / (n - bad)))
+    top = counts.where((F.col("n") >= LEAST_SUPPORT) & F.col("form").isNotNull()).select("form", z.alias("z")).orderBy(F.abs("z").desc(), "form").limit(VOCABULARY_SIZE).collect()
+    chain.vocabulary = {r["form"]: k for k, r in enumerate(top)}
+    telling, width = np.array([max(r["z"], 0.0) for r in top]), len(top) + 1
+    rows = sampled(texts, known, most_labelled).mapInArrow(partial(_matrix_batches, chain=chain), "fold int, y int, x binary")
+    rows = write_table(rows.repartition(SUMMED_IN), "toxicity_rows")
+
+    def collected(step: Callable) -> list[np.ndarray]:
+        return [np.frombuffer(r["sums"], np.float64) for r in rows.mapInArrow(step, "sums binary").collect()]
+
+    parts = rows.mapInArrow(partial(_together_batches, width=width), "sums binary").collect()
+    together = sum(np.frombuffer(r["sums"], np.float32).astype(np.float64) for r in parts).reshape(FOLDS, width - 1, width - 1)
+    whole = form_groups(together.sum(axis=0), telling, KINDS)
+    of_fold = [form_groups(together.sum(axis=0) - own, telling, KINDS, whole) for own in together]
+    groups = np.stack([[telling * (g == k) for k in range(KINDS)] for g in of_fold])
+
+    before: list[list[np.ndarray]] = [[] for _ in range(FOLDS + 1)]
+    for k in range(len(chain.names)):
+        size = width + k + 1
+        upper = np.triu_indices(size)
+
+        def sums(models: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+            total = sum(collected(partial(_sum_batches, width=width, groups=groups, before=before, models=models)))
+            unpacked = []
+            for own in total.reshape(FOLDS + 1, -1):
+                hessian = np.zeros((size, size))
+                hessian[upper] = own[: len(upper[0])]
+                hessian += np.triu(hessian, 1).T
+                unpacked.append((hessian, own[len(upper[0]) : -1], own[-1]))
+            return unpacked
+
+        for chained, w in zip(before, newton(sums, np.append(np.zeros(size - 1), constant))):
+            chained.append(w)
+    chain.weights = before[-1]
+    return chain
+
+
+def sampled(texts: DataFrame, known: DataFrame, most_labelled: int) -> DataFrame:
+    """Rows (fold, y, text) of at most most_labelled labelled documents that are in the table."""
     marked = texts.withColumn("_hash", F.xxhash64("text"))
     some = marked.select("doc_id", "_hash").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_hash").limit(most_labelled)
-    rows = marked.join(F.broadcast(some), ["doc_id", "_hash"]).distinct()
-    if bad and n > bad:
-        # how far the share among toxic documents is from that among others, in its own deviations
-        p, p1, p0 = F.col("n") / n, F.col("bad") / bad, (F.col("n") - F.col("bad")) / (n - bad)
-        z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / bad + 1 / (n - bad)))
-        top = counts.where((F.col("n") >= LEAST_SUPPORT) & F.col("form").isNotNull()).orderBy(F.abs(z).desc(), "form").limit(VOCABULARY_SIZE).select("form").collect()
-        chain.vocabulary = {r["form"]: k for k, r in enumerate(top)}
-    made = rows.mapInArrow(partial(_matrix_batches, chain=chain, categories=categories), "doc_id string, x binary, y array<int>")
-    got = sorted((r["doc_id"], r["x"], r["y"]) for r in made.collect())  # most_labelled rows of one size
-    width = len(chain.vocabulary) + 1
-    x = np.array([np.frombuffer(b, np.float32) for _, b, _ in got]).reshape(-1, width).astype(np.float64)
-    y = np.array([v for *_, v in got], np.float64).reshape(-1, len(chain.names))
-    folds = np.array([zlib.crc32(("fold" + d).encode()) % FOLDS for d, *_ in got], np.int64)
-    chain.weights = fit_chain(x, y, folds)
-    return chain
+    rows = marked.join(F.broadcast(some), ["doc_id", "_hash"]).dropDuplicates(["doc_id", "_hash"])
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
+    return rows.select(fold.alias("fold"), F.col("y").cast("int").alias("y"), "text")
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.RecordBatch]:
