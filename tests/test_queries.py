@@ -5,9 +5,11 @@ import os
 import duckdb
 import pytest
 
-from tieout.plans import oracle, queries
+from tieout.plans import oracle, parts, queries
 
 DATA = "/root/testdata/sf0.001"
+QUERIES = queries.queries() | parts.queries()
+SQL = oracle.oracle_sql() | parts.oracle_sql()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -25,13 +27,22 @@ def shown(value):
     return None if value is None else f"{value:.10g}" if isinstance(value, float) else str(value)
 
 
-@pytest.mark.parametrize("name", queries.queries())
+@pytest.mark.parametrize("name", [q for q in QUERIES if q in SQL])
 def test_query_equals_its_sql(spark, duck, name):
-    df = queries.queries()[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
     got = sorted((tuple(shown(r[c]) for c in columns) for r in df.collect()), key=str)
-    found = duck.sql(oracle.oracle_sql()[name])
+    found = duck.sql(SQL[name])
     assert sorted(found.columns) == columns
     at = [found.columns.index(c) for c in columns]
     assert got == sorted((tuple(shown(r[i]) for i in at) for r in found.fetchall()), key=str)
     assert got or name == "q06b_skipped_checks"
+
+
+def test_suggestions_are_those_of_the_standard_library(spark):
+    import difflib
+
+    rows = parts.q60_suggestions(spark, DATA).collect()
+    known = sorted({k for _, k, _ in parts.allowed_keys()})
+    assert {r["suggestion"] for r in rows if r["key"] == "rvnu"} == set(difflib.get_close_matches("rvnu", known, 6, 0.4))
+    assert ("gross_profit", 0) in {(r["suggestion"], r["nth"]) for r in rows if r["key"] == "gross_profit"}

@@ -100,9 +100,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     summary = {r["name"]: r for r in writers.records(checks.summarize(filing.checks))}
     total = summary.get(None, {"n_passed": 0, "n_checks": 0})
     print(f"{filing.raw.count()} rows, {filing.items.count()} line items, checks {total['n_passed']}/{total['n_checks']}, {filing.quarantined.count()} quarantined")
-    if args.compare and mapping is not None:
-        other, _ = normalize.normalize(filing.raw, normalize.by_alias(rules.dim_alias(spark)))
-        checks.comparison_report(checks.compare_normalizers(filing.accepted, other, normalize.ROW)).show()
+    failed = filing.checks.where(~F.col("passed")).orderBy("name", "period_sort")
+    for r in failed.toLocalIterator():
+        print(f"  failed: {r['name']} {r['period']}: {r['actual']} is not {r['expected']} (by {r['diff']})")
+    if args.compare and mapping is None:
+        print("nothing to compare with: --compare takes the mapping of --mapping")
+    elif args.compare:
+        sides = [normalize.normalize(filing.raw, n)[0] for n in (normalize.by_mapping(mapping), normalize.by_alias(rules.dim_alias(spark)))]
+        compared = settle(checks.compare_normalizers(*sides, normalize.ROW), "compared")
+        checks.comparison_report(compared).show()
+        for r in compared.where("verdict <> 'agree'").orderBy(*normalize.ROW).toLocalIterator():
+            print(f"  page {r['page']}, row {r['row_ord']}: {r['verdict']}: {r['left_key']}, {r['right_key']}")
     show_all(filing.views["funding_mix"].where("delta_assets is not null").orderBy("period_sort"))
     show_all(filing.views["growth_efficiency"].orderBy("period_sort"))
     if args.db:

@@ -1,14 +1,19 @@
 """Positioned words to raw rows, page by page: rows, period heading, columns, wrapped labels, headings.
 
-Everything is windows and higher-order functions over (doc_id, page), so pages spread over the cluster and none leaves the JVM.
+All work is by (doc_id, page), so pages spread over the cluster; but for the rows' tops it is windows and higher-order functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.functions import text as fn
+from tieout.session import bounded_batches
 
 PAGE = ["doc_id", "page"]
 # Fixed values, in points: distance within which words are of one row, the band of the page number, how far left of the first
@@ -26,23 +31,39 @@ def body_words(words: DataFrame) -> DataFrame:
     return words.where(F.col("top") < F.col("page_height") - FOOTER_BAND)
 
 
-def cluster(words: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
-    """LAY1: words with bucket, the top of the first row within tolerance in order of appearance.
+def buckets(tops: list[float], tolerance: float) -> list[float]:
+    """For each word in order of appearance, the top of the first row within tolerance, which may be its own.
 
-    Row tops are only ever added, so the first match in the final list is the first match at the time.
+    Rows within tolerance lie in a word's band of that height or in one beside it.
     """
-    near = lambda key, top: F.abs(key - top) <= tolerance
-    tops = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("word_seq", "top"))).alias("_tops"))
-    grown = F.aggregate(
-        "_tops",
-        F.expr("cast(array() as array<double>)"),
-        lambda keys, w: F.when(F.exists(keys, lambda k: near(k, w["top"])), keys).otherwise(F.concat(keys, F.array(w["top"]))),
-    )
-    return (
-        words.join(tops.select(*PAGE, grown.alias("_keys")), PAGE)
-        .withColumn("bucket", F.get(F.filter("_keys", lambda k: near(k, F.col("top"))), 0))
-        .drop("_keys")
-    )
+    bands: dict[int, list[tuple[int, float]]] = {}
+    found = []
+    for k, top in enumerate(tops):
+        band = int(top // tolerance)
+        near = [(n, t) for b in range(band - 1, band + 2) for n, t in bands.get(b, ()) if abs(t - top) <= tolerance]
+        if not near:
+            bands.setdefault(band, []).append((k, top))
+        found.append(min(near)[1] if near else top)
+    return found
+
+
+def _bucket_batches(batches: Iterator[pa.RecordBatch], tolerance: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [buckets(tops, tolerance) for tops in batch.column("_tops").to_pylist()]
+        kept = [c for c in batch.schema.names if c != "_tops"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(made, pa.list_(pa.float64()))], [*kept, "_buckets"])
+
+
+def cluster(words: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
+    """LAY1: words with bucket, the top of the first row within tolerance in order of appearance. A page is one entry: its words
+    are gathered once and told their rows in one pass."""
+    order = ["word_seq", *[c for c in words.columns if c not in (*PAGE, "word_seq")]]
+    pages = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_words"))
+    types = {f.name: f.dataType.simpleString() for f in pages.schema}
+    placed = bounded_batches(pages).withColumn("_tops", F.transform("_words", lambda w: w["top"]))
+    made = placed.mapInArrow(partial(_bucket_batches, tolerance=tolerance), ", ".join([*[f"{c} {types[c]}" for c in pages.columns], "_buckets array<double>"]))
+    one = made.select(*PAGE, F.explode(F.arrays_zip("_words", "_buckets")).alias("_w"))
+    return one.select(*[F.col(c) if c in PAGE else F.col(f"_w._words.{c}").alias(c) for c in words.columns], F.col("_w._buckets").alias("bucket"))
 
 
 def page_rows(clustered: DataFrame) -> DataFrame:

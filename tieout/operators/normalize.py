@@ -5,14 +5,18 @@ Nothing is dropped: every raw row is either accepted or quarantined with a reaso
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.functions import text as fn
 from tieout.operators import rules
-from tieout.schemas import dim_keys
+from tieout.schemas import allowed_keys, dim_keys
+from tieout.session import bounded_batches
+from tieout.sources.scratch import settle
 
 ROW = ["doc_id", "page", "row_ord"]
 #: A normalizer gives (doc_id, page, row_ord, canonical_key, unit, confidence, method) for the rows it can map.
@@ -75,11 +79,51 @@ def by_mapping(mapping: DataFrame) -> Normalizer:
     return lambda rows: rows.select(*ROW).join(mapping, ROW)
 
 
-def requests(rows: DataFrame) -> DataFrame:
-    """U1, SC14: one request a page for an external model: labels with up to three sample values, and its hash."""
+def requests(rows: DataFrame, model_name: str = "") -> DataFrame:
+    """U1, SC14: one request a page for a model: labels with up to three sample values, and its hash, which a change of page,
+    labels, values or model changes."""
     line = F.struct("row_ord", "raw_label", context_of(F.col("section_path")).alias("context"), F.slice(F.filter(F.map_values("values"), lambda v: v.isNotNull()), 1, 3).alias("samples"))
     page = with_statement(rows).where("statement is not null").groupBy("doc_id", "page", "statement").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    return page.withColumn("request_hash", fn.request_hash(F.col("page"), F.col("statement"), F.col("lines")))
+    return page.withColumn("request_hash", fn.request_hash(F.lit(model_name).alias("model"), F.col("page"), F.col("statement"), F.col("lines")))
+
+
+#: A caller's model: the statement of a page, the keys allowed there and the page's lines (row_ord, raw_label, context, samples)
+#: to answers (row_ord, canonical_key, unit, confidence). It runs in the tasks.
+Model = Callable[[str, list[str], list[dict]], list[dict]]
+ANSWERS = "array<struct<row_ord: int, canonical_key: string, unit: string, confidence: double>>"
+
+
+def _answer_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    keys: dict[str, list[str]] = {}
+    for statement, key, _ in allowed_keys():
+        keys.setdefault(statement, []).append(key)
+    columns = [("row_ord", pa.int32()), ("canonical_key", pa.string()), ("unit", pa.string()), ("confidence", pa.float64())]
+    for batch in batches:
+        pages = zip(batch.column("statement").to_pylist(), batch.column("lines").to_pylist())
+        made = [[{c: a.get(c) for c, _ in columns} for a in model(s, keys.get(s, []), lines)] for s, lines in pages]
+        yield pa.RecordBatch.from_pydict({"request_hash": batch.column("request_hash"), "answers": pa.array(made, pa.list_(pa.struct(columns)))})
+
+
+def ask(wanted: DataFrame, model: Model) -> DataFrame:
+    """Rows (request_hash, answers), each distinct request put to the model once. What it answers is checked like any mapping:
+    normalize() quarantines keys outside the closed set, and values are never taken from it."""
+    once = bounded_batches(wanted).groupBy("request_hash").agg(F.first("statement").alias("statement"), F.first("lines").alias("lines"))
+    return once.mapInArrow(partial(_answer_batches, model=model), f"request_hash string, answers {ANSWERS}")
+
+
+def by_model(rows: DataFrame, model: Model, cache: DataFrame | None = None, model_name: str = "") -> tuple[Normalizer, DataFrame]:
+    """U1, SRC6: a normalizer by a caller's model, and the answers that are new, to be appended to the cache (SNK10).
+
+    cache has earlier answers (request_hash, answers); a page found there is not put to the model, in whatever document it stands.
+    """
+    wanted = settle(requests(rows, model_name), "requests")
+    if cache is None:
+        cache = rows.sparkSession.createDataFrame([], f"request_hash string, answers {ANSWERS}")
+    known = cache.groupBy("request_hash").agg(F.first("answers").alias("answers"))
+    fresh = settle(ask(wanted.join(known, "request_hash", "left_anti"), model), "answers")
+    answered = wanted.join(known.unionByName(fresh), "request_hash").select("doc_id", "page", F.inline("answers"))
+    mapping = answered.where("canonical_key is not null").withColumn("method", F.lit("model"))
+    return by_mapping(mapping), fresh
 
 
 def normalize(rows: DataFrame, normalizer: Normalizer, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

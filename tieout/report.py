@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,17 +71,30 @@ def table(rows: list[dict], decimals: int = 0) -> str:
     return "".join(table_parts(rows, decimals))
 
 
+def cards(items: DataFrame, checks: DataFrame, quarantined: DataFrame) -> DataFrame:
+    """AG9, AG10: (card, value) of the report's head, in order: counts, checks passed of all, and who made the labels."""
+    one = lambda df, name, value: df.agg(value.cast("string").alias("value")).select(F.lit(name).alias("card"), "value")
+    model = F.coalesce(F.bool_or(F.col("method") != "alias"), F.lit(False))
+    passed = F.concat_ws("/", F.count_if("passed").cast("string"), F.count("passed").cast("string"))
+    made = [
+        one(items, "line items", F.count(F.lit(1))),
+        one(checks, "checks", passed),
+        one(quarantined, "quarantined", F.count(F.lit(1))),
+        one(items, "labels", F.when(model, "model").otherwise("rules")),
+    ]
+    return reduce(DataFrame.unionByName, made)
+
+
 def parts(title: str, items: DataFrame, checks: DataFrame, funding: DataFrame, efficiency: DataFrame, quarantined: DataFrame, raw_rows: int) -> Iterator[str]:
     """The whole report, piece by piece. All quarantined rows are listed; they come in order, one partition at a time."""
     from tieout.operators.checks import summarize
 
-    totals = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or(F.col("method") != "alias"), F.lit(False)).alias("model")).first()
     summary = records(summarize(checks).orderBy(F.col("name").isNotNull(), "name"))
-    passed = next((r for r in summary if r["name"] is None), {"n_passed": 0, "n_checks": 0})
-    held = quarantined.count()
-    cards = [("rows", raw_rows), ("line items", totals["n"]), ("checks", f"{passed['n_passed']}/{passed['n_checks']}"), ("quarantined", held), ("labels", "model" if totals["model"] else "rules")]
+    counted = {r["card"]: r["value"] for r in records(cards(items, checks, quarantined))}
+    held = int(counted["quarantined"])
+    shown = [("rows", raw_rows), *counted.items()]
     yield f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{STYLE}</style></head><body>"
-    yield f"<h1>{html.escape(title)}</h1>" + "".join(f'<div class="card"><b>{html.escape(str(v))}</b><br>{html.escape(k)}</div>' for k, v in cards)
+    yield f"<h1>{html.escape(title)}</h1>" + "".join(f'<div class="card"><b>{html.escape(str(v))}</b><br>{html.escape(k)}</div>' for k, v in shown)
     yield f"<h2>Funding mix</h2>{chart(funding)}{table(records(funding.where('delta_assets is not null').orderBy('period_sort').drop('period_sort')), 1)}"
     yield f"<h2>Growth and efficiency</h2>{table(records(efficiency.orderBy('period_sort').drop('period_sort')), 3)}"
     yield f"<h2>Checks</h2>{table([r for r in summary if r['name'] is not None])}"

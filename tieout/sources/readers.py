@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieout import schemas
+from tieout.session import bounded_batches
 
 
 def ledger_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -35,6 +37,24 @@ def reports_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("report_id"), F.col("value").alias("body"))
 
 
+#: What brings a report's JSON by its name: a saved file, a web client, a test.
+Fetch = Callable[[str], str]
+
+
+def _fetch_batches(batches: Iterator, fetch: Fetch) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        names = batch.column("report_id").to_pylist()
+        yield pa.RecordBatch.from_pydict({"report_id": pa.array(names, pa.string()), "body": pa.array(list(map(fetch, names)), pa.string())})
+
+
+def fetched_reports(wanted: DataFrame, fetch: Fetch) -> DataFrame:
+    """SRC3: ledger reports (report_id, body) of the names in wanted (report_id), by a function of the caller's, which runs in the
+    tasks. Write the result before it is used twice: each use fetches anew."""
+    return bounded_batches(wanted).select("report_id").mapInArrow(partial(_fetch_batches, fetch=fetch), "report_id string, body string")
+
+
 def company_json(spark: SparkSession, path: str) -> DataFrame:
     """SRC4."""
     return spark.read.json(path, multiLine=True)
@@ -46,7 +66,7 @@ def words_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mappings_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """SRC6: recorded mappings by request hash."""
+    """SRC6: recorded mappings by row, or a model's answers by request hash."""
     return spark.read.parquet(path)
 
 

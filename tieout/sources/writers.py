@@ -18,12 +18,14 @@ def rebuild(tables: dict[str, DataFrame], path: str, partition_by: dict[str, lis
 
 
 def filing_json(header: DataFrame, items: DataFrame, quarantined: DataFrame, entity: list[str], path: str) -> None:
-    """SNK5: one JSON document for each entity, with its items and its quarantine."""
+    """SNK5: one JSON document for each entity, with its items and its quarantine, which may be empty."""
     item = [c for c in items.columns if c not in entity]
     held = [c for c in quarantined.columns if c not in entity]
     a = items.groupBy(*entity).agg(F.array_sort(F.collect_list(F.struct(*item))).alias("line_items"))
     b = quarantined.groupBy(*entity).agg(F.array_sort(F.collect_list(F.struct(*held))).alias("quarantined"))
-    header.join(a, entity, "left").join(b, entity, "left").write.mode("overwrite").json(path)
+    whole = header.join(a, entity, "left").join(b, entity, "left")
+    empty = {c: F.coalesce(c, F.array().cast(whole.schema[c].dataType)) for c in ("line_items", "quarantined")}
+    whole.withColumns(empty).write.mode("overwrite").json(path)
 
 
 def amounts_csv(df: DataFrame, path: str) -> None:
@@ -32,7 +34,7 @@ def amounts_csv(df: DataFrame, path: str) -> None:
 
 
 def append_mappings(mappings: DataFrame, path: str) -> None:
-    """SNK10."""
+    """SNK10: mappings, or a model's new answers, go to those recorded before."""
     mappings.write.mode("append").parquet(path)
 
 
