@@ -38,6 +38,57 @@ def test_matching_statistics_against_all_substrings():
         assert sorted(i for i, _ in found) == [i for i in range(30) if words[i : i + len(p)] == p]
 
 
+def chains_by_hand(words, notices, least_run, most_gap, least_cover):
+    """Spans from maximal runs that are found by comparing all places of the text with all places of every notice."""
+    longest = longest_run_by_hand(words, notices)
+    ends = [i for i, n in enumerate(longest) if n and (i == len(words) - 1 or longest[i + 1] <= n)]
+    spans = []
+    for k, notice in enumerate(notices):
+        chain = None
+        for i in ends:
+            n = longest[i]
+            places = [p for p in range(n - 1, len(notice)) if notice[p - n + 1 : p + 1] == words[i - n + 1 : i + 1]]
+            if not places or n < min(least_run, len(notice)):
+                continue
+            later = [p for p in places if chain and p > chain["at"]]
+            new = min(n, later[0] - chain["at"], i - chain["last"]) if later else 0
+            if new > 0 and i - n - chain["last"] <= most_gap:
+                chain |= {"last": i, "at": later[0], "covered": chain["covered"] + new}
+            else:
+                spans.append((k, chain))
+                chain = {"first": i - n + 1, "last": i, "at": places[0], "covered": n}
+        spans.append((k, chain))
+    return sorted((f"n{k}", c["first"], c["last"], c["covered"] / len(notices[k])) for k, c in spans if c and c["covered"] >= least_cover * len(notices[k]))
+
+
+def common_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return row[-1]
+
+
+def test_chains_against_brute_force():
+    rng = random.Random(16)
+    found = 0
+    for trial in range(300):
+        letters = [b"a", b"b", b"c", b"d", b"e", b"f"][: 3 + trial % 4]
+        notices = [[rng.choice(letters) for _ in range(rng.randint(4, 12))] for _ in range(3)]
+        own = scan.Scanner(tuple((f"n{k}", b" ".join(x).decode()) for k, x in enumerate(notices)), (), 2, 2, 0.6)
+        words = [rng.choice([*letters, b"z"]) for _ in range(10)]
+        for x in notices:  # each notice with a few words gone, changed or put in
+            words += [w for w in x if rng.random() > 0.1] + [rng.choice([*letters, b"z"]) for _ in range(rng.randint(0, 5))]
+        spans = own.spans(own.runs(words)[0])
+        assert sorted(spans) == chains_by_hand(words, notices, 2, 2, 0.6)
+        for label, first, last, cover in spans:
+            notice = notices[int(label[1:])]
+            assert common_subsequence(words[first : last + 1], notice) >= round(cover * len(notice))
+        found += len(spans)
+    assert found > 300
+
+
 def test_spans_and_labels():
     own = scanner()
     mit = NOTICES[2][1]

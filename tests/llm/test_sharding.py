@@ -1,8 +1,10 @@
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from tests.llm.fixtures import hard_docs, hard_rows, no_docs
-from tieout.llm import sharding
+from tieout.llm import common, sharding
 
 
 def test_law_slots_and_columns(spark):
@@ -19,6 +21,26 @@ def test_law_slots_and_columns(spark):
     assert sharding.query(no_docs(spark)).count() == 0
 
 
+def test_order_against_brute_force(spark, monkeypatch):
+    """Shuffled ranks within sources, fractional ranks, one order, equal cuts: by hand from the seeded hashes."""
+    monkeypatch.setattr(sharding, "SORTED_TOGETHER", 7)
+    monkeypatch.setattr(common, "SLICES_TOGETHER", 3)
+    docs = hard_docs(spark).unionByName(spark.range(300).selectExpr("1000 + id as doc_id", "concat('t', id % 50) as text", "'hot' as source"), allowMissingColumns=True)
+    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(sharding.SEED), "doc_id", "text_crc32", "size"), 2).alias("shuffled")
+    got = sharding.shard(docs).select("*", hashed).collect()
+    own = lambda r: (r["shuffled"], r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"])
+    by_source = defaultdict(list)
+    for r in got:
+        by_source[r["source_key"]].append(own(r))
+    order = sorted(((rank + 0.5) / len(rows), source, *row) for source, rows in by_source.items() for rank, row in enumerate(sorted(rows)))
+    n = len(order)
+    want = Counter()
+    for at, (_, source, *row) in enumerate(order):
+        shard = at * sharding.SHARDS // n
+        want[(source, *row, shard, at - -(-shard * n // sharding.SHARDS))] += 1
+    assert Counter((r["source_key"], *own(r), r["shard"], r["slot"]) for r in got) == want
+
+
 def test_every_shard_has_the_mixture(spark, monkeypatch):
     monkeypatch.setattr(sharding, "SORTED_TOGETHER", 50)  # several slices
     docs = spark.range(1200).selectExpr("id as doc_id", "concat('t', id) as text", "case when id % 3 = 0 then 'hot' else concat('s', id % 5) end as source")

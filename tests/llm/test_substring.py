@@ -4,9 +4,10 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import hard_docs, hard_rows, no_docs
-from tieout.llm import substring
+from tieout.llm import common, substring
 
 
 def by_hand(rows, window=35):
@@ -81,3 +82,32 @@ def test_remove_repeats(spark):
     assert got.columns == docs.columns
     want = Counter((d, k if r else t) for (d, t), (_, _, r, k) in zip([x[:2] for x in hard_rows()], by_hand([x[:2] for x in hard_rows()])))
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
+
+
+def test_remove_repeats_beside_columns_of_any_name(spark):
+    docs = hard_docs(spark).withColumns({c: F.lit(k) for k, c in enumerate(["_key", "_print", "_kept", "row", "hit", "print", "kept", "copies", "_bits", "_filter"])})
+    got = substring.remove_repeats(docs)
+    assert got.columns == docs.columns
+    plain = substring.remove_repeats(hard_docs(spark))
+    assert Counter(r["text"] for r in got.collect()) == Counter(r["text"] for r in plain.collect())
+    assert {tuple(r[-10:]) for r in got.collect()} == {tuple(range(10))}
+
+
+def test_a_filter_of_keys_holds_all_of_them(spark):
+    rng = random.Random(17)
+    keys = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(500)] + [0, -1, (1 << 63) - 1, -(1 << 63)]
+    others = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(500)]
+    made = common.key_filter(spark.createDataFrame([(k,) for k in keys], "k long"), "k")
+    tested = common.passes(spark.createDataFrame([(k,) for k in keys + others], "k long"), made, "k", "hit").collect()
+    assert {r["k"] for r in tested if r["hit"]} >= set(keys)
+    assert sum(r["hit"] for r in tested) < len(keys) + 10
+    assert not any(r["hit"] for r in common.passes(spark.createDataFrame([(1,)], "k long"), common.key_filter(spark.createDataFrame([], "k long"), "k"), "k", "hit").collect())
+
+
+def test_hot_keys_join_like_others(spark):
+    left = spark.createDataFrame([(k % 7 if k < 5000 else k, k) for k in range(9000)] + [(None, -1)], "k long, v long")
+    right = left.where("k is not null and k % 2 = 0").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("w"))
+    for how in ("inner", "left"):
+        want = left.join(right.drop("n"), "k", how)
+        got = common.join_hot(left, right, ["k"], "n", how)
+        assert got.columns == want.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))

@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tieout.session import bounded_batches
 from tieout.sources.scratch import discard
 from tieout.sources.scratch import settle as write_table
 
-#: Bytes of one Arrow batch to a Python worker.
-BATCH_BYTES = 8 << 20
-
-
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """df; its session from now on sends Python workers Arrow batches of a few MB, so that long texts do not add up, and
-    tells new workers where this package is, in case the driver alone has it on its path."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    paths, root = spark.sparkContext.environment.get("PYTHONPATH", ""), str(Path(__file__).resolve().parents[2])
-    if root not in paths.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
-    return df
-
+__all__ = ["bounded_batches", "connected_components", "crc32_of_bytes", "discard", "exact_rank", "free_name", "group_key", "join_hot", "key_filter", "passes", "slices_for", "text_or_empty", "write_table"]
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
@@ -52,17 +37,40 @@ def free_name(df: DataFrame, base: str) -> str:
 HOT_SHARE = 1000
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
     """left joined with right, which has one row for each key and in count the number of left's rows of that key.
 
     Hot keys, fewer than HOT_SHARE whatever the input, are sent to all tasks, so their rows stay where they are; only the
-    others are dealt by key. Both sides are read twice and should be written tables.
+    others are dealt by key. Both sides are read twice: right should be a written table, and left one, or cheap to make.
     """
     rows = right.select(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     hot = F.col(count) * HOT_SHARE > rows
-    sent = F.broadcast(right.where(hot))
-    others = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot), key)
-    return left.join(sent, key).unionByName(others).drop(count)
+    few = left.join(F.broadcast(right.where(hot)), keys)
+    others = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti").join(right.where(~hot), keys, how)
+    return few.unionByName(others).drop(count)
+
+
+#: Bits of a filter of keys, whatever their number: 16 MB. It is full, and lets all pass, where keys are many more than bits.
+FILTER_BITS = 1 << 27
+#: Bits of one row of it, as bitmap_construct_agg makes them.
+ROW_BITS = 1 << 15
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """A filter of a table's keys (long) of one size for any table: FILTER_BITS / ROW_BITS rows at most."""
+    place = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    made = keys.groupBy(F.floor(place / ROW_BITS).cast("int").alias("_filter")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(ROW_BITS))).alias("_bits"))
+    return write_table(made.coalesce(1), "key_filter")
+
+
+def passes(df: DataFrame, made: DataFrame, key: str, name: str) -> DataFrame:
+    """df with the boolean column name: false where a filter is sure not to hold the key."""
+    place = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    at = F.pmod(place, F.lit(ROW_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    row = df.withColumn("_filter", F.floor(place / ROW_BITS).cast("int")).withColumn("_at", at)
+    joined = row.join(F.broadcast(made), "_filter", "left")
+    return joined.withColumn(name, F.coalesce(F.call_function("shiftright", byte, F.pmod(F.col("_at"), F.lit(8))).bitwiseAND(1) == 1, F.lit(False))).drop("_filter", "_at", "_bits")
 
 
 def slices_for(rows: int, per_slice: int) -> int:
@@ -70,20 +78,24 @@ def slices_for(rows: int, per_slice: int) -> int:
     return max(1, -(-rows // per_slice))
 
 
+#: Slices whose counts are summed up together.
+SLICES_TOGETHER = 4096
+
+
 def exact_rank(df: DataFrame, groups: list[str], slice_col: str, order: list[str], rank: str, total: str) -> DataFrame:
     """Add rank (from 0 in its group, ordered by slice_col and then order) and total (rows of the group).
 
-    slice_col must follow the order. No group meets in one task: only a slice of one is sorted together, and
-    the slices' counts (one row per group and slice) give the offsets.
+    slice_col must follow the order. No group meets in one task: only a slice of one is sorted together. The slices' counts
+    are summed up by blocks of slices, so not even they meet in one task, and give the offsets.
     """
-    keys = [*groups, slice_col]
-    before = Window.partitionBy(*groups).orderBy(slice_col)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        *keys,
-        (F.sum("_n").over(before) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*groups)).alias(total),
-    )
+    keys, block = [*groups, slice_col], [*groups, "_block"]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.floor(F.col(slice_col) / SLICES_TOGETHER))
+    blocks = counts.groupBy(*block).agg(F.sum("_n").alias("_of_block"))
+    before = Window.partitionBy(*groups).orderBy("_block")
+    placed = blocks.select(*block, (F.sum("_of_block").over(before) - F.col("_of_block")).alias("_blocks_before"), F.sum("_of_block").over(Window.partitionBy(*groups)).alias(total))
+    before = Window.partitionBy(*block).orderBy(slice_col)
+    summed = counts.select(*keys, "_block", (F.sum("_n").over(before) - F.col("_n")).alias("_in_block"))
+    offsets = summed.join(placed, block).select(*keys, (F.col("_blocks_before") + F.col("_in_block")).alias("_before"), total)
     within = df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return within.join(offsets, keys).withColumn(rank, F.col("_before") + F.col("_at") - 1).drop("_before", "_at")
 

@@ -214,7 +214,7 @@ def least_of_component(fps: DataFrame, value: Column, most_in_list: int = MOST_I
     components = connected_components(link(nodes.select("fp"), most_in_list), "simhash_components").withColumnRenamed("node", "fp")
     placed = write_table(nodes.join(components, "fp", "left"), "simhash_placed")
     least = write_table(placed.where("component is not null").groupBy("component").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("members")), "simhash_least")
-    linked_ones = join_hot(placed.where("component is not null"), least, "component", "members")
+    linked_ones = join_hot(placed.where("component is not null"), least, ["component"], "members")
     alone = placed.where("component is null").select("fp", F.col("own").alias("least"), "copies")
     return write_table(alone.unionByName(linked_ones.select("fp", "least", "copies")), "simhash_found")
 
@@ -240,4 +240,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def query(docs: DataFrame) -> DataFrame:
     fps = fingerprints(docs, ["doc_id"])
     found = least_of_component(fps, F.col("doc_id")).select("fp", F.col("least").alias("component_id"), "copies")
-    return join_hot(fps, found, "fp", "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_hot(fps, found, ["fp"], "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tieout.llm.common import bounded_batches, text_or_empty, write_table
+from tieout.llm.common import bounded_batches, join_hot, key_filter, passes, text_or_empty, write_table
 
 WINDOW = 35
 #: Entries of a bucket, which one Python worker holds.
@@ -283,8 +283,9 @@ def buckets_for(entries: int, in_bucket: int) -> int:
 
 
 def resolve(packed: DataFrame, block: int, wide: bool, bits: int, name: str) -> DataFrame:
-    """Rows (key, name): the places of each text's entries that are hits."""
-    together = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    """Rows (key, name): the places of each text's entries that are hits. Buckets are dealt to tasks of about one each, so
+    that more entries make more tasks and not larger ones."""
+    together = lambda df: df.repartition(2 << bits, "bucket").sortWithinPartitions("bucket")
     hits = together(packed).mapInArrow(partial(_resolve_batches, block=block, wide=wide, bits=bits), PACKED_DDL)
     return together(hits).mapInArrow(_merge_batches, HITS_DDL).withColumnRenamed("places", name)
 
@@ -296,8 +297,10 @@ def repeats(docs: DataFrame, n_words: int, window: int = WINDOW, in_bucket: int
     bits = buckets_for(n_words * (block // 2 + 1) // block, in_bucket)
     probes = texts.select("key", "text").mapInArrow(partial(_probe_batches, bits=bits, window=window), PACKED_DDL)
     hits = write_table(resolve(probes, block, False, bits, "hits"), "substring_hits")
+    # texts sure to have no hit stay where they are
+    hit = passes(texts, key_filter(hits, "key"), "key", "hit").where("hit").drop("hit")
     # by key alone, as the hits are, so that texts are dealt out once; prints tell the few texts of one key apart
-    by_key = texts.groupBy("key").agg(F.collect_set(F.struct("print", "text")).alias("own"))
+    by_key = hit.groupBy("key").agg(F.collect_set(F.struct("print", "text")).alias("own"))
     hit_texts = write_table(by_key.join(hits, "key").select("key", "hits", F.inline("own")), "substring_texts")
     bits = buckets_for(hit_texts.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6, in_bucket)
     windows = hit_texts.select("key", "text", "hits").mapInArrow(partial(_window_batches, bits=bits, window=window), PACKED_DDL)
@@ -325,9 +328,9 @@ def query(docs: DataFrame, window: int = WINDOW, in_bucket: int = IN_BUCKET) ->
     n_words = rows.select(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     found = repeats(docs, n_words, window, in_bucket).select("key", "print", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     copies = rows.groupBy("key", "print").agg(F.count(F.lit(1)).alias("copies"))
-    text = write_table(copies.join(found, ["key", "print"], "left"), "substring_found")
+    text = write_table(copies.join(found, ["key", "print"], "left").withColumn("copies_", F.col("copies")), "substring_found")
     gone = (F.col("copies") > 1) & (F.col("n_words") >= window)
-    return rows.join(text, ["key", "print"]).select(
+    return join_hot(rows, text, ["key", "print"], "copies_").select(
         "doc_id",
         "n_words",
         F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
@@ -338,21 +341,20 @@ def query(docs: DataFrame, window: int = WINDOW, in_bucket: int = IN_BUCKET) ->
 def remove_repeats(docs: DataFrame, window: int = WINDOW, in_bucket: int = IN_BUCKET) -> DataFrame:
     """The documents without their repeats: text and n_chars change where words are removed, no row goes.
 
-    The join is a merge join at every size: how many texts change grows with the corpus.
+    Documents whose text is sure not to change stay where they are; the others meet their new texts by key.
     """
     rows = judge(docs, [], window)
     n_words = rows.select(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     found = repeats(docs, n_words, window, in_bucket).select("key", "print", F.when(F.col("n_removed") > 0, F.col("kept")).alias("kept"))
     copies = rows.groupBy("key", "print").agg(F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"))
-    text = copies.join(found, ["key", "print"], "left").select(
-        F.col("key").alias("_key"),
-        F.col("print").alias("_print"),
-        F.when((F.col("copies") > 1) & (F.col("n_words") >= window), F.lit("")).otherwise(F.col("kept")).alias("_kept"),
-    )
-    changed = write_table(text.where("_kept is not null"), "substring_changed")
-    key, print_ = identity()
-    joined = docs.withColumns({"_key": key, "_print": print_}).join(changed.hint("merge"), ["_key", "_print"], "left").drop("_key", "_print")
-    new = {"text": F.coalesce("_kept", "text")}
+    new_text = F.when((F.col("copies") > 1) & (F.col("n_words") >= window), F.lit("")).otherwise(F.col("kept"))
+    text = copies.join(found, ["key", "print"], "left").select("key", "print", "copies", new_text.alias("kept"))
+    changed = write_table(text.where("kept is not null"), "substring_changed")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *identity())
+    marked = passes(whole, key_filter(changed, "key"), "key", "hit")
+    joined = join_hot(marked.where("hit").select("row", "key", "print"), changed, ["key", "print"], "copies", "left").select("row", "kept")
+    both = marked.where("not hit").select("row", F.lit(None).cast("string").alias("kept")).unionByName(joined)
+    new = {"text": F.coalesce("kept", "row.text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return joined.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(F.col("kept").isNotNull(), F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return both.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
