@@ -173,7 +173,10 @@ def roles(known: DataFrame) -> DataFrame:
         F.expr("cast(array() as array<struct<x0: double, label: string>>)"),
         lambda s, h: F.concat(F.filter(s, lambda x: x["x0"] < h["x0"]), F.array(h)),
     )
-    return told.withColumn("section_path", F.transform(stack, lambda h: h["label"])).drop("_n", "_next")
+    # only a heading changes what stands above, so only there the stack is worked out
+    changed = told.withColumn("_stack", F.when(F.col("role") == "heading", F.transform(stack, lambda h: h["label"])))
+    path = F.coalesce(F.last("_stack", ignorenulls=True).over(upto), F.expr("cast(array() as array<string>)"))
+    return changed.withColumn("section_path", path).drop("_n", "_next", "_stack")
 
 
 def trailing_prefixes(told: DataFrame) -> DataFrame:

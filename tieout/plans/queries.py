@@ -240,7 +240,7 @@ def q17_compare_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J8, J9."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     key = lambda n: F.concat(F.lit("key"), (F.col("p_partkey") % n).cast("string")).alias("canonical_key")
-    left, right = part.where("p_partkey % 3 <> 0").select("p_partkey", key(2)), part.where("p_partkey % 4 <> 0").select("p_partkey", key(5))
+    left, right = part.where("p_partkey % 3 <> 0 OR p_partkey % 12 = 0").select("p_partkey", key(2)), part.where("p_partkey % 4 <> 0").select("p_partkey", key(5))
     return checks.compare_normalizers(left, right, ["p_partkey"])
 
 
@@ -378,11 +378,11 @@ def q36_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q37_corpus_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PF9: broken rules, if the two sides had to lie in two years."""
+    """PF9: broken rules, if the two sides had to lie in two years, with amounts and memos that break the others too."""
     gl, bank = sides(spark, sf_dir)
-    money = (F.col("cents").cast("decimal(18,0)") / 100).cast("decimal(18,2)")
-    ledger = gl.select(F.col("day").alias("gl_date"), money.alias("amount"), F.lit("x").alias("main_memo"), F.repeat("memo", 14).alias("line_memo"))
-    other = bank.select(F.col("day").alias("posted_date"), money.alias("posted_amount"), F.col("memo").alias("messy_memo"))
+    money = ((F.col("cents") * 10 + F.when(F.col("id") % 13 == 0, 1).otherwise(0)).cast("decimal(18,0)") / 1000).cast("decimal(18,3)")
+    ledger = gl.select(F.col("day").alias("gl_date"), money.alias("amount"), F.repeat("memo", 10).alias("main_memo"), F.repeat("memo", 14).alias("line_memo"))
+    other = bank.select(F.col("day").alias("posted_date"), money.alias("posted_amount"), F.repeat("memo", 25).alias("messy_memo"))
     return recon.corpus_violations(ledger, other, "1996-01-01", "1997-12-31")
 
 

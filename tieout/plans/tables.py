@@ -9,44 +9,46 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-PRICE, DISCOUNT, TAX, QUANTITY = (f"CAST(l_{c} AS DECIMAL(18,2))" for c in ("extendedprice", "discount", "tax", "quantity"))
+#: What an order line is of: decimals of few digits, whose products stay whole numbers of 64 bits.
+PARTS = {c: f"CAST(l_{name} AS DECIMAL({digits},2))" for c, name, digits in (("p", "extendedprice", 9), ("d", "discount", 3), ("t", "tax", 3), ("q", "quantity", 9))}
+#: All amounts are sums of these six, so each is summed once.
+SUMS = {"p": "p", "pd": "p * d", "pt": "p * t", "q": "q", "d": "d", "t": "t"}
 
-
-#: (statement, key, sum over order lines); nil stays null.
+#: (statement, key, amount over the sums of the order lines); nil stays null.
 LINE_ITEM_SPEC = [
-    ("income_statement", "revenue", "SUM(p)"),
-    ("income_statement", "cost_of_revenue", "SUM(p * d)"),
-    ("income_statement", "gross_profit", "SUM(p - p * d)"),
-    ("income_statement", "sales_and_marketing", "SUM(p * t)"),
-    ("income_statement", "research_and_development", "SUM(q)"),
-    ("income_statement", "general_and_administrative", "SUM(d)"),
-    ("income_statement", "total_operating_expenses", "SUM(p * t + q + d)"),
-    ("income_statement", "operating_income_loss", "SUM(p - p * d - p * t - q - d)"),
-    ("income_statement", "net_income_loss", "SUM(p * t - q)"),
-    ("income_statement_non_gaap", "operating_income_loss", "SUM(p - p * d - p * t)"),
-    ("balance_sheet", "total_assets", "SUM(p + q * 100)"),
-    ("balance_sheet", "total_liabilities", "SUM(q * 100)"),
-    ("balance_sheet", "total_stockholders_equity", "SUM(p)"),
-    ("balance_sheet", "convertible_notes_current", "SUM(q * 10)"),
-    ("balance_sheet", "convertible_notes_noncurrent", "CASE WHEN MAX(quarter) = 2 THEN NULL ELSE SUM(q * 20) END"),
-    ("balance_sheet", "deferred_revenue_current", "SUM(t * 1000)"),
-    ("balance_sheet", "deferred_revenue_noncurrent", "CASE WHEN MAX(quarter) = 3 THEN NULL ELSE SUM(t * 500) END"),
-    ("balance_sheet", "cash_and_equivalents", "SUM(q * 5)"),
-    ("balance_sheet", "available_for_sale_securities", "SUM(d * 100)"),
-    ("balance_sheet", "additional_paid_in_capital", "SUM(p * d)"),
-    ("balance_sheet", "accumulated_deficit", "SUM(q - p * t)"),
-    ("balance_sheet", "accumulated_oci", "SUM(d - t)"),
-    ("cash_flow", "stock_based_compensation", "SUM(q * 3)"),
-    ("cash_flow", "proceeds_from_option_exercises", "SUM(q * 2)"),
-    ("key_metrics", "free_cash_flow", "SUM(p - q)"),
+    ("income_statement", "revenue", "p"),
+    ("income_statement", "cost_of_revenue", "pd"),
+    ("income_statement", "gross_profit", "p - pd"),
+    ("income_statement", "sales_and_marketing", "pt"),
+    ("income_statement", "research_and_development", "q"),
+    ("income_statement", "general_and_administrative", "d"),
+    ("income_statement", "total_operating_expenses", "pt + q + d"),
+    ("income_statement", "operating_income_loss", "p - pd - pt - q - d"),
+    ("income_statement", "net_income_loss", "pt - q"),
+    ("income_statement_non_gaap", "operating_income_loss", "p - pd - pt"),
+    ("balance_sheet", "total_assets", "p + q * 100"),
+    ("balance_sheet", "total_liabilities", "q * 100"),
+    ("balance_sheet", "total_stockholders_equity", "p"),
+    ("balance_sheet", "convertible_notes_current", "q * 10"),
+    ("balance_sheet", "convertible_notes_noncurrent", "CASE WHEN quarter = 2 THEN NULL ELSE q * 20 END"),
+    ("balance_sheet", "deferred_revenue_current", "t * 1000"),
+    ("balance_sheet", "deferred_revenue_noncurrent", "CASE WHEN quarter = 3 THEN NULL ELSE t * 500 END"),
+    ("balance_sheet", "cash_and_equivalents", "q * 5"),
+    ("balance_sheet", "available_for_sale_securities", "d * 100"),
+    ("balance_sheet", "additional_paid_in_capital", "pd"),
+    ("balance_sheet", "accumulated_deficit", "q - pt"),
+    ("balance_sheet", "accumulated_oci", "d - t"),
+    ("cash_flow", "stock_based_compensation", "q * 3"),
+    ("cash_flow", "proceeds_from_option_exercises", "q * 2"),
+    ("key_metrics", "free_cash_flow", "p - q"),
 ]
 
 #: One row for each entity and quarter, one column for each key; entity is an expression.
 WIDE_SQL = (
-    "SELECT {entity} AS company, CAST(10 * year(o_orderdate) + quarter(o_orderdate) AS INT) AS period_sort, "
-    "concat('Q', quarter(o_orderdate), ' ', year(o_orderdate)) AS period, {sums} FROM ("
-    f"SELECT *, {PRICE} AS p, {DISCOUNT} AS d, {TAX} AS t, {QUANTITY} AS q, quarter(o_orderdate) AS quarter "
-    "FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey {joins}) x GROUP BY 1, 2, 3"
+    "SELECT company, CAST(10 * year + quarter AS INT) AS period_sort, concat('Q', quarter, ' ', year) AS period, {sums} FROM ("
+    f"SELECT company, year, quarter, {', '.join(f'CAST(SUM({e}) AS DECIMAL(28,4)) AS {c}' for c, e in SUMS.items())} FROM ("
+    f"SELECT {{entity}} AS company, year(o_orderdate) AS year, quarter(o_orderdate) AS quarter, {', '.join(f'{e} AS {c}' for c, e in PARTS.items())} "
+    "FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey {joins}) x GROUP BY 1, 2, 3) y"
 )
 BY_REGION = "JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey"
 
@@ -83,7 +85,7 @@ def by_kind(parts: Parts) -> str:
 
 INVOICE = "concat('Inv ', CAST(k AS STRING))"
 LEDGER_PARTS = [
-    ("m <= 7", "0", "day", "cents", INVOICE),
+    ("m <= 7 OR m >= 17", "0", "day", "cents", INVOICE),
     ("m IN (8, 9)", "0", "day", "cents", "concat('Inv 000', CAST(k AS STRING))"),
     ("m = 10", "0", "day", "cents - 700", INVOICE),
     ("m = 10", "1", "day", "700", INVOICE),
@@ -94,7 +96,7 @@ LEDGER_PARTS = [
     ("m = 15", "0", "day", "cents", "concat('Retrac', CAST(k AS STRING))"),
 ]
 BANK_PARTS = [
-    ("m <= 4", "0", "day", "cents", INVOICE),
+    ("m <= 4 OR m >= 17", "0", "day", "cents", INVOICE),
     ("m = 5", "0", _later(2), "cents", INVOICE),
     ("m = 6", "0", _later(-3), "cents", INVOICE),
     ("m = 7", "0", _later(20), "cents", INVOICE),

@@ -36,9 +36,21 @@ SCENARIOS = [
 FIRST_DAY, DAYS = "2026-05-01", 31
 SEED = 20260503
 VOID_CENTS = {"void_gl": 10_000, "void_bank": 30_000}
-NAMES = "Adams Arthur Buchanan Carter Cleveland Fillmore Garfield Grant Harding Hoover Jackson Kennedy Lincoln Monroe Nixon Pierce Polk Taylor Truman Wilson".split()
-THEMES = "Carrot Apple Lemon Happy Quickly Gabriel Michael Plain Plain Plain Plain".split()
+#: Amounts, in cents; part amounts of groups are shares of one.
+LEAST_CENTS, MOST_CENTS = 500, 99_999
 # End of fixed values.
+SURNAMES = "Abbott Barlow Castell Dunmore Ellery Fairburn Goodall Hartwell Ingram Jessop Kendrick Lovell Marchant Norwood Oakes Pembroke Quill Ramsden Selwyn Thackray Underhill Varley Whitlock Yardley".split()
+FIRST_NAMES = "Ada Bruno Clara Dora Emil Flora Gustav Helga Ivo Klara Leo Mina Nora Otto Petra Rosa Samuel Tilda Ulla Viktor".split()
+#: One theme for each kind of scenario, so that a reader can tell where a row comes from; the others have names and digits.
+THEMES = {
+    "exact": "Granite Basalt Marble Slate Flint Quartz Gneiss Chalk".split(),
+    "shift": "Heron Kestrel Plover Wren Finch Osprey Linnet Avocet".split(),
+    "wide": "Mistral Sirocco Bora Zephyr Foehn Levante Harmattan Chinook".split(),
+    "similar": "Crimson Amber Teal Indigo Ochre Sienna Umber Cobalt".split(),
+    "similar_date": "Prism Cone Sphere Torus Wedge Cube Helix Lens".split(),
+    "many_gl": "Copper Nickel Cobalt Zinc Titanium Bronze Pewter Brass".split(),
+    "many_bank": "Linen Velvet Denim Tweed Satin Muslin Felt Canvas".split(),
+}
 
 
 def _draw(seed: int, name: str, low: int | Column, high: int | Column) -> Column:
@@ -62,12 +74,17 @@ def cases(spark: SparkSession, sets: int = 1, seed: int = SEED) -> DataFrame:
     fuzzy = is_("similar", "similar_date")
     memo = (
         F.when(fuzzy, F.concat(F.lit("Inv 00"), core))
-        .when(F.col("scenario").startswith("no_match"), F.concat(reversed_name(F.get(F.array(*map(F.lit, NAMES)), _draw(seed, "name", 0, len(NAMES) - 1))), F.lit("")))
+        .when(F.col("scenario").startswith("no_match"), reversed_name(F.get(F.array(*map(F.lit, SURNAMES)), _draw(seed, "name", 0, len(SURNAMES) - 1))))
         .otherwise(F.concat(F.lit("Inv "), core))
     )
     dressed = F.get(F.array(F.concat(F.lit("I"), core), core, F.concat(F.lit("INV"), core), F.concat(F.lit("#"), core)), _draw(seed, "dress", 0, 3))
     early = day(F.lit(0), F.lit(DAYS - 1) - gap)
-    theme = F.get(F.array(*map(F.lit, THEMES)), (F.col("case_id") % len(THEMES)).cast("int"))
+    picked = lambda words, name: F.get(F.array(*map(F.lit, words)), _draw(seed, name, 0, len(words) - 1))
+    kind = F.regexp_replace("scenario", r"_\d$", "")
+    number = zero_pad(_draw(seed, "number", 10, 99_999_999).cast("string"), 2)
+    main_memo = F.concat(picked(FIRST_NAMES, "first"), number)
+    for name, words in THEMES.items():
+        main_memo = F.when(kind == name, F.concat_ws(" ", picked(words, "theme"), picked(SURNAMES, "who"))).otherwise(main_memo)
     return numbered.select(
         "*",
         early.alias("early"),
@@ -75,9 +92,9 @@ def cases(spark: SparkSession, sets: int = 1, seed: int = SEED) -> DataFrame:
         behind.alias("behind"),
         memo.alias("gl_memo"),
         F.when(fuzzy, dressed).otherwise(memo).alias("bank_memo"),
-        (_draw(seed, "cents", 100, 99_999) * 10_000 + F.col("case_id") % 10_000).cast("long").alias("cents"),
+        _draw(seed, "cents", LEAST_CENTS, MOST_CENTS).cast("long").alias("cents"),
         F.when(is_("near"), _draw(seed, "near", 1, 9)).otherwise(F.lit(0)).alias("off"),
-        F.concat_ws(" ", theme, F.get(F.array(*map(F.lit, NAMES)), _draw(seed, "who", 0, len(NAMES) - 1))).alias("main_memo"),
+        main_memo.alias("main_memo"),
     )
 
 
