@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tieout.llm.common import bounded_batches, text_or_empty, write_table
+from tieout.llm.common import bounded_batches, key_filter, passes, text_or_empty, write_table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are features beside the words.
@@ -260,7 +260,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
     crc = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
     known = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y")).where(crc != 0)
     texts = bounded_batches(docs).where(crc != 0).select("doc_id", text_or_empty().alias("text"))
-    made = texts.join(known, "doc_id").select("text", "y").mapInArrow(_form_batches, "form string, n long, bad long")
+    # labels grow with the corpus, so they meet the texts by a merge join at every size; texts sure to have none stay where they are
+    own_id = F.xxhash64("doc_id").alias("id")
+    labelled = passes(texts.select("*", own_id), key_filter(known.select(own_id), "id"), "id", "hit").where("hit").select("doc_id", "text")
+    made = labelled.join(known.hint("merge"), "doc_id").select("text", "y").mapInArrow(_form_batches, "form string, n long, bad long")
     counts = write_table(made.groupBy("form").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "toxicity_forms")
     n, bad = counts.where("form is null").select("n", "bad").first() or (0, 0)
     share = (bad + 0.5) / (n + 1)
@@ -310,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
 def sampled(texts: DataFrame, known: DataFrame, most_labelled: int) -> DataFrame:
     """Rows (fold, y, text) of at most most_labelled labelled documents that are in the table."""
     marked = texts.withColumn("_hash", F.xxhash64("text"))
-    some = marked.select("doc_id", "_hash").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_hash").limit(most_labelled)
+    some = marked.select("doc_id", "_hash").join(known.hint("merge"), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_hash").limit(most_labelled)
     rows = marked.join(F.broadcast(some), ["doc_id", "_hash"]).dropDuplicates(["doc_id", "_hash"])
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
     return rows.select(fold.alias("fold"), F.col("y").cast("int").alias("y"), "text")
