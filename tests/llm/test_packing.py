@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 
@@ -44,6 +45,36 @@ def test_exact_complement_is_taken_first():
     assert len({r[4] for r in packing.plan({60: 1, 50: 1, 40: 1, 30: 1, 20: 1}, 100)}) == 2
 
 
+def packed_by_hand(histogram, capacity):
+    """One sequence after the other: the longest opens, then one, two or three lengths that fill the gap exactly, found by trying
+    all, else the longest that fits."""
+    left, made = Counter(histogram), Counter()
+    while +left:
+        own = [max(+left)]
+        left[own[0]] -= 1
+        while gap := capacity - sum(own):
+            lengths = sorted((x for x in +left if x <= gap), reverse=True)
+            ways = [c for n in (1, 2, 3) for c in combinations_with_replacement(lengths, n) if sum(c) == gap and not Counter(c) - left]
+            tail = ways[0] if ways else lengths[:1]
+            if not tail:
+                break
+            own += tail
+            left -= Counter(tail)
+        made[tuple(sorted(own))] += 1
+    return made
+
+
+def test_plan_against_trying_all_combinations():
+    rng = random.Random(19)
+    for capacity, top, n in ((30, 30, 60), (30, 12, 80), (50, 40, 60), (24, 5, 50), (40, 20, 1)):
+        for _ in range(8):
+            histogram = Counter(rng.randint(1, top) for _ in range(n))
+            seats = defaultdict(list)
+            for length, _, sequence, _ in laid_out(packing.plan(histogram, capacity)):
+                seats[sequence].append(length)
+            assert Counter(tuple(sorted(x)) for x in seats.values()) == packed_by_hand(histogram, capacity)
+
+
 def test_query(spark):
     docs = hard_docs(spark)
     got = packing.query(docs).collect()
