@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -504,6 +504,45 @@ def q60_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(key, n, found) for key in unknown for n, found in enumerate(trace.suggestions(key, known))], "key string, nth int, suggestion string")
 
 
+# --- documents and the report as a whole ----------------------------------------------------------------------------------
+
+
+def plain_words(name: str, data: bytes) -> Iterator[dict]:
+    """Stands for a caller's parser of pages: words in a row, the first of which names the document."""
+    found = data.decode().split()
+    for k, word in enumerate(found):
+        yield {"doc_id": found[0], "page": 1, "word_seq": k, "text": word, "x0": 10.0 * k, "x1": 10.0 * k + len(word), "top": 5.0, "page_height": 800.0}
+
+
+def q61_document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1: words of binary files by a caller's parser."""
+    folder = _folder(spark, "documents")
+    lines = tables.run(spark, sf_dir, "SELECT concat('n', n_nationkey, ' ', replace(n_name, ' ', '_'), ' r', n_regionkey) AS value FROM {nation}")
+    lines.repartition("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return readers.pdf_words(spark, f"{folder}/part-*", plain_words)
+
+
+DOCUMENT_ORACLE = """
+WITH w AS (SELECT concat('n', n_nationkey) AS doc_id, unnest([concat('n', n_nationkey), replace(n_name, ' ', '_'), concat('r', n_regionkey)]) AS text, unnest([0, 1, 2]) AS k FROM nation)
+SELECT doc_id, CAST(1 AS INT) AS page, CAST(k AS INT) AS word_seq, text, 10.0::DOUBLE * k AS x0, 10.0::DOUBLE * k + length(text) AS x1, 5.0::DOUBLE AS top, 800.0::DOUBLE AS page_height FROM w"""
+
+
+def q62_report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK6, U7, U8: the HTML report over the test tables, told by its table rows, bars and periods."""
+    funding, efficiency = base.q03_funding_mix(spark, sf_dir), base.q04_growth_efficiency(spark, sf_dir)
+    shown = report.render("Test <report>", model_items(spark, sf_dir), q48_all_identities(spark, sf_dir), funding, efficiency, q51_quarantine_rows(spark, sf_dir), 0)
+    marks = [shown.count(x) for x in ("<tr>", "<rect", "<text", "Test &lt;report&gt;")]
+    return spark.createDataFrame([tuple(marks)], "table_rows long, bars long, periods long, titles long")
+
+
+def report_oracle() -> str:
+    from tieout.plans.oracle import FUNDING, with_facts
+
+    return f"""{with_facts()}, f AS (SELECT count(delta_assets) AS n FROM ({FUNDING}) x), g AS (SELECT count(*) AS n FROM facts),
+c AS (SELECT count(DISTINCT name) AS n FROM ({IDENTITY_ORACLE}) x), q AS (SELECT count(*) AS n FROM ({quarantine_oracle()}) x)
+SELECT CAST(f.n + g.n + c.n + q.n + 4 AS BIGINT) AS table_rows, CAST(5 * f.n AS BIGINT) AS bars, CAST(f.n AS BIGINT) AS periods, 2::BIGINT AS titles FROM f, g, c, q"""
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
@@ -531,4 +570,6 @@ def oracle_sql() -> dict[str, str]:
         "q57_sql_views": views_oracle(),
         "q58_by_alias": alias_oracle(),
         "q59_mapping_cache": cache_oracle(),
+        "q61_document_words": DOCUMENT_ORACLE,
+        "q62_report_html": report_oracle(),
     }

@@ -88,7 +88,7 @@ def pdf_words(spark: SparkSession, path: str, parser: PageParser | None = None)
                 if rows:
                     yield pa.RecordBatch.from_pylist([{k: r.get(k) for k in names} for r in rows])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = bounded_batches(spark.read.format("binaryFile").load(path)).select("path", "content")
     typed = ", ".join(f"{f.name} {'long' if f.dataType.simpleString() == 'int' else f.dataType.simpleString()}" for f in schemas.schema(schemas.WORDS))
     return files.mapInArrow(run, typed).select(*[F.col(f.name).cast(f.dataType) for f in schemas.schema(schemas.WORDS)])
 
