@@ -4,6 +4,7 @@ import random
 import wave
 import zlib
 
+import numpy as np
 import pytest
 
 from tests.llm.fixtures import hard_docs, hard_rows, no_docs
@@ -64,3 +65,15 @@ def test_lost_chunk_is_an_error(spark):
     lists, held = media.store(hard_docs(spark))
     with pytest.raises(Exception, match="lacks chunk"):
         media.restore(lists, held.limit(5)).collect()
+
+
+def test_cuts_do_not_depend_on_the_blocks_that_are_hashed(monkeypatch):
+    rng = np.random.default_rng(18)
+    for n in (2047, 2049, 100_000, 500_001):
+        data = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+        whole = media.cuts(data)
+        assert whole[-1] == n
+        for size in (32, 1000, 4096):
+            monkeypatch.setattr(media, "HASHED_TOGETHER", size)
+            assert media.cuts(data) == whole
+        monkeypatch.undo()

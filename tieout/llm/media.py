@@ -15,7 +15,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tieout.llm.common import bounded_batches, text_or_empty, write_table
+from tieout.llm.common import bounded_batches, join_hot, text_or_empty, write_table
 
 BLOCK = 64
 RATE = 8000
@@ -31,6 +31,8 @@ HEADER = 44
 LEAST_CHUNK, MOST_CHUNK = 2048, 32768
 #: Upper bits of the gear hash that are zero at a cut: chunks have about 2 ** 13 bytes beyond the least.
 CUT_BITS = 13
+#: Bytes whose hashes are held at once, however long the file.
+HASHED_TOGETHER = 1 << 20
 DIGEST_BYTES = 16
 BATCH = 256
 
@@ -58,15 +60,21 @@ def from_wav(media: bytes) -> bytes:
     return media[HEADER : HEADER + struct.unpack_from("<I", media, 40)[0]]
 
 
+def _places(data: bytes, start: int) -> np.ndarray:
+    """Places of a block after which the hash of the last 32 bytes is zero above; the block takes the bytes before it along."""
+    carry = min(start, 31)
+    h = gear()[np.frombuffer(data, np.uint8, min(len(data) - start, HASHED_TOGETHER) + carry, start - carry)]
+    for reach in (1, 2, 4, 8, 16):  # h[i] is then of the last 2 * reach bytes
+        h[reach:] = h[reach:] + (h[:-reach] << np.uint32(reach))
+    return np.flatnonzero(h[carry:] >> np.uint32(32 - CUT_BITS) == 0) + start + 1
+
+
 def cuts(data: bytes) -> list[int]:
     """Ends of the chunks."""
     n = len(data)
     if n <= LEAST_CHUNK:
         return [n]
-    h = gear()[np.frombuffer(data, np.uint8)]
-    for reach in (1, 2, 4, 8, 16):  # h[i] is then of the last 2 * reach bytes
-        h[reach:] = h[reach:] + (h[:-reach] << np.uint32(reach))
-    places = np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1
+    places = np.concatenate(list(map(partial(_places, data), range(0, n, HASHED_TOGETHER))))
     ends, start = [], 0
     while n - start > LEAST_CHUNK:
         k = np.searchsorted(places, start + LEAST_CHUNK)
@@ -130,6 +138,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 READ = pa.schema(
     [
         ("media", pa.string()),
+        ("copies", pa.int64()),
         ("payload_bytes", pa.int64()),
         ("payload_sha256", pa.string()),
         ("tail_crc32", pa.int64()),
@@ -138,25 +147,25 @@ READ = pa.schema(
         ("feature", pa.string()),
     ]
 )
-READ_DDL = "media string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ_DDL = "media string, copies long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def read_back(media: str, data: bytes) -> dict:
+def read_back(media: str, copies: int, data: bytes) -> dict:
     own = hashlib.sha256(data).hexdigest()
     if own != media:
         raise ValueError(f"media {media} was put together as {own}")
     payload = from_wav(data)
-    values = (media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), own, feature(payload))
+    values = (media, copies, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), own, feature(payload))
     return dict(zip(READ.names, values))
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (media, n, at, digest, packed); those of a file come together and in order."""
+    """Rows (media, copies, n, at, digest, packed); those of a file come together and in order."""
     unpack = zstandard.ZstdDecompressor().decompress
     media, parts, out = None, [], []
     for batch in batches:
         for k in range(batch.num_rows):
-            now, n, at, digest, packed = (batch.column(c)[k].as_py() for c in ("media", "n", "at", "digest", "packed"))
+            now, copies, n, at, packed = (batch.column(c)[k].as_py() for c in ("media", "copies", "n", "at", "packed"))
             if packed is None:
                 raise ValueError(f"media {now} lacks chunk {at}")
             if now != media:
@@ -165,7 +174,7 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 raise ValueError(f"media {now} lacks chunk {len(parts)}")
             parts.append(unpack(packed))
             if len(parts) == n:
-                out.append(read_back(now, b"".join(parts)))
+                out.append(read_back(now, copies, b"".join(parts)))
                 if len(out) >= BATCH:
                     yield pa.RecordBatch.from_pylist(out, READ)
                     out = []
@@ -176,14 +185,14 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def restore(lists: DataFrame, held: DataFrame) -> DataFrame:
     """Rows of READ, one for each file: put together from its chunks, verified, and measured. Only files of several chunks
     need their chunks dealt out a second time."""
-    files = lists.groupBy("media").agg(F.first("digests").alias("digests"))
-    wanted = files.select("media", F.size("digests").alias("n"), F.posexplode("digests").alias("at", "digest"))
-    found = wanted.join(held, "digest", "left").select("media", "n", "at", "digest", "packed")
+    files = lists.groupBy("media").agg(F.first("digests").alias("digests"), F.count(F.lit(1)).alias("copies"))
+    wanted = files.select("media", "copies", F.size("digests").alias("n"), F.posexplode("digests").alias("at", "digest"))
+    found = wanted.join(held, "digest", "left").select("media", "copies", "n", "at", "digest", "packed")
     alone = found.where("n = 1").mapInArrow(_read_batches, READ_DDL)
     several = found.where("n > 1").repartition("media").sortWithinPartitions("media", "at").mapInArrow(_read_batches, READ_DDL)
-    return alone.unionByName(several)
+    return write_table(alone.unionByName(several), "media_read")
 
 
 def query(docs: DataFrame) -> DataFrame:
     lists, held = store(docs)
-    return lists.select("doc_id", "n_bytes", "media", F.size("digests").alias("n_chunks")).join(restore(lists, held), "media").drop("media")
+    return join_hot(lists.select("doc_id", "n_bytes", "media", F.size("digests").alias("n_chunks")), restore(lists, held), ["media"], "copies").drop("media")
