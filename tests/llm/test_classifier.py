@@ -54,6 +54,33 @@ def test_held_out_accuracy_and_columns(spark):
     assert kept == {r["doc_id"] for r in got if r["predicted"]}
 
 
+def scores_by_hand(texts, truth):
+    """Scores of all texts by one matrix: no partitions, no sums, no bins of bins."""
+    x = np.array([classifier.statistics(t) for t in texts.values()])
+    fold = np.array([zlib.crc32(str(d).encode()) % 5 for d in texts])
+    y = np.array([truth[d] for d in texts], float)
+    known = x[fold != 0]
+    model = classifier.Model(known.mean(axis=0), np.maximum(known.std(axis=0), 1e-3), None, None, None)
+    z = model.features(x)
+    fit = fold > 1
+    model.weights = np.linalg.solve(z[fit].T @ z[fit] + classifier.RIDGE * fit.sum() * np.eye(z.shape[1]), z[fit].T @ y[fit])
+    low, high = classifier.BIN_RANGE
+    at = np.clip((z[fold == 1] @ model.weights - low) / (high - low) * classifier.BINS, 0, classifier.BINS - 1).astype(int)
+    bins = np.unique(at)
+    n, mean = np.array([(at == b).sum() for b in bins], float), np.array([y[fold == 1][at == b].mean() for b in bins])
+    knots = low + (bins + 0.5) * (high - low) / classifier.BINS
+    levels = [max(min(np.average(mean[j : k + 1], weights=n[j : k + 1]) for k in range(i, len(bins))) for j in range(i + 1)) for i in range(len(bins))]
+    levels = np.clip(0.98 * np.array(levels) + 0.01 * (knots - low) / (high - low) + 0.005, 0, 1)
+    return dict(zip(texts, np.interp(z @ model.weights, knots, levels)))
+
+
+def test_scores_against_one_matrix(spark):
+    docs, labels = made_docs(spark, 400)
+    got = {r["doc_id"]: r["score"] for r in classifier.query(docs, labels).collect()}
+    want = scores_by_hand({r["doc_id"]: r["text"] for r in docs.collect()}, {r["doc_id"]: r["quality"] for r in labels.collect()})
+    assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in got) < 1e-6
+
+
 def test_held_out_labels_are_not_learned(spark):
     docs, labels = made_docs(spark, 300)
     flipped = labels.withColumn("quality", (classifier.fold() == 0).cast("int") * (1 - labels.quality) + (classifier.fold() != 0).cast("int") * labels.quality)

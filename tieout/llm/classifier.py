@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tieout.llm.common import bounded_batches, text_or_empty, write_table
+from tieout.llm.common import bounded_batches, free_name, text_or_empty, write_table
 
 FOLDS = 5
 FEATURES = 256
@@ -217,18 +218,29 @@ def score(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     return made.mapInArrow(partial(_score_batches, model=fit(made, labels, most_labelled)), f"doc_id {id_type}, score double")
 
 
-def _keep_batches(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
+def _added_batches(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, BATCH):
             batch = whole.slice(at, BATCH)
-            x = np.array([statistics(t or "") for t in batch.column("text").to_pylist()])
-            yield batch.filter(pa.array(model.score(x) >= threshold))
+            made = pa.array([statistics(t or "") for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
+
+
+def _keep_batches(batches: Iterator[pa.RecordBatch], name: str, model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            kept = pa.array(model.score(matrix(batch.column(name))) >= threshold)
+            yield batch.drop_columns([name]).filter(kept)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_labelled: int = MOST_LABELLED) -> DataFrame:
-    """The documents whose score reaches the threshold, with their own columns."""
-    model = fit(statistics_of(docs), labels, most_labelled)
-    return bounded_batches(docs).mapInArrow(partial(_keep_batches, model=model, threshold=threshold), docs.schema)
+    """The documents whose score reaches the threshold, with their own columns. Documents are written with their statistics, which are
+    computed once: both the fit and the filter read them."""
+    name = free_name(docs, "statistics")
+    made = bounded_batches(docs).mapInArrow(partial(_added_batches, name=name), T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+    rows = write_table(made, "document_statistics")
+    model = fit(rows.select("doc_id", F.col(name).alias("statistics")), labels, most_labelled)
+    return rows.mapInArrow(partial(_keep_batches, name=name, model=model, threshold=threshold), docs.schema)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
