@@ -50,10 +50,10 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, how
     return few.unionByName(others).drop(count)
 
 
-#: Bits of a filter of keys, whatever their number: 16 MB. It is full, and lets all pass, where keys are many more than bits.
-FILTER_BITS = 1 << 27
-#: Bits of one row of it, as bitmap_construct_agg makes them.
+#: Bits of one row of a filter of keys, as bitmap_construct_agg makes them.
 ROW_BITS = 1 << 15
+#: Bits of a filter, whatever the number of its keys: not quite 8 MB. It is full, and lets all pass, where keys are many more than bits.
+FILTER_BITS = 1900 * ROW_BITS
 
 
 def key_filter(keys: DataFrame, key: str) -> DataFrame:
@@ -109,6 +109,9 @@ def connected_components(edges: DataFrame, name: str, most_rounds: int = 60) ->
     now = write_table(
         edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), name
     )
+    # an order-free mark of a table's rows
+    mark = F.struct(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.lit(0)))
+    seen = now.select(mark).first()
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("m", "hi").alias("m"))
@@ -122,12 +125,11 @@ def connected_components(edges: DataFrame, name: str, most_rounds: int = 60) ->
             .distinct()
         )
         later = write_table(small, name)
-        mark = F.struct(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.lit(0)))
-        if later.select(mark).first() == now.select(mark).first():
-            discard(now)
+        before, seen = seen, later.select(mark).first()
+        discard(now)
+        if seen == before:
             return later.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
                 later.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
             )
-        discard(now)
         now = later
     raise RuntimeError(f"components of {name} have not settled in {most_rounds} rounds")

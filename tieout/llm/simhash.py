@@ -24,10 +24,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tieout.llm.common import bounded_batches, connected_components, free_name, join_hot, text_or_empty, write_table
+from tieout.llm.common import bounded_batches, connected_components, join_hot, key_filter, passes, text_or_empty, write_table
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -220,21 +220,23 @@ def least_of_component(fps: DataFrame, value: Column, most_in_list: int = MOST_I
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the smallest doc_id; columns as they are.
+    """One document of each component, that of the smallest doc_id; columns as they are. Rows alike in doc_id and text stay once.
 
-    What goes is found by a key of the row, so that texts are dealt out only where the list of what goes is too long to be
-    sent to all tasks. Rows alike in doc_id and text stay once.
+    Rows sure to stay are left where they are; only those that may go, or stand repeatedly, are dealt out by a key of the row.
     """
-    row = free_name(docs, "row")
-    keyed = docs.withColumn(row, F.md5(F.to_json(F.struct(F.col("doc_id"), F.col("text")), {"ignoreNullFields": "false"})))
-    fps = fingerprints(keyed.select("doc_id", "text", F.col(row).alias("row")), ["doc_id", "row"])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text")
+    keyed = whole.withColumn("row", F.md5(F.to_json(F.struct("doc_id", "text"), {"ignoreNullFields": "false"})))
+    fps = fingerprints(keyed.select("doc_id", "text", "row"), ["doc_id", "row"])
     found = least_of_component(fps, F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
-    kept = found.select(F.col("least.row").alias(row)).distinct()
-    rows = fps.groupBy(F.col("row").alias(row)).agg(F.count(F.lit(1)).alias("times"))
-    judged = write_table(rows.join(kept.withColumn("stays", F.lit(True)), row, "left"), "simhash_judged")
-    once = keyed.join(judged.where("stays is null or times > 1").select(row), row, "left_anti")
-    repeated = keyed.join(judged.where("stays and times > 1").select(row), row, "left_semi").dropDuplicates([row])
-    return once.unionByName(repeated).drop(row)
+    kept = found.select(F.col("least.row").alias("row"), F.lit(True).alias("stays")).distinct()
+    rows = fps.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
+    own_id = F.xxhash64("row").alias("id")
+    judged = write_table(rows.join(kept, "row", "left").where("stays is null or times > 1"), "simhash_judged")
+    marked = passes(keyed.select("doc", "row", own_id), key_filter(judged.select(own_id), "id"), "id", "hit")
+    met = marked.where("hit").select("doc", "row").join(judged.hint("merge"), "row", "left")
+    nth = F.row_number().over(Window.partitionBy("row").orderBy("row"))
+    stay = met.withColumn("nth", nth).where("times is null or (stays and nth = 1)")
+    return marked.where("not hit").select("doc.*").unionByName(stay.select("doc.*"))
 
 
 def query(docs: DataFrame) -> DataFrame:
