@@ -107,18 +107,20 @@ def nearest(gl: DataFrame, bank: DataFrame, keys: list[str], at: Column, low: in
     known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
     placed = lambda side: side.select("id", *keys, at.cast("long").alias("at")).where(known & F.col("at").isNotNull())
     sides = {"gl": placed(gl), "bank": placed(bank)}
-    counted = [rows.groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(s)) for s, rows in sides.items()]
-    n_of = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)).alias(s)
-    places = reduce(DataFrame.unionByName, counted).groupBy(*keys, "at").agg(n_of("gl"), n_of("bank"))
+    rows = reduce(DataFrame.unionByName, [x.drop("id").withColumn("side", F.lit(s)) for s, x in sides.items()])
+    places = rows.groupBy(*keys, "at").agg(*[F.count_if(F.col("side") == s).alias(s) for s in sides])
     both = places.groupBy(*keys).agg(F.collect_list(F.struct("at", "gl", "bank")).alias("places"), F.sum("gl").alias("_gl"), F.sum("bank").alias("_bank"))
+    apart = both.where(f"_gl > 0 and _bank > 0 and size(places) > {int(low > 0)}").drop("_gl", "_bank")
     types = {f.name: f.dataType.simpleString() for f in placed(gl).schema}
     ddl = ", ".join([*[f"{k} {types[k]}" for k in keys], *[f"{c} long" for c in ALLOCATED]])
-    pairs = bounded_batches(both).where("_gl > 0 and _bank > 0").drop("_gl", "_bank").mapInArrow(partial(_allocate_batches, low=low, high=high), ddl)
+    made = bounded_batches(apart).mapInArrow(partial(_allocate_batches, low=low, high=high), ddl)
+    pairs = settle(made, "recon_places")
 
     def matched(side: str) -> DataFrame:
-        nth = F.row_number().over(Window.partitionBy(*keys, "at").orderBy("id")) - 1
-        own = sides[side].select(F.col("id").alias(f"{side}_id"), *keys, F.col("at").alias(f"{side}_at"), nth.alias("_nth"))
-        hit = own.join(pairs, [*keys, f"{side}_at"]).withColumn("_k", F.col("_nth") - F.col(f"{side}_first"))
+        place = [*keys, f"{side}_at"]
+        own = sides[side].select(F.col("id").alias(f"{side}_id"), *keys, F.col("at").alias(f"{side}_at")).join(pairs.select(*place).distinct(), place, "left_semi")
+        nth = F.row_number().over(Window.partitionBy(*place).orderBy(f"{side}_id")) - 1
+        hit = own.withColumn("_nth", nth).join(pairs, place).withColumn("_k", F.col("_nth") - F.col(f"{side}_first"))
         return hit.where((F.col("_k") >= 0) & (F.col("_k") < F.col("n"))).select(*keys, "gl_at", "bank_at", "_k", f"{side}_id")
 
     return matched("gl").join(matched("bank"), [*keys, "gl_at", "bank_at", "_k"]).select("gl_id", "bank_id")
