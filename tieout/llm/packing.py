@@ -29,7 +29,7 @@ from tieout.llm.common import bounded_batches, exact_rank, slices_for, text_or_e
 
 CAPACITY = 2048
 END_ID = 0
-RANKED_TOGETHER = 2_000
+RANKED_TOGETHER = 500
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:

@@ -20,7 +20,7 @@ from tieout.llm.common import crc32_of_bytes, exact_rank, group_key, slices_for,
 
 SHARDS = 24
 SEED = 20240229
-SORTED_TOGETHER = 2_000
+SORTED_TOGETHER = 500
 #: What a record takes besides its text.
 FRAMING_BYTES = 8
 
