@@ -9,7 +9,15 @@ from tieout.session import bounded_batches
 from tieout.sources.scratch import discard
 from tieout.sources.scratch import settle as write_table
 
-__all__ = ["bounded_batches", "connected_components", "crc32_of_bytes", "discard", "exact_rank", "free_name", "group_key", "join_hot", "key_filter", "passes", "slices_for", "text_or_empty", "write_table"]
+__all__ = ["bounded_batches", "connected_components", "crc32_of_bytes", "discard", "exact_rank", "free_name", "group_key", "join_hot", "key_filter", "lower", "passes", "slices_for", "text_or_empty", "write_table"]
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def lower(text: Column) -> Column:
+    """A-Z lower-cased, nothing else."""
+    return F.translate(text, UPPER, LOWER)
+
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

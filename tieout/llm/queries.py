@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieout.llm import bpe, classifier, license_scan, media, packing, quality_rules, sharding, simhash, substring, toxicity
+from tieout.llm import bpe, classifier, license_scan, media, packing, quality_rules, sharding, simhash, spelling, substring, toxicity, url_filter, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(documents(spark, sf_dir))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.query(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.query(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.query(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -69,6 +81,9 @@ def queries() -> dict[str, Query]:
             op8_toxicity,
             op9_simhash,
             op10_bpe,
+            op11_url_filter,
+            op12_whitening,
+            op13_spelling,
         )
     }
 
@@ -98,4 +113,4 @@ FROM d LEFT JOIN k ON d.r = k.r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": OP7_SQL}
+    return {"op7_substring_dedup": OP7_SQL, "op11_url_filter": url_filter.oracle()}
