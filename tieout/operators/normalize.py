@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.functions import text as fn
-from tieout.operators import rules
+from tieout.operators.matcher import match_rules
 from tieout.schemas import allowed_keys, dim_keys
 from tieout.session import bounded_batches
 from tieout.sources.scratch import settle
@@ -33,29 +33,10 @@ def alias_map(rows: DataFrame, aliases: DataFrame, keys: list[str] = ROW, label:
     """Rows (keys, canonical_key) by the best matching rule, null where none matches.
 
     A row in a footnote block is mapped by that block alone. Else priorities come first, in order, then the
-    statement's own rules, the longest needle first. The rules are a table of a few hundred rows at most, sent to
-    all tasks once; the best match is an aggregate over the rules, not a sort of the matches.
+    statement's own rules, the longest needle first. No row meets a rule whose needle its label does not hold.
     """
-    own = rows.select(*keys, F.lower(F.trim(F.col(label))).alias("_label"), F.lower(F.col(context)).alias("_context"), F.col("statement").alias("_statement"))
-    dim = aliases.select("tier", F.lower("scope").alias("scope"), "needle", "canonical_key", "ord")
-    one = dim.agg(F.array_sort(F.collect_list(F.struct("tier", (-F.length("needle")).alias("short"), "ord", "scope", "needle", "canonical_key"))).alias("_rules"))
-    with_rules = own.join(F.broadcast(one))
-    in_block = F.get(F.filter("_rules", lambda r: (r["tier"] == rules.FOOTNOTE_TIER) & F.coalesce(F.col("_context").startswith(r["scope"]), F.lit(False))), 0)["scope"]
-    scoped = with_rules.withColumn("_block", in_block)
-
-    def applies(r: Column) -> Column:
-        block = (r["tier"] == rules.FOOTNOTE_TIER) & (r["scope"] == F.col("_block"))
-        free = F.col("_block").isNull() & ((r["tier"] == rules.PRIORITY_TIER) | (r["scope"] == F.col("_statement")))
-        return F.coalesce((block | (free & (r["tier"] != rules.FOOTNOTE_TIER))) & F.col("_label").contains(r["needle"]), F.lit(False))
-
-    order = lambda r: F.struct(
-        r["tier"].alias("tier"),
-        F.when(r["tier"] == rules.PRIORITY_TIER, r["ord"]).otherwise(r["short"]).alias("first"),
-        r["ord"].alias("ord"),
-        r["canonical_key"].alias("canonical_key"),
-    )
-    best = F.array_min(F.transform(F.filter("_rules", applies), order))
-    return scoped.select(*keys, best["canonical_key"].alias("canonical_key"))
+    own = rows.select(*keys, F.col(label).alias("_l"), F.col(context).alias("_c"), F.col("statement").alias("_s"))
+    return match_rules(own, aliases, F.col("_l"), F.col("_c"), F.col("_s")).select(*keys, "canonical_key")
 
 
 def context_of(path: Column) -> Column:
@@ -66,10 +47,10 @@ def by_alias(aliases: DataFrame) -> Normalizer:
     """The deterministic normalizer."""
 
     def run(rows: DataFrame) -> DataFrame:
-        known = rows.withColumn("context", context_of(F.col("section_path")))
-        mapped = alias_map(known, aliases).where("canonical_key is not null")
-        unit = rows.select(*ROW, fn.guess_unit(F.col("raw_label"), F.col("source_line"), F.col("values")).alias("unit"))
-        return mapped.join(unit, ROW).withColumn("confidence", F.lit(1.0)).withColumn("method", F.lit("alias"))
+        unit = fn.guess_unit(F.col("raw_label"), F.col("source_line"), F.col("values")).alias("unit")
+        own = rows.select(*ROW, "raw_label", context_of(F.col("section_path")).alias("context"), F.col("statement").alias("stated"), unit)
+        mapped = match_rules(own, aliases, F.col("raw_label"), F.col("context"), F.col("stated")).where("canonical_key is not null")
+        return mapped.select(*ROW, "canonical_key", "unit", F.lit(1.0).alias("confidence"), F.lit("alias").alias("method"))
 
     return run
 
