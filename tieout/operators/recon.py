@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.functions.text import invoice_core, to_cents
+from tieout.operators.islands import all_known, dealt
 from tieout.schemas import MEMO_LENGTHS
 from tieout.session import bounded_batches
 from tieout.sources.scratch import discard, settle
@@ -53,7 +54,7 @@ def voids(side: DataFrame) -> DataFrame:
 def pair_in_order(gl: DataFrame, bank: DataFrame, keys: list[str]) -> DataFrame:
     """Sets 1 and 4: rows with equal keys, the first with the first, so that repeated keys make no products."""
     nth = Window.partitionBy(*keys).orderBy("id")
-    ranked = lambda side, name: side.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])).select(F.col("id").alias(name), *keys, F.row_number().over(nth).alias("_nth"))
+    ranked = lambda side, name: side.where(all_known(keys)).select(F.col("id").alias(name), *keys, F.row_number().over(nth).alias("_nth"))
     return ranked(gl, "gl_id").join(ranked(bank, "bank_id"), [*keys, "_nth"]).select("gl_id", "bank_id")
 
 
@@ -102,15 +103,16 @@ def _allocate_batches(batches: Iterator[pa.RecordBatch], low: int, high: int | N
 def nearest(gl: DataFrame, bank: DataFrame, keys: list[str], at: Column, low: int, high: int | None) -> DataFrame:
     """(gl_id, bank_id) of rows with equal keys, at most one for each row, whose places differ by low to high: nearest first.
 
-    A task holds the places of a key, not its rows: one entry for each day, or each amount, that occurs.
+    A task holds places, not rows: one entry for each day, or each amount, that occurs. Where high bounds the difference, a key of many
+    places is dealt by islands of them, between which no pair crosses.
     """
-    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    known = all_known(keys)
     placed = lambda side: side.select("id", *keys, at.cast("long").alias("at")).where(known & F.col("at").isNotNull())
     sides = {"gl": placed(gl), "bank": placed(bank)}
     rows = reduce(DataFrame.unionByName, [x.drop("id").withColumn("side", F.lit(s)) for s, x in sides.items()])
-    places = rows.groupBy(*keys, "at").agg(*[F.count_if(F.col("side") == s).alias(s) for s in sides])
-    both = places.groupBy(*keys).agg(F.collect_list(F.struct("at", "gl", "bank")).alias("places"), F.sum("gl").alias("_gl"), F.sum("bank").alias("_bank"))
-    apart = both.where(f"_gl > 0 and _bank > 0 and size(places) > {int(low > 0)}").drop("_gl", "_bank")
+    places = settle(rows.groupBy(*keys, "at").agg(*[F.count_if(F.col("side") == s).alias(s) for s in sides]), "recon_all_places")
+    both = dealt(places, keys, high).groupBy(*keys, "island").agg(F.collect_list(F.struct("at", "gl", "bank")).alias("places"), F.sum("gl").alias("_gl"), F.sum("bank").alias("_bank"))
+    apart = both.where(f"_gl > 0 and _bank > 0 and size(places) > {int(low > 0)}").drop("_gl", "_bank", "island")
     types = {f.name: f.dataType.simpleString() for f in placed(gl).schema}
     ddl = ", ".join([*[f"{k} {types[k]}" for k in keys], *[f"{c} long" for c in ALLOCATED]])
     made = bounded_batches(apart).mapInArrow(partial(_allocate_batches, low=low, high=high), ddl)
