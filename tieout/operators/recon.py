@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tieout.functions.text import invoice_core, to_cents
 from tieout.operators.islands import all_known, dealt
+from tieout.operators.subsets import split_groups
 from tieout.schemas import MEMO_LENGTHS
 from tieout.session import bounded_batches
 from tieout.sources.scratch import discard, settle
@@ -164,8 +165,10 @@ def _summed(many: DataFrame, one: DataFrame) -> DataFrame:
 
 
 def groups_to_one(many: DataFrame, one: DataFrame) -> DataFrame:
-    """Sets 6 and 7: (many_id, one_id) of groups of one day and memo that sum to a row of the other side."""
-    return many.join(_summed(many, one), ["day", "memo"]).select(F.col("id").alias("many_id"), "one_id")
+    """Sets 6 and 7: (many_id, one_id) of groups of one day and memo that sum to a row of the other side, as a whole or else by
+    disjoint parts of them."""
+    whole = settle(_summed(many, one), "recon_groups")
+    return many.join(whole, ["day", "memo"]).select(F.col("id").alias("many_id"), "one_id").unionByName(split_groups(many, one, whole))
 
 
 #: The steps that pair rows before groups are summed, in the order of the waterfall.
@@ -209,9 +212,10 @@ class _Left:
 
     def take_groups(self, scenario: str, many: str, one: str) -> None:
         """Each group's rows and the one row that they sum to."""
-        hit = _summed(self.side(many), self.side(one)).withColumn("match_id", F.col("least" if many == "gl" else "one_id"))
-        rows = self.side(many).join(hit, ["day", "memo"]).select(F.lit(many).alias("side"), "id", "match_id")
-        self.take(scenario, rows.unionByName(hit.select(F.lit(one).alias("side"), F.col("one_id").alias("id"), "match_id")))
+        pairs = settle(groups_to_one(self.side(many), self.side(one)), "recon_group_rows")
+        totals = pairs.groupBy("one_id").agg(F.min("many_id").alias("least")).withColumn("match_id", F.col("least" if many == "gl" else "one_id"))
+        rows = pairs.join(totals, "one_id").select(F.lit(many).alias("side"), F.col("many_id").alias("id"), "match_id")
+        self.take(scenario, rows.unionByName(totals.select(F.lit(one).alias("side"), F.col("one_id").alias("id"), "match_id")))
 
 
 def left_for(scenario: str, gl: DataFrame, bank: DataFrame) -> tuple[DataFrame, DataFrame]:

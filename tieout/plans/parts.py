@@ -543,6 +543,29 @@ c AS (SELECT count(DISTINCT name) AS n FROM ({IDENTITY_ORACLE}) x), q AS (SELECT
 SELECT CAST(f.n + g.n + c.n + q.n + 4 AS BIGINT) AS table_rows, CAST(5 * f.n AS BIGINT) AS bars, CAST(f.n AS BIGINT) AS periods, 2::BIGINT AS titles FROM f, g, c, q"""
 
 
+# --- batches under one memo -----------------------------------------------------------------------------------------------
+
+#: Eight ledger rows for every sixteenth order, whose amounts give each choice of rows a sum of its own; two bank rows that share them.
+BATCH = "SELECT o_orderkey AS k, o_orderkey div 16 % 255 + 1 AS chosen, o_orderkey % 89 + 1 AS unit, CAST(o_orderdate AS DATE) AS day, concat('Run ', o_orderkey % 100) AS memo FROM {orders} WHERE o_orderkey % 16 = 0"
+BATCH_ROWS_SQL = f"SELECT k * 16 + i AS id, day, concat(memo, ' ', k) AS memo, CAST(unit * power(2, i) AS BIGINT) AS cents FROM (SELECT *, explode(sequence(0, 7)) AS i FROM ({BATCH}) x) y"
+BATCH_TOTALS_SQL = f"SELECT k * 16 + 8 + i AS id, day, concat(memo, ' ', k) AS memo, CASE i WHEN 0 THEN unit * chosen ELSE unit * (255 - chosen) END AS cents FROM (SELECT *, explode(sequence(0, 1)) AS i FROM ({BATCH}) x) y"
+
+
+def q63_recon_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG11, sets 6 and 7: two batches of one day and memo are told apart by their sums."""
+    return recon.groups_to_one(tables.run(spark, sf_dir, BATCH_ROWS_SQL), tables.run(spark, sf_dir, BATCH_TOTALS_SQL))
+
+
+def batches_oracle() -> str:
+    """All choices of rows, one row more at a time."""
+    rows, totals = (tables.duck(x).replace(" div ", " // ").replace("explode(sequence(0, 7))", "unnest(range(0, 8))").replace("explode(sequence(0, 1))", "unnest(range(0, 2))") for x in (BATCH_ROWS_SQL, BATCH_TOTALS_SQL))
+    return f"""
+WITH RECURSIVE l AS ({rows}), b AS ({totals}),
+s AS (SELECT day, memo, id AS last, 1 AS n, cents AS total, [id] AS ids FROM l
+  UNION ALL SELECT s.day, s.memo, l.id, n + 1, total + cents, list_append(ids, l.id) FROM s JOIN l ON l.day = s.day AND l.memo = s.memo AND l.id > s.last)
+SELECT unnest(s.ids) AS many_id, b.id AS one_id FROM s JOIN b ON s.day = b.day AND s.memo = b.memo AND s.total = b.cents WHERE n > 1"""
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
@@ -572,4 +595,5 @@ def oracle_sql() -> dict[str, str]:
         "q59_mapping_cache": cache_oracle(),
         "q61_document_words": DOCUMENT_ORACLE,
         "q62_report_html": report_oracle(),
+        "q63_recon_batches": batches_oracle(),
     }
