@@ -51,3 +51,27 @@ def test_bank_feed(spark, tmp_path):
     query = daily.writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("daily").agg(F.sum("amount")).first()[0] == rows.agg(F.sum("posted_amount")).first()[0] != Decimal(0)
+
+
+def by_letters(statement, keys, lines):
+    """Stands for a model: the first key whose first letter a label has."""
+    return [{"row_ord": x["row_ord"], "canonical_key": next((k for k in keys if k[0] == x["raw_label"][0].lower()), None), "unit": "thousands_usd", "confidence": 0.5} for x in lines]
+
+
+def never(statement, keys, lines):
+    raise AssertionError("a page in the cache was put to the model")
+
+
+def test_model_and_cache(spark, tmp_path, capsys, monkeypatch):
+    path = f"{tmp_path}/words"
+    document(spark, path)
+    flags = [path, "--company", "Acme", "--cache", f"{tmp_path}/cache", "--model", "tests.test_cli:by_letters"]
+    cli.main([*flags, "--db", f"{tmp_path}/db"], spark)
+    assert spark.read.parquet(f"{tmp_path}/db/line_items").select("method").distinct().first()[0] == "model"
+    first = capsys.readouterr().out.splitlines()[0]
+    monkeypatch.setattr(cli, "named", lambda place: never)
+    cli.main(flags, spark)
+    assert capsys.readouterr().out.splitlines()[0] == first
+    assert spark.read.parquet(f"{tmp_path}/cache").count() == 2
+    cli.main([*flags, "--no-llm"], spark)
+    assert "20 line items" in capsys.readouterr().out

@@ -1,10 +1,13 @@
 """Every query against its SQL, on the smallest test tables."""
 
+import difflib
 import os
+import random
 
 import duckdb
 import pytest
 
+from tieout.operators import trace
 from tieout.plans import oracle, parts, queries
 
 DATA = "/root/testdata/sf0.001"
@@ -39,10 +42,22 @@ def test_query_equals_its_sql(spark, duck, name):
     assert got or name == "q06b_skipped_checks"
 
 
-def test_suggestions_are_those_of_the_standard_library(spark):
-    import difflib
-
-    rows = parts.q60_suggestions(spark, DATA).collect()
-    known = sorted({k for _, k, _ in parts.allowed_keys()})
-    assert {r["suggestion"] for r in rows if r["key"] == "rvnu"} == set(difflib.get_close_matches("rvnu", known, 6, 0.4))
-    assert ("gross_profit", 0) in {(r["suggestion"], r["nth"]) for r in rows if r["key"] == "gross_profit"}
+def suggested(spark, unknown, known, **kw):
+    rows = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    found = {}
+    for r in sorted(trace.suggestions(rows(unknown), rows(known), **kw).collect(), key=lambda r: r["nth"]):
+        found.setdefault(r["key"], []).append(r["suggestion"])
+    return found
+
+
+@pytest.mark.parametrize("sent", [trace.SENT_LETTERS, 0])
+def test_suggestions_are_those_of_the_standard_library(spark, monkeypatch, sent):
+    monkeypatch.setattr(trace, "SENT_LETTERS", sent)
+    rng = random.Random(3)
+    known = sorted({k for _, k, _ in parts.allowed_keys()}) + ["aab", "aba", "baa", "x" * 300, "é"]
+    unknown = [k.replace("e", "") for k in known] + ["".join(rng.choice("aeinorst_") for _ in range(rng.randint(0, 12))) for _ in range(60)] + ["x" * 250 + "y"]
+    want = {k: difflib.get_close_matches(k, known, 6, 0.4) for k in unknown}
+    assert suggested(spark, [*unknown, unknown[0], None], known) == {k: v for k, v in want.items() if v}
+    want = {k: difflib.get_close_matches(k, known, 2, 0.7) for k in unknown}
+    assert suggested(spark, unknown, known, n=2, cutoff=0.7) == {k: v for k, v in want.items() if v}
+    assert suggested(spark, [], known) == suggested(spark, unknown, []) == {}

@@ -8,6 +8,7 @@ DOCUMENT is a PDF, or a Parquet table of positioned words (see schemas.WORDS).
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 from pathlib import Path
 
@@ -26,10 +27,14 @@ ENTITY = ["company"]
 class Filing:
     """What one run makes; all of it DataFrames."""
 
-    def __init__(self, words: DataFrame, company: str, ticker: str, source: str, mapping: DataFrame | None = None):
+    def __init__(self, words: DataFrame, company: str, ticker: str, source: str, mapping: DataFrame | None = None, model: str | None = None, cache: str | None = None):
         spark = words.sparkSession
         self.raw = settle(layout.extract(words, company.upper()), "raw_rows")
         normalizer = normalize.by_mapping(mapping) if mapping is not None else normalize.by_alias(rules.dim_alias(spark))
+        if model:
+            normalizer, fresh = normalize.by_model(self.raw, named(model), readers.cached_answers(spark, cache) if cache else None, model)
+            if cache:
+                writers.append_mappings(fresh, cache)
         accepted, held = normalize.normalize(self.raw, normalizer)
         name = F.lit(company)
         self.items = settle(normalize.line_items(accepted, name, F.lit(ticker), F.lit(source)), "line_items")
@@ -44,13 +49,20 @@ class Filing:
         return self.items.groupBy(*ENTITY).agg(F.max_by("period", "period_sort").alias("fiscal_period"), F.array_sort(F.collect_set("period")).alias("periods")).withColumns({"ticker": F.lit(ticker), "source_file": F.lit(source)})
 
 
+def named(place: str) -> normalize.Model:
+    """A function by module:name; the tasks import it by that name too."""
+    module, _, name = place.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def trace_key(filing: Filing, key: str) -> str:
     """U6, as text."""
     spark, items = filing.items.sparkSession, filing.items
     found = writers.records(trace.provenance(items.where(F.col("canonical_key") == key), []))
     if not found:
-        known = sorted({k for _, k, _ in schemas.allowed_keys()})
-        return f"no values for {key}; did you mean: {', '.join(trace.suggestions(key, known)) or 'nothing like it'}"
+        known = spark.createDataFrame([(k,) for k in sorted({k for _, k, _ in schemas.allowed_keys()})], "key string")
+        like = writers.records(trace.suggestions(spark.createDataFrame([(key,)], "key string"), known).orderBy("nth"))
+        return f"no values for {key}; did you mean: {', '.join(r['suggestion'] for r in like) or 'nothing like it'}"
     own, out = found[0], [f"key: {key}"]
     out += [f"{name}: {', '.join(own[name])}" for name in ("statements", "units", "methods")]
     out.append(f"least confidence: {own['least_confidence']:.2f}")
@@ -78,7 +90,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--company", default="Company")
     p.add_argument("--ticker", default="")
     p.add_argument("--mapping", help="Parquet of recorded mappings in place of the label rules")
-    p.add_argument("--no-llm", action="store_true", help="label rules alone, even where a mapping is given")
+    p.add_argument("--model", metavar="MODULE:FUNCTION", help="a function that labels pages, see normalize.Model")
+    p.add_argument("--cache", help="folder of the model's answers: pages found there are not put to it, others are added")
+    p.add_argument("--no-llm", action="store_true", help="label rules alone, even where a mapping or a model is given")
     p.add_argument("--compare", action="store_true", help="compare the mapping with the label rules")
     p.add_argument("--trace", metavar="KEY")
     p.add_argument("--strict", action="store_true", help="exit with 1 if any check fails")
@@ -91,7 +105,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     pdf = args.document.lower().endswith(".pdf")
     words = readers.pdf_words(spark, args.document) if pdf else readers.words_parquet(spark, args.document)
     mapping = readers.mappings_parquet(spark, args.mapping) if args.mapping else None
-    filing = Filing(words, args.company, args.ticker, Path(args.document).name, None if args.no_llm else mapping)
+    filing = Filing(words, args.company, args.ticker, Path(args.document).name, *((None, None) if args.no_llm else (mapping, args.model)), args.cache)
     if filing.raw.isEmpty():
         print("no tables found in the document")
         return 1

@@ -497,11 +497,32 @@ SELECT doc_id, page, row_ord, canonical_key, CASE WHEN statement IS NULL THEN 'u
   (SELECT count(DISTINCT (doc_id, page)) FROM p WHERE page % 2 = 0) AS asked_first, 0::BIGINT AS asked_third FROM r"""
 
 
+LABELS_SQL = "SELECT replace(p_name, ' ', '_') AS key FROM {part}"
+
+
 def q60_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys like an unknown one; by the standard library's ratio, which SQL has not."""
-    known = sorted({k for _, k, _ in allowed_keys()})
-    unknown = [r["key"] for r in writers.records(base.items(spark, sf_dir).select(F.regexp_replace("canonical_key", "e", "").alias("key")).distinct())]
-    return spark.createDataFrame([(key, n, found) for key in unknown for n, found in enumerate(trace.suggestions(key, known))], "key string, nth int, suggestion string")
+    """Keys like each label of the parts."""
+    known = spark.createDataFrame([(k,) for k in sorted({k for _, k, _ in allowed_keys()})], "key string")
+    return trace.suggestions(tables.run(spark, sf_dir, LABELS_SQL), known)
+
+
+def suggestions_oracle() -> str:
+    """The ratio by hand: the longest common block, of those the first in the known key, then in the label; then left and right of it."""
+    from tieout.plans.oracle import values
+
+    keys = values([(k,) for k in sorted({k for _, k, _ in allowed_keys()})])
+    block = (
+        "list_max(flatten([[{'n': l, 'i': -i, 'j': -position(substr(a, i, l) IN substr(b, b0, b1 - b0))} FOR l IN range(1, a1 - i + 1) "
+        "IF position(substr(a, i, l) IN substr(b, b0, b1 - b0)) > 0] FOR i IN range(a0, a1)]))"
+    )
+    return f"""
+WITH RECURSIVE u AS (SELECT DISTINCT key AS b FROM ({tables.duck(LABELS_SQL)}) x), k AS (SELECT * FROM {keys} t(a)),
+s AS (SELECT a, b, 1::BIGINT AS a0, length(a) + 1 AS a1, 1::BIGINT AS b0, length(b) + 1 AS b1, 0::BIGINT AS n FROM u, k
+  UNION ALL SELECT a, b, CASE side WHEN 0 THEN a0 ELSE m.n - m.i END, CASE side WHEN 0 THEN -m.i ELSE a1 END,
+    CASE side WHEN 0 THEN b0 ELSE b0 - m.j - 1 + m.n END, CASE side WHEN 0 THEN b0 - m.j - 1 ELSE b1 END, CASE side WHEN 0 THEN m.n ELSE 0 END
+  FROM (SELECT *, {block} AS m, unnest([0, 1]) AS side FROM s WHERE a0 < a1 AND b0 < b1) x WHERE m IS NOT NULL),
+r AS (SELECT b AS key, a AS suggestion, 2.0::DOUBLE * sum(n) / (length(a) + length(b)) AS ratio FROM s GROUP BY a, b)
+SELECT key, CAST(nth - 1 AS INT) AS nth, suggestion FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ratio DESC, suggestion DESC) AS nth FROM r WHERE ratio >= 0.4) y WHERE nth <= 6"""
 
 
 # --- documents and the report as a whole ----------------------------------------------------------------------------------
@@ -593,6 +614,7 @@ def oracle_sql() -> dict[str, str]:
         "q57_sql_views": views_oracle(),
         "q58_by_alias": alias_oracle(),
         "q59_mapping_cache": cache_oracle(),
+        "q60_suggestions": suggestions_oracle(),
         "q61_document_words": DOCUMENT_ORACLE,
         "q62_report_html": report_oracle(),
         "q63_recon_batches": batches_oracle(),

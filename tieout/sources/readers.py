@@ -70,6 +70,13 @@ def mappings_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def cached_answers(spark: SparkSession, path: str) -> DataFrame | None:
+    """SRC6: a model's answers of earlier runs; None before the first."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return mappings_parquet(spark, path) if there else None
+
+
 PageParser = Callable[[str, bytes], Iterator[dict]]
 
 
