@@ -19,8 +19,9 @@ from tieout.operators import checks, layout, metrics, normalize, recon, rules, t
 from tieout.plans import queries as base
 from tieout.plans import tables
 from tieout.schemas import allowed_keys
-from tieout.sources import corpus, readers, writers
+from tieout.sources import corpus, ledger, readers, writers
 from tieout.sources.scratch import scratch_dir
+from tieout.streaming import matching
 
 Query = Callable[[SparkSession, str], DataFrame]
 COMPANY = ["company"]
@@ -564,6 +565,34 @@ c AS (SELECT count(DISTINCT name) AS n FROM ({IDENTITY_ORACLE}) x), q AS (SELECT
 SELECT CAST(f.n + g.n + c.n + q.n + 4 AS BIGINT) AS table_rows, CAST(5 * f.n AS BIGINT) AS bars, CAST(f.n AS BIGINT) AS periods, 2::BIGINT AS titles FROM f, g, c, q"""
 
 
+# --- a service as a source, feeds as streams --------------------------------------------------------------------------------
+
+
+def q64_ledger_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC3: reports by the registered source, flattened."""
+    ledger.register(spark)
+    wanted = [r["n_name"] for r in writers.records(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name"))]
+    read = spark.read.format(ledger.NAME).option("client", f"{__name__}:region_report").option("reports", json.dumps(wanted)).option("per_partition", 4)
+    return tree.to_table(read.load(), ["Account", "Letters"]).select("report_id", "Account", "Letters")
+
+
+LEDGER_ORACLE = """SELECT n_name AS report_id, n_name AS "Account", length(n_name)::VARCHAR AS "Letters" FROM nation UNION ALL SELECT n_name, 'Total', '' FROM nation"""
+
+
+def q65_feed_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5, set 2: both sides as files in no order, matched as they come; the last file says that time has passed."""
+    gl, bank = base.sides(spark, sf_dir)
+    both = reduce(DataFrame.unionByName, [x.select(F.lit(s).alias("side"), "id", "day", "cents", "memo") for s, x in zip(recon.SIDES, (gl, bank))])
+    folder = _folder(spark, "feed")
+    for part in range(2):
+        both.where(F.pmod(F.xxhash64("id"), F.lit(2)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    ends = both.agg(F.max(F.date_add("day", 5000)).alias("day")).select(F.lit(matching.END).alias("side"), F.lit(-1).cast("long").alias("id"), "day", F.lit(0).cast("long").alias("cents"), F.lit("").alias("memo"))
+    ends.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    matching.run_to_end(stream, folder, "4000 days")
+    return spark.read.schema(matching.MATCHES).parquet(f"{folder}/out").where("gl_id is not null and bank_id is not null").select("gl_id", "bank_id")
+
+
 # --- batches under one memo -----------------------------------------------------------------------------------------------
 
 #: Eight ledger rows for every sixteenth order, whose amounts give each choice of rows a sum of its own; two bank rows that share them.
@@ -587,6 +616,12 @@ s AS (SELECT day, memo, id AS last, 1 AS n, cents AS total, [id] AS ids FROM l
 SELECT unnest(s.ids) AS many_id, b.id AS one_id FROM s JOIN b ON s.day = b.day AND s.memo = b.memo AND s.total = b.cents WHERE n > 1"""
 
 
+def oracle_of(name: str) -> str:
+    from tieout.plans.oracle import oracle_sql
+
+    return oracle_sql()[name]
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
@@ -618,4 +653,6 @@ def oracle_sql() -> dict[str, str]:
         "q61_document_words": DOCUMENT_ORACLE,
         "q62_report_html": report_oracle(),
         "q63_recon_batches": batches_oracle(),
+        "q64_ledger_source": LEDGER_ORACLE,
+        "q65_feed_shift": oracle_of("q25_recon_shift"),
     }
