@@ -3,6 +3,8 @@
 import random
 from datetime import timedelta
 
+import pytest
+
 from tests.test_recon_scale import FIRST, SIDE
 from tieout.operators import recon
 from tieout.streaming import matching
@@ -10,7 +12,8 @@ from tieout.streaming import matching
 BOTH = "side string, " + SIDE
 
 
-def test_files_in_any_order(spark, tmp_path):
+@pytest.mark.parametrize("lists", [1, matching.LISTS])
+def test_files_in_any_order(spark, tmp_path, lists):
     rng = random.Random(12)
     side = lambda first: [(first + i, FIRST + timedelta(rng.randint(0, 120)), rng.choice([100, 200]), rng.choice("ab")) for i in range(150)]
     gl, bank = side(0), side(1000)
@@ -21,11 +24,11 @@ def test_files_in_any_order(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame(rows[k::3], BOTH).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(BOTH).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    matching.run_to_end(stream, str(tmp_path), "200 days")
+    matching.run_to_end(stream, str(tmp_path), "200 days", lists=lists)
     first = spark.read.schema(matching.MATCHES).parquet(f"{tmp_path}/out").collect() if (tmp_path / "out").exists() else []
     assert not first  # rows may still come
     spark.createDataFrame([(matching.END, -1, FIRST + timedelta(900), 0, "")], BOTH).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    query = matching.run_to_end(stream, str(tmp_path), "200 days")
+    query = matching.run_to_end(stream, str(tmp_path), "200 days", lists=lists)
     got = spark.read.schema(matching.MATCHES).parquet(f"{tmp_path}/out").collect()
     want = sorted(map(tuple, recon.shifted(spark.createDataFrame(gl, SIDE), spark.createDataFrame(bank, SIDE)).collect()))
     assert sorted((r["gl_id"], r["bank_id"]) for r in got if r["gap"] is not None) == want

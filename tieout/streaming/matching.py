@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -22,7 +21,9 @@ PROVIDER = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sq
 MATCHES = "gl_id long, bank_id long, gap int"
 #: A side whose rows say how far time has come.
 END = "end"
-OPEN = "side string, id long, day long"
+OPEN = "cents long, memo string, side string, id long, day long"
+#: Amounts and memos are held in so many lists: more rows that are open at a time need more, so that a list stays short.
+LISTS = 4096
 
 
 def pairs_of(rows: list[tuple[str, int, int]], low: int, high: int) -> Iterator[tuple[int | None, int | None, int | None]]:
@@ -44,7 +45,7 @@ def pairs_of(rows: list[tuple[str, int, int]], low: int, high: int) -> Iterator[
 
 
 class HeldOpen(StatefulProcessor):
-    """Of one amount and memo: the rows that may still be matched."""
+    """Of some amounts and memos: the rows that may still be matched. One timer is set at a time, for the island that ends first."""
 
     def __init__(self, low: int, high: int):
         self.low, self.high = low, high
@@ -53,49 +54,48 @@ class HeldOpen(StatefulProcessor):
         self.handle = handle
         self.held = handle.getListState("held", OPEN)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        days = set()
-        for some in rows:
-            new = list(zip(some["side"].tolist(), some["id"].tolist(), some["at"].tolist()))
-            self.held.appendList(new)
-            days |= {r[2] for r in new}
-        for day in days:  # by then no row can come that is within reach of this one
-            self.handle.registerTimer((day + self.high + 1) * DAY_MS)
+    def closes(self, day: int) -> int:
+        """When no row can come any more that is within reach of a day."""
+        return (day + self.high + 1) * DAY_MS
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = [(r["cents"], r["memo"], r["side"], r["id"], r["at"]) for r in rows]
+        self.held.appendList(new)
+        self.handle.registerTimer(self.closes(min(r[-1] for r in new)))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        held, done, island = sorted((tuple(r) for r in self.held.get()), key=lambda r: r[2]), [], []
-        for row in [*held, None]:
-            if island and (row is None or row[2] - island[-1][2] > self.high):
-                if (island[-1][2] + self.high + 1) * DAY_MS <= now:
-                    done.append(island)
-                island = []
-            island.append(row)
-        if not done:
-            return
-        decided = {r[:2] for i in done for r in i}
-        rest = [r for r in held if r[:2] not in decided]
-        if rest:
-            self.held.put(rest)
-        else:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now, reach = timerValues.getCurrentWatermarkInMs(), self.high
+        held = sorted((tuple(r) for r in self.held.get()), key=lambda r: (r[0], r[1], r[-1]))
+        islands: list[list[tuple]] = []
+        for row in held:
+            if islands and islands[-1][-1][:2] == row[:2] and row[-1] - islands[-1][-1][-1] <= reach:
+                islands[-1].append(row)
+            else:
+                islands.append([row])
+        done = [i for i in islands if self.closes(i[-1][-1]) <= now]
+        waiting = [i for i in islands if self.closes(i[-1][-1]) > now]
+        if waiting:
+            self.held.put([r for i in waiting for r in i])
+            self.handle.registerTimer(min(self.closes(i[-1][-1]) for i in waiting))
+        elif held:
             self.held.clear()
-        made = [x for i in done for x in pairs_of(i, self.low, self.high)]
-        yield pd.DataFrame(made, columns=["gl_id", "bank_id", "gap"]).astype({"gl_id": "Int64", "bank_id": "Int64", "gap": "Int32"})
+        for island in done:
+            yield from (Row(gl_id=gl, bank_id=bank, gap=gap) for gl, bank, gap in pairs_of([r[2:] for r in island], self.low, self.high))
 
     def close(self) -> None:
         pass
 
 
-def shifted_as_they_come(both: DataFrame, lateness: str = "7 days", low: int = SLIGHT_DAYS[0], high: int = SLIGHT_DAYS[1]) -> DataFrame:
+def shifted_as_they_come(both: DataFrame, lateness: str = "7 days", low: int = SLIGHT_DAYS[0], high: int = SLIGHT_DAYS[1], lists: int = LISTS) -> DataFrame:
     """Set 2 over a stream of rows (side, id, day, cents, memo): (gl_id, bank_id, gap) of each pair, and of each row that found none with
     the other id null. Rows of the side END only move time on; rows without day, amount or memo are in no pair and not given out.
     The session needs the settings PROVIDER."""
     timed = both.where("day is not null").withColumn("time", F.col("day").cast("timestamp")).withColumn("at", F.unix_date("day").cast("long"))
     # it names the time, so that rows of END are not dropped before they have been seen
     counts = F.col("time").isNotNull() & (F.col("side") != END) & F.col("cents").isNotNull() & F.col("memo").isNotNull()
-    keyed = timed.withWatermark("time", lateness).where(F.when(F.col("time").isNotNull(), counts)).groupBy("cents", "memo")
-    return keyed.transformWithStateInPandas(HeldOpen(low, high), MATCHES, "Append", "EventTime")
+    keyed = timed.withWatermark("time", lateness).where(F.when(F.col("time").isNotNull(), counts)).withColumn("list", F.pmod(F.xxhash64("cents", "memo"), F.lit(lists))).groupBy("list")
+    return keyed.transformWithState(HeldOpen(low, high), MATCHES, "Append", "EventTime")
 
 
 def run_to_end(both: DataFrame, folder: str, lateness: str = "7 days", **settings: int) -> StreamingQuery:
