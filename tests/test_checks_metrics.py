@@ -1,3 +1,5 @@
+import pytest
+
 from tieout.operators import checks, metrics, trace
 from tieout.sources.writers import exit_code
 
@@ -105,3 +107,24 @@ def test_every_column_has_lineage_and_the_other_way_round(spark):
 def test_chart_span(spark):
     view = spark.createDataFrame([(5.0, -7.0, 3.0), (10.0, 20.0, None), (1.0, None, -9.0)], "a double, b double, t double")
     assert metrics.chart_span(view, ["a", "b"], "t").first()["span"] == 9.0
+
+
+def test_metrics_over_metrics_trace_to_their_keys(spark):
+    chain = [metrics.Metric("v0", "m", "revenue - prev(apic)")] + [metrics.Metric(f"v{i}", "m", f"v{i - 1}.m + total_assets") for i in range(1, 8)]
+    rows = {(r["view"], r["canonical_key"]): r["level"] for r in metrics.deep_lineage(spark, metrics=chain).where("column = 'm'").collect()}
+    assert {k for v, k in rows if v == "v7"} == {"revenue", "additional_paid_in_capital", "total_assets"}
+    assert rows["v7", "revenue"] == 9 and rows["v7", "total_assets"] == 2
+    assert {(v, c, k) for v, c, k in metrics.lineage_rows(metrics=chain)} == {tuple(r) for r in metrics.lineage(spark, metrics=chain).collect()}
+    table = spark.createDataFrame([("c", f"Q{q} 2024", 20240 + q, 10.0 * q, 1.0 * q, 100.0) for q in (1, 2, 3)], "company string, period string, period_sort int, revenue double, apic double, total_assets double")
+    views = metrics.all_views(table, ["company"], chain)
+    assert [r["m"] for r in views["v7"].orderBy("period_sort").collect()] == [None, 20.0 - 1 + 700, 30.0 - 2 + 700]
+
+
+def test_circles_and_unknown_names_are_errors(spark):
+    circle = [metrics.Metric("a", "x", "b.y"), metrics.Metric("b", "y", "a.x")]
+    with pytest.raises(ValueError, match="wait"):
+        metrics.all_views(spark.range(0), [], circle)
+    with pytest.raises(Exception, match="(?i)recursion"):
+        metrics.deep_lineage(spark, metrics=circle).collect()
+    with pytest.raises(ValueError, match="no fact"):
+        metrics.edges(metrics=[metrics.Metric("a", "x", "nothing + revenue")])

@@ -6,7 +6,9 @@ rows back. Both name the keys they come from, so columns and lineage cannot drif
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -114,8 +116,8 @@ STEPS = {"prev": 1, "year": 4}
 
 
 def names_in(expression: str) -> set[str]:
-    words = expression.replace("(", " ").replace(")", " ").split()
-    return {w for w in words if w.isidentifier() and w not in STEPS}
+    """Facts, and view.name of other metrics."""
+    return set(re.findall(r"[A-Za-z_][\w.]*", expression)) - set(STEPS)
 
 
 def metric_view(table: DataFrame, entity: list[str], view: str, metrics: list[Metric] = METRICS, calendar: bool = False) -> DataFrame:
@@ -150,18 +152,81 @@ def metric_view(table: DataFrame, entity: list[str], view: str, metrics: list[Me
     return wide.select(*entity, "period", "period_sort", *[column(m) for m in own])
 
 
-def lineage_rows(registry: list[Fact] = FACTS, metrics: list[Metric] = METRICS) -> list[tuple[str, str, str]]:
-    """(view, column, key) of every column of facts and of the metric views."""
-    by_name = {f.name: f for f in registry}
+def sources_of(metric: Metric) -> set[str]:
+    return names_in(metric.expression) | names_in(metric.over or "")
+
+
+def all_views(table: DataFrame, entity: list[str], metrics: list[Metric] = METRICS, calendar: bool = False) -> dict[str, DataFrame]:
+    """facts and every view over it, by name; a view may be over metrics of other views, to any depth, as view.name.
+
+    A view waits for those that it names; views that wait for each other are an error.
+    """
+    made = {"facts": table}
+    ids = [*entity, "period", "period_sort"]
+    waiting = {m.view: {n.split(".")[0] for o in metrics if o.view == m.view for n in sources_of(o) if "." in n} for m in metrics}
+    while waiting:
+        ready = [v for v, needs in waiting.items() if needs <= set(made)]
+        if not ready:
+            raise ValueError(f"views that wait for each other, or for none: {sorted(waiting)}")
+        for view in ready:
+            own = [m for m in metrics if m.view == view]
+            plain = lambda text: re.sub(r"(?<=\w)\.(?=[A-Za-z_])", "__", text) if text else text
+            used = sorted({n for m in own for n in sources_of(m) if "." in n})
+            wide = reduce(
+                lambda left, v: left.join(made[v].select(*ids, *[F.col(n.split(".")[1]).alias(plain(n)) for n in used if n.split(".")[0] == v]), ids, "left"),
+                sorted(waiting[view]),
+                table,
+            )
+            made[view] = metric_view(wide, entity, view, [replace(m, expression=plain(m.expression), over=plain(m.over)) for m in own], calendar)
+            del waiting[view]
+    return made
+
+
+def edges(registry: list[Fact] = FACTS, metrics: list[Metric] = METRICS) -> list[tuple[str, str, str]]:
+    """(view, column, source) of what each column is made of at first hand: keys for facts, view.name for metrics."""
+    facts_of = {f.name for f in registry}
     rows = [("facts", f.name, k) for f in registry for k in f.keys]
     for m in metrics:
-        keys = {k for n in names_in(m.expression) | names_in(m.over or "") if n in by_name for k in by_name[n].keys}
-        rows += [(m.view, m.name, k) for k in sorted(keys)]
+        unknown = [n for n in sources_of(m) if "." not in n and n not in facts_of]
+        if unknown:
+            raise ValueError(f"{m.view}.{m.name} names no fact: {unknown}")
+        rows += [(m.view, m.name, n if "." in n else f"facts.{n}") for n in sorted(sources_of(m))]
     return rows
 
 
+#: Levels of metrics over metrics.
+MOST_LEVELS = 100
+CLOSURE = """
+WITH RECURSIVE up(view, column, source, level) MAX RECURSION LEVEL {most} AS (
+  SELECT view, column, source, 1 FROM {edges}
+  UNION ALL SELECT u.view, u.column, e.source, u.level + 1 FROM up u JOIN {edges} e ON u.source = concat(e.view, '.', e.column)
+)
+SELECT view, column, source AS canonical_key, min(level) AS level FROM up WHERE NOT contains(source, '.') GROUP BY view, column, source
+"""
+
+
+def deep_lineage(spark: SparkSession, registry: list[Fact] = FACTS, metrics: list[Metric] = METRICS) -> DataFrame:
+    """(view, column, canonical_key, level) of every key that a column comes from, through metrics over metrics, and how many
+    steps away it first stands. A circle ends with Spark's error about levels."""
+    own = spark.createDataFrame(edges(registry, metrics), "view string, column string, source string")
+    return spark.sql(CLOSURE.replace("{most}", str(MOST_LEVELS)), edges=own)
+
+
 def lineage(spark: SparkSession, registry: list[Fact] = FACTS, metrics: list[Metric] = METRICS) -> DataFrame:
-    return spark.createDataFrame(lineage_rows(registry, metrics), "view string, column string, canonical_key string")
+    """(view, column, canonical_key) of every column of facts and of the metric views."""
+    return deep_lineage(spark, registry, metrics).drop("level")
+
+
+def lineage_rows(registry: list[Fact] = FACTS, metrics: list[Metric] = METRICS) -> list[tuple[str, str, str]]:
+    """The same of the registry alone."""
+    direct: dict[str, list[str]] = {}
+    for view, column, source in edges(registry, metrics):
+        direct.setdefault(f"{view}.{column}", []).append(source)
+
+    def keys(name: str) -> set[str]:
+        return set().union(*[keys(s) if "." in s else {s} for s in direct.get(name, ())])
+
+    return [(*name.split("."), k) for name in direct for k in sorted(keys(name))]
 
 
 def dependents_of(table: DataFrame, key: Column | str) -> DataFrame:

@@ -593,6 +593,50 @@ def q65_feed_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(matching.MATCHES).parquet(f"{folder}/out").where("gl_id is not null and bank_id is not null").select("gl_id", "bank_id")
 
 
+# --- metrics over metrics -------------------------------------------------------------------------------------------------
+
+#: Three levels above the shipped views.
+DEEP_METRICS = [
+    *metrics.METRICS,
+    metrics.Metric("funding_quality", "outside_funding", "funding_mix.delta_debt + funding_mix.delta_apic"),
+    metrics.Metric("funding_quality", "own_share_pct", "funding_mix.retained_earnings_change", 1, "funding_mix.delta_assets", True),
+    metrics.Metric("trend", "outside_change", "funding_quality.outside_funding - prev(funding_quality.outside_funding)"),
+    metrics.Metric("trend", "margin_less_share", "growth_efficiency.gaap_gross_margin_pct - funding_quality.own_share_pct"),
+    metrics.Metric("score", "change_over_revenue", "trend.outside_change", 3, "revenue"),
+]
+
+
+def q66_deep_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that each key of the tables reaches, through any number of metrics, and in how many steps."""
+    keys = base.items(spark, sf_dir).select("canonical_key").distinct()
+    return metrics.deep_lineage(spark, metrics=DEEP_METRICS).join(keys, "canonical_key")
+
+
+def deep_lineage_oracle() -> str:
+    from tieout.plans.oracle import values
+
+    return f"""{tables.items_sql()}, e AS (SELECT * FROM {values(metrics.edges(metrics=DEEP_METRICS))} t(view, col, source)),
+r AS (WITH RECURSIVE up AS (SELECT view, col, source, 1 AS level FROM e UNION SELECT u.view, u.col, e.source, level + 1 FROM up u JOIN e ON u.source = concat(e.view, '.', e.col)) SELECT * FROM up)
+SELECT view, col AS "column", source AS canonical_key, CAST(min(level) AS INT) AS level FROM r WHERE source IN (SELECT canonical_key FROM items) GROUP BY 1, 2, 3"""
+
+
+def q67_composed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN1, SC16, SC17: the views over views."""
+    views = metrics.all_views(metrics.facts(base.items(spark, sf_dir), COMPANY), COMPANY, DEEP_METRICS)
+    ids = [*COMPANY, "period", "period_sort"]
+    return views["funding_quality"].join(views["trend"], ids).join(views["score"], ids)
+
+
+def composed_oracle() -> str:
+    from tieout.plans.oracle import FUNDING, GROWTH, with_facts
+
+    rounded = lambda x, n: f"sign({x}) * floor(abs({x}) * {10**n} + 0.5) / {10**n}"
+    return f"""{with_facts()}, m AS ({FUNDING}), g AS ({GROWTH}),
+a AS (SELECT company, period, period_sort, delta_debt + delta_apic AS outside_funding, {rounded('(100.0::DOUBLE * retained_earnings_change / nullif(delta_assets, 0))', 1)} AS own_share_pct FROM m),
+b AS (SELECT a.*, outside_funding - lag(outside_funding) OVER (PARTITION BY company ORDER BY period_sort) AS outside_change, g.gaap_gross_margin_pct - own_share_pct AS margin_less_share FROM a JOIN g USING (company, period, period_sort))
+SELECT b.*, {rounded('(b.outside_change / nullif(f.revenue, 0))', 3)} AS change_over_revenue FROM b JOIN facts f USING (company, period, period_sort)"""
+
+
 # --- batches under one memo -----------------------------------------------------------------------------------------------
 
 #: Eight ledger rows for every sixteenth order, whose amounts give each choice of rows a sum of its own; two bank rows that share them.
@@ -655,4 +699,6 @@ def oracle_sql() -> dict[str, str]:
         "q63_recon_batches": batches_oracle(),
         "q64_ledger_source": LEDGER_ORACLE,
         "q65_feed_shift": oracle_of("q25_recon_shift"),
+        "q66_deep_lineage": deep_lineage_oracle(),
+        "q67_composed_metrics": composed_oracle(),
     }
