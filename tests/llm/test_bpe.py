@@ -45,6 +45,50 @@ def test_long_unsplit_run():
         assert own.encode(text).tolist() == truth(text)
 
 
+ALPHABETS = {
+    "russian": "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфё" + " " * 6 + ",.",
+    "chinese": "的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过发后作里用道行所然家种事成方多经么去法学如都同现当没动面起看定天分还进好小部其些主样理心她本前开但因只从想实" + "，。",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "hex": "0123456789abcdef",
+    "code": "abcxyz(){};=+.,'\"09_",
+    "mixed": "aб1中 é'\n\t!٣ⅷ²𝒳🙂́\u200d\u3000ß",
+}
+
+
+def long_text(name, n, seed=4):
+    rng = random.Random(seed)
+    return "".join(rng.choices(ALPHABETS[name], k=n))
+
+
+def test_unsplit_texts_of_any_script():
+    own = bpe.Codec(bpe.VOCABULARY, leaf_chars=64)
+    for name in ALPHABETS:
+        for seed in range(12):
+            text = long_text(name, 700, seed)
+            assert own.encode(text).tolist() == truth(text), (name, seed)
+    own = bpe.Codec(bpe.VOCABULARY, leaf_chars=512)
+    for letters in ("中", "абв", "ⅷ٣", "…。", "é", "𝒳"):  # no boundary at all
+        text = "".join(random.Random(1).choices(letters, k=20_000))
+        assert own.encode(text).tolist() == truth(text), letters
+
+
+def test_seams_stay_short(monkeypatch):
+    """What joins encode again is a small part of the text, whatever its script."""
+    own = bpe.Codec(bpe.VOCABULARY)
+    for name in ALPHABETS:
+        text, again = long_text(name, 60_000), []
+        leaf = own.leaf
+        monkeypatch.setattr(own, "leaf", lambda t: again.append(len(t)) or leaf(t))
+        assert own.encode(text).tolist() == truth(text)
+        monkeypatch.undo()
+        assert sum(again) < 1.1 * len(text), (name, sum(again))
+
+
+def test_a_million_characters_of_mixed_classes():
+    text = "".join(long_text(name, 180_000) for name in ALPHABETS)
+    assert bpe.Codec(bpe.VOCABULARY).encode(text).tolist() == truth(text)
+
+
 def test_very_long_texts(spark):
     """More than a million characters: prose, an unsplit run, special tokens at and across the cuts, other letters."""
     rng = random.Random(3)

@@ -25,14 +25,16 @@ def test_order_against_brute_force(spark, monkeypatch):
     """Shuffled ranks within sources, fractional ranks, one order, equal cuts: by hand from the seeded hashes."""
     monkeypatch.setattr(sharding, "SORTED_TOGETHER", 7)
     monkeypatch.setattr(common, "SLICES_TOGETHER", 3)
-    docs = hard_docs(spark).unionByName(spark.range(300).selectExpr("1000 + id as doc_id", "concat('t', id % 50) as text", "'hot' as source"), allowMissingColumns=True)
+    docs = hard_docs(spark).unionByName(spark.range(300).selectExpr("1000 + id as doc_id", "concat('t', id % 50) as text", "if(id < 200, 'hot', concat('one', id div 2)) as source"), allowMissingColumns=True)
     hashed = F.shiftrightunsigned(F.xxhash64(F.lit(sharding.SEED), "doc_id", "text_crc32", "size"), 2).alias("shuffled")
-    got = sharding.shard(docs).select("*", hashed).collect()
+    got = sharding.shard(docs).select("*", hashed, sharding.phase(sharding.SEED).alias("phase")).collect()
+    phases = {r["source_key"]: r["phase"] for r in got}
+    assert all(0 <= x < 1 for x in phases.values())
     own = lambda r: (r["shuffled"], r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"])
     by_source = defaultdict(list)
     for r in got:
         by_source[r["source_key"]].append(own(r))
-    order = sorted(((rank + 0.5) / len(rows), source, *row) for source, rows in by_source.items() for rank, row in enumerate(sorted(rows)))
+    order = sorted(((rank + phases[source]) / len(rows), source, *row) for source, rows in by_source.items() for rank, row in enumerate(sorted(rows)))
     n = len(order)
     want = Counter()
     for at, (_, source, *row) in enumerate(order):
@@ -54,3 +56,11 @@ def test_every_shard_has_the_mixture(spark, monkeypatch):
             assert abs(own[source] - n / sharding.SHARDS) <= 2
     again = sharding.shard(docs.repartition(7)).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_small_sources_are_spread(spark):
+    """One source of half the rows, and as many sources of one row each."""
+    docs = spark.range(40_000).selectExpr("id as doc_id", "concat('t', id) as text", "if(id < 20000, 'hot', concat('s', id)) as source")
+    small = Counter(r["shard"] for r in sharding.shard(docs).where("source_key <> 'vhot'").select("shard").collect())
+    assert set(small) == set(range(sharding.SHARDS))
+    assert max(small.values()) < 1.1 * 20_000 / sharding.SHARDS and min(small.values()) > 0.9 * 20_000 / sharding.SHARDS

@@ -4,10 +4,11 @@ A text longer than a leaf is cut into halves again and again; the leaves are enc
 re-encodes a window around the cut that grows until both sides agree with it exactly. Two kinds of agreement are
 exact, and only these are accepted:
 
-* a white-space boundary: a printable ASCII character, then a space, then a printable ASCII character. No piece of
-  the splitting pattern reaches over it and none looks back, so what stands before and after is encoded alone;
-* inside one unsplit run of letters, digits or other marks, the window's first token is the left side's token at
-  that place and its last token the right side's. A token sequence is the encoding of a run if and only if each
+* a boundary of the splitting pattern: white space after anything else, or a letter, a digit or another mark after one of
+  another class, but for what follows an apostrophe. No piece reaches over it and none looks back, so what stands
+  before and after is encoded alone. Classes are taken as known where Unicode 3.2 and the present one agree;
+* inside one unsplit run of letters, digits or other marks, of any script, the window's first token is the left side's
+  token at that place and its last token the right side's. A token sequence is the encoding of a run if and only if each
   neighbouring pair is the encoding of its own bytes, and all pairs then come from one of three valid encodings.
 
 Texts beyond spread_chars are dealt out: each distinct one is cut in one pass, its leaves become rows, are encoded by
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import cache, partial
 
@@ -34,8 +36,8 @@ from tieout.llm.common import bounded_batches, text_or_empty
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters of which all regular-expression engines know the class: there both libraries split alike.
 SAFE = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]*")
-#: Runs that the splitting pattern never cuts, in a text of safe characters. Apostrophes may start a piece of their own.
-RUN = re.compile(rb"(?:[A-Za-z\x80-\xff]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+#: Runs of one of these classes are never cut by the splitting pattern.
+CLASSES = {"L": "letter", "N": "digit", "M": "mark", "P": "mark", "S": "mark"}
 LEAF_CHARS = 4096
 SPREAD_CHARS = 65536
 #: Documents or leaves in one Arrow batch of results.
@@ -120,8 +122,8 @@ class Codec:
                 seam = self.leaf((left[start:] + right[:end]).decode())
                 return np.concatenate([left_ids[:lo], seam, right_ids[hi:]])
             if reach >= 64 and a > 0 and b < len(right_ids):
-                around = left[int(starts[0]) - int(self.lengths[left_ids[a - 1]]) :] + right[: int(ends[-1]) + int(self.lengths[right_ids[b]])]
-                if RUN.fullmatch(around) and SAFE.fullmatch((left + right).decode()):
+                before, after = int(starts[0]) - int(self.lengths[left_ids[a - 1]]), int(ends[-1]) + int(self.lengths[right_ids[b]])
+                if one_class(left, before, right, after):
                     seam = np.array(self.fast._encode_single_piece(left[int(starts[0]) :] + right[: int(ends[-1])]), np.uint32)
                     if seam[0] == left_ids[a] and seam[-1] == right_ids[b - 1]:
                         return np.concatenate([left_ids[:a], seam, right_ids[b:]])
@@ -132,9 +134,49 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+@cache
+def class_of(char: str) -> str | None:
+    """letter, digit, mark, apostrophe or space; None where it is not sure that all engines agree."""
+    if char in " \t\n\r":
+        return "space"
+    if char == "'":
+        return "apostrophe"
+    then, now = unicodedata.ucd_3_2_0.category(char), unicodedata.category(char)
+    return CLASSES.get(now[0]) if then[0] == now[0] else None
+
+
+def char_start(data: bytes, p: int) -> int:
+    """Where the character begins that the byte at p is part of."""
+    while p > 0 and data[p] & 0xC0 == 0x80:
+        p -= 1
+    return p
+
+
+def char_end(data: bytes, p: int) -> int:
+    """The next place from p on where a character begins, or the end."""
+    while p < len(data) and data[p] & 0xC0 == 0x80:
+        p += 1
+    return p
+
+
 def opens(data: bytes, p: int) -> bool:
     """Whether a piece starts at p in whatever text data is part of."""
-    return 0 < p < len(data) - 1 and data[p] == 0x20 and 0x21 <= data[p - 1] <= 0x7E and 0x21 <= data[p + 1] <= 0x7E
+    if not 0 < p < len(data) or data[p] & 0xC0 == 0x80:
+        return False
+    before = class_of(data[char_start(data, p - 1) : p].decode())
+    here = class_of(data[p : char_end(data, p + 1)].decode())
+    if before is None or here is None or before == "space":
+        return False
+    if here == "space":
+        return True
+    return before != "apostrophe" and before != here and {before, here} != {"mark", "apostrophe"}
+
+
+def one_class(left: bytes, start: int, right: bytes, end: int) -> bool:
+    """Whether all characters that left from start and right up to end touch are of one unsplit run."""
+    touched = left[char_start(left, start) :] + right[: char_end(right, end)]
+    classes = set(map(class_of, touched.decode()))
+    return len(classes) == 1 and classes <= set(CLASSES.values())
 
 
 def leaf_cuts(length: int, leaf_chars: int) -> list[int]:
