@@ -35,13 +35,13 @@ class Filing:
             normalizer, fresh = normalize.by_model(self.raw, named(model), readers.cached_answers(spark, cache) if cache else None, model)
             if cache:
                 writers.append_mappings(fresh, cache)
-        accepted, held = normalize.normalize(self.raw, normalizer)
         name = F.lit(company)
-        self.items = settle(normalize.line_items(accepted, name, F.lit(ticker), F.lit(source)), "line_items")
-        self.quarantined = settle(normalize.quarantine_rows(held, name), "quarantined")
-        self.accepted = accepted
-        order = F.struct("page", "source_line")
-        self.checks = checks.run_checks(self.items.withColumn("_ord", order), ENTITY, "_ord")
+        items = lambda judged: normalize.line_items(normalize.parted(judged)[0], name, F.lit(ticker), F.lit(source))
+        proof = lambda judged: checks.run_checks(items(judged).withColumn("_ord", F.struct("page", "source_line")), ENTITY, "_ord")
+        # judged rows and checks are written once, and counted as they are
+        judged, self.checks, self.counts = report.settled(normalize.judge(self.raw, normalizer), proof)
+        self.items = items(judged)
+        self.quarantined = normalize.quarantine_rows(normalize.parted(judged)[1], name)
         facts = metrics.facts(self.items, ENTITY)
         self.views = {"facts": facts} | {v: metrics.metric_view(facts, ENTITY, v) for v in ("funding_mix", "growth_efficiency")}
 
@@ -111,9 +111,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 1
     if args.trace:
         print(trace_key(filing, args.trace))
-    summary = {r["name"]: r for r in writers.records(checks.summarize(filing.checks))}
-    total = summary.get(None, {"n_passed": 0, "n_checks": 0})
-    print(f"{filing.raw.count()} rows, {filing.items.count()} line items, checks {total['n_passed']}/{total['n_checks']}, {filing.quarantined.count()} quarantined")
+    n = filing.counts
+    print(f"{n['rows']} rows, {n['items']} line items, checks {n['passed']}/{n['checks']}, {n['held']} quarantined")
     failed = filing.checks.where(~F.col("passed")).orderBy("name", "period_sort")
     for r in failed.toLocalIterator():
         print(f"  failed: {r['name']} {r['period']}: {r['actual']} is not {r['expected']} (by {r['diff']})")
@@ -133,10 +132,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         writers.filing_json(filing.header(args.ticker, Path(args.document).name), filing.items, filing.quarantined, ENTITY, args.json)
     if args.html:
         views = filing.views
-        made = report.parts(f"{args.company} {args.ticker}".strip(), filing.items, filing.checks, views["funding_mix"], views["growth_efficiency"], filing.quarantined, filing.raw.count())
-        with open(args.html, "w", encoding="utf-8") as file:
-            file.writelines(made)
-    return writers.exit_code(filing.checks, args.strict)
+        report.write(report.lines(f"{args.company} {args.ticker}".strip(), n, filing.checks, views["funding_mix"], views["growth_efficiency"], filing.quarantined), args.html)
+    return writers.exit_code(n["checks"] - n["passed"], args.strict)
 
 
 if __name__ == "__main__":

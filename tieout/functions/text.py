@@ -98,6 +98,13 @@ def format_amount(value: Column, decimals: int = 0) -> Column:
     return F.when(value.isNull(), "—").when(value < 0, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown)
 
 
+def escaped(text: Column) -> Column:
+    """SC13: for markup."""
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
+
+
 def trace_number(value: Column) -> Column:
     """SC12: two decimals, without trailing zeros."""
     return F.regexp_replace(F.regexp_replace(F.format_number(value, 2), r"(\.\d*?)0+$", "$1"), r"\.$", "")

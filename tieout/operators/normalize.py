@@ -107,12 +107,21 @@ def by_model(rows: DataFrame, model: Model, cache: DataFrame | None = None, mode
     return by_mapping(mapping), fresh
 
 
-def normalize(rows: DataFrame, normalizer: Normalizer, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted, quarantined) of raw rows.
+#: Counts over judged rows that can be taken as they are written: accepted rows, line items, whether a model made labels, and rows held.
+def judged_counts() -> dict[str, Column]:
+    fits = F.col("reason").isNull()
+    return {
+        "rows": F.count(F.lit(1)),
+        "items": F.coalesce(F.sum(F.when(fits, F.size("values"))), F.lit(0)),
+        "by_model": F.coalesce(F.bool_or(fits & (F.col("method") != "alias")), F.lit(False)),
+        "held": F.count_if(~fits),
+    }
+
 
-    accepted has a row for each accepted raw row, with statement, canonical_key, unit, confidence and method;
-    quarantined has all others and why. A key is accepted once a page, for its first row (AG7); of several mappings of one
-    row the first by key counts.
+def judge(rows: DataFrame, normalizer: Normalizer, keys: DataFrame | None = None) -> DataFrame:
+    """Raw rows with statement, canonical_key, unit, confidence and method, and in reason why a row is not accepted.
+
+    A key is accepted once a page, for its first row (AG7); of several mappings of one row the first by key counts.
     """
     dim = dim_keys(rows.sparkSession) if keys is None else keys
     known = with_statement(rows)
@@ -128,10 +137,17 @@ def normalize(rows: DataFrame, normalizer: Normalizer, keys: DataFrame | None =
         .when(F.col("_nth") > 1, "key repeated")
     )
     judged = ranked.withColumn("reason", reason)
-    accepted = judged.where("reason is null").withColumn("statement", F.col("stored_statement"))
-    quarantined = judged.where("reason is not null")
-    drop = ["_allowed", "_nth", "stored_statement"]
-    return accepted.drop(*drop, "reason"), quarantined.drop(*drop, "unit", "confidence", "method")
+    return judged.withColumn("statement", F.when(F.col("reason").isNull(), F.col("stored_statement")).otherwise(F.col("statement"))).drop("_allowed", "_nth", "stored_statement")
+
+
+def parted(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, quarantined) of judged rows."""
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null").drop("unit", "confidence", "method")
+
+
+def normalize(rows: DataFrame, normalizer: Normalizer, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, quarantined) of raw rows; see judge. quarantined has all that is not accepted, and why."""
+    return parted(judge(rows, normalizer, keys))
 
 
 def line_items(accepted: DataFrame, company: Column, ticker: Column, source_file: Column) -> DataFrame:

@@ -20,7 +20,7 @@ from tieout.plans import queries as base
 from tieout.plans import tables
 from tieout.schemas import allowed_keys
 from tieout.sources import corpus, ledger, readers, writers
-from tieout.sources.scratch import scratch_dir
+from tieout.sources.scratch import scratch_dir, settle, settle_counting
 from tieout.streaming import matching
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -310,12 +310,16 @@ SKIPPED_ORACLE = f"{IDENTITY_BASE} SELECT company, name, period FROM c WHERE (a
 # --- the long model, its sinks and the report ---------------------------------------------------------------------------
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.run(spark, sf_dir, base.ROWS_SQL)
     values = F.create_map(F.lit("Q1 2024"), F.col("row_ord").cast("double"), F.lit("Q2 2024"), F.when(F.col("row_ord") % 2 == 0, F.col("row_ord") / 2))
     whole = rows.withColumns({"values": values, "source_line": F.concat_ws(" ", "raw_label", "row_ord")})
     mapping = rows.where("mapped is not null").select(*normalize.ROW, F.col("mapped").alias("canonical_key"), F.lit("thousands_usd").alias("unit"), F.lit(0.5).alias("confidence"), F.lit("model").alias("method"))
-    return normalize.normalize(whole.drop("mapped"), normalize.by_mapping(mapping))
+    return normalize.judge(whole.drop("mapped"), normalize.by_mapping(mapping))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return normalize.parted(_judge(spark, sf_dir))
 
 
 def model_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,8 +389,9 @@ def key_values_oracle() -> str:
 
 
 def q54_report_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG9, AG10: the numbers at the head of the report."""
-    return report.cards(model_items(spark, sf_dir), q48_all_identities(spark, sf_dir), _judged(spark, sf_dir)[1])
+    """AG9, AG10: the numbers at the head of the report, counted by the passes that write the model and the checks."""
+    _, _, counts = report.settled(_judge(spark, sf_dir), lambda _: q48_all_identities(spark, sf_dir))
+    return spark.createDataFrame(report.cards(counts), "card string, value string")
 
 
 def cards_oracle() -> str:
@@ -399,10 +404,10 @@ def cards_oracle() -> str:
 
 
 def q55_exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK11: 1 if any check failed and strict."""
-    made = q48_all_identities(spark, sf_dir)
-    whole = made.where("name in ('gross_profit', 'free_cash_flow')")
-    rows = [(name, strict, writers.exit_code(table, strict)) for name, table in (("all", made), ("sound", whole)) for strict in (False, True)]
+    """SNK11: 1 if any check failed and strict; failures are counted by the one pass that writes the checks."""
+    failed = lambda where: F.count_if(~F.col("passed") & where)
+    _, counts = settle_counting(q48_all_identities(spark, sf_dir), "checks", all=failed(F.lit(True)), sound=failed(F.col("name").isin("gross_profit", "free_cash_flow")))
+    rows = [(name, strict, writers.exit_code(n, strict)) for name, n in counts.items() for strict in (False, True)]
     return spark.createDataFrame(rows, "checks string, strict boolean, code int")
 
 
@@ -550,19 +555,68 @@ SELECT doc_id, CAST(1 AS INT) AS page, CAST(k AS INT) AS word_seq, text, 10.0::D
 
 
 def q62_report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK6, U7, U8: the HTML report over the test tables, told by its table rows, bars and periods."""
-    funding, efficiency = base.q03_funding_mix(spark, sf_dir), base.q04_growth_efficiency(spark, sf_dir)
-    shown = report.render("Test <report>", model_items(spark, sf_dir), q48_all_identities(spark, sf_dir), funding, efficiency, q51_quarantine_rows(spark, sf_dir), 0)
-    marks = [shown.count(x) for x in ("<tr>", "<rect", "<text", "Test &lt;report&gt;")]
-    return spark.createDataFrame([tuple(marks)], "table_rows long, bars long, periods long, titles long")
+    """SNK6, U7, U8: every line of the HTML report over the test tables, as written to its file."""
+    judged, made, counts = report.settled(_judge(spark, sf_dir), lambda _: q48_all_identities(spark, sf_dir))
+    facts = settle(base.q02_facts(spark, sf_dir), "facts")
+    funding, efficiency = (metrics.metric_view(facts, COMPANY, v) for v in ("funding_mix", "growth_efficiency"))
+    held = normalize.quarantine_rows(normalize.parted(judged)[1], F.col("doc_id"))
+    path = f"{_folder(spark, 'report')}/report.html"
+    report.write(report.lines("Test <report>", counts, made, funding, efficiency, held), path)
+    return spark.read.text(path).select(F.col("value").alias("html"))
 
 
 def report_oracle() -> str:
-    from tieout.plans.oracle import FUNDING, with_facts
+    """The lines by hand."""
+    from tieout.plans.oracle import FUNDING, GROWTH, with_facts
 
-    return f"""{with_facts()}, f AS (SELECT count(delta_assets) AS n FROM ({FUNDING}) x), g AS (SELECT count(*) AS n FROM facts),
-c AS (SELECT count(DISTINCT name) AS n FROM ({IDENTITY_ORACLE}) x), q AS (SELECT count(*) AS n FROM ({quarantine_oracle()}) x)
-SELECT CAST(f.n + g.n + c.n + q.n + 4 AS BIGINT) AS table_rows, CAST(5 * f.n AS BIGINT) AS bars, CAST(f.n AS BIGINT) AS periods, 2::BIGINT AS titles FROM f, g, c, q"""
+    def amount(x: str, n: int) -> str:
+        shown = f"format('{{:,.{n}f}}', abs({x}))"
+        return f"CASE WHEN {x} IS NULL THEN '—' WHEN {x} < 0 THEN concat('(', {shown}, ')') ELSE {shown} END"
+
+    def row(cells: list[str]) -> str:
+        return "concat('<tr>', " + ", ".join(f"concat('<td>', {c}, '</td>')" for c in cells) + ", '</tr>')"
+
+    def escaped(x: str) -> str:
+        for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+            x = f"replace({x}, '{char}', '{entity}')"
+        return x
+
+    fixed = lambda text: "SELECT '" + text.replace("'", "''") + "' AS html"
+    header = lambda columns: fixed("<table><tr>" + "".join(f"<th>{c}</th>" for c in columns.split()) + "</tr>")
+    mix = "delta_assets delta_debt delta_deferred_revenue delta_apic retained_earnings_change delta_aoci pct_debt_funded pct_equity_funded pct_customer_funded"
+    growth = "asset_turnover asset_turnover_ex_cash revenue_growth_yoy_pct asset_growth_yoy_pct incremental_op_margin_pct current_op_margin_pct gaap_gross_margin_pct sbc_pct_of_revenue"
+    colour = "CASE source " + " ".join(f"WHEN '{label}' THEN '{c}'" for (_, label), c in zip(report.SOURCES, ["#31688e", "#35b779", "#fde725", "#440154", "#90a4ae"])) + " END"
+    at = "(20 + (s.high - {v}) / (CASE WHEN s.high = s.low THEN 1 ELSE s.high - s.low END) * 260)"
+    one, decimals = "format('{:.1f}', ", "::DOUBLE)"
+    top, bottom, zero = at.format(v="b.high"), at.format(v="b.low"), at.format(v="0.0::DOUBLE")
+    rect = (
+        f"concat('<rect x=\"', {one}90 * i + 18.0{decimals}, '\" y=\"', {one}{top}), '\" width=\"54.0\" height=\"', {one}greatest(0.0::DOUBLE, {bottom} - {top})), "
+        f"'\" fill=\"', {colour}, '\"><title>', source, ' ', {amount('value', 0)}, '</title></rect>')"
+    )
+    legend = "<p>" + "".join(f'<span style="color:{c}">■</span> {label} ' for (_, label), c in zip(report.SOURCES, ["#31688e", "#35b779", "#fde725", "#440154", "#90a4ae"])) + "</p>"
+    style = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse;margin:1em 0}td,th{padding:.2em .7em;border-bottom:1px solid #ccc;text-align:right}.card{display:inline-block;margin-right:2em}.bad{color:#b00}"
+    parts = [
+        fixed(f"<!doctype html><html><head><meta charset='utf-8'><title>Test &lt;report&gt;</title><style>{style}</style></head><body>"),
+        *map(fixed, ["<h1>Test &lt;report&gt;</h1>", "<h2>Funding mix</h2>", "</svg>", legend, "<h2>Growth and efficiency</h2>", "<h2>Checks</h2>", "<h2>Quarantine</h2>", "</body></html>"]),
+        *[fixed("</table>")] * 4,
+        header(f"company period {mix}"),
+        header(f"company period {growth}"),
+        header("name n_passed n_failed n_checks"),
+        header("page raw_label source_line reason"),
+        "SELECT concat('<div class=\"card\"><b>', value, '</b><br>', card, '</div>') FROM cards UNION ALL SELECT concat('<div class=\"card\"><b>', count(*), '</b><br>rows</div>') FROM part",
+        f"SELECT {row(['company', 'period', *[amount(c, 1) for c in mix.split()]])} FROM m WHERE delta_assets IS NOT NULL",
+        f"SELECT {row(['company', 'period', *[amount(c, 3) for c in growth.split()]])} FROM g",
+        f"SELECT {row(['name', 'count(*) FILTER (passed)', 'count(*) FILTER (NOT passed)', 'count(*)'])} FROM checks GROUP BY name",
+        f"SELECT {row(['page', escaped('raw_label'), escaped('source_line'), 'reason'])} FROM held",
+        "SELECT concat('<p>', count(*), ' rows</p>') FROM held",
+        "SELECT concat('<svg width=\"', 90 * count(*), '\" height=\"305\">') FROM p",
+        f"SELECT concat('<line x1=\"0\" x2=\"', 90 * (SELECT count(*) FROM p), '\" y1=\"', {one}{zero}), '\" y2=\"', {one}{zero}), '\" stroke=\"#333\"/>') FROM s",
+        f"SELECT {rect} FROM b JOIN p USING (period), s",
+        "SELECT concat('<text x=\"', format('{:.1f}', 90 * (i + 0.5::DOUBLE)), '\" y=\"298\" text-anchor=\"middle\">', period, '</text>') FROM p",
+    ]
+    return f"""{with_facts()}, m AS ({FUNDING}), g AS ({GROWTH}), cards AS ({cards_oracle()}), checks AS ({IDENTITY_ORACLE}), held AS ({quarantine_oracle()}), b AS ({bars_oracle()}),
+p AS (SELECT period, row_number() OVER (ORDER BY period_sort) - 1 AS i FROM m WHERE delta_assets IS NOT NULL), s AS (SELECT least(0.0::DOUBLE, min(low)) AS low, greatest(0.0::DOUBLE, max(high)) AS high FROM b)
+{' UNION ALL '.join(parts)}"""
 
 
 # --- a service as a source, feeds as streams --------------------------------------------------------------------------------
