@@ -73,8 +73,8 @@ def statement_for(title: Column) -> Column:
 def guess_unit(label: Column, source_line: Column, values: Column) -> Column:
     """SC8: ordered rules over label, printed line and the map of values."""
     lower = F.lower(label)
-    known = F.filter(F.map_values(values), lambda v: v.isNotNull())
-    small = (F.size(known) > 0) & F.forall(known, lambda v: F.abs(v) < 100)
+    known = F.map_values(values)  # the extremes of none or of nil values alone are null
+    small = (F.array_max(known) < 100) & (F.array_min(known) > -100)
     has = lambda *needles: F.greatest(*[lower.contains(n).cast("int") for n in (*needles, needles[0])]) == 1
     return (
         F.when(source_line.contains("%") | has("margin", "growth", "rate"), "percent")
@@ -92,9 +92,9 @@ def starts_lowercase(text: Column) -> Column:
     return text.rlike(r"(?U)^\p{Ll}")
 
 
-def format_amount(value: Column, decimals: int = 0) -> Column:
+def format_amount(value: Column, decimals: Column | int = 0) -> Column:
     """SC11: thousands separators, parentheses for a minus, a dash for nil."""
-    shown = F.format_number(F.abs(value), decimals)
+    shown = F.call_function("format_number", F.abs(value), F.lit(decimals))
     return F.when(value.isNull(), "—").when(value < 0, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown)
 
 
@@ -120,9 +120,9 @@ def difference(actual: Column, expected: Column) -> Column:
     return actual - expected
 
 
-def round_half_away(value: Column, places: int) -> Column:
+def round_half_away(value: Column, places: Column | int) -> Column:
     """SC16: half away from zero on the binary double."""
-    scale = F.lit(float(10**places))
+    scale = F.lit(float(10**places)) if isinstance(places, int) else F.pow(F.lit(10.0), places)
     return F.signum(value) * F.floor(F.abs(value) * scale + 0.5).cast("double") / scale + F.lit(0.0)  # no minus zero
 
 

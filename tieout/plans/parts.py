@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieout import report
+from tieout.functions import sql
 from tieout.functions import text as fn
 from tieout.operators import checks, layout, metrics, normalize, recon, rules, trace, tree
 from tieout.plans import queries as base
@@ -691,6 +692,47 @@ b AS (SELECT a.*, outside_funding - lag(outside_funding) OVER (PARTITION BY comp
 SELECT b.*, {rounded('(b.outside_change / nullif(f.revenue, 0))', 3)} AS change_over_revenue FROM b JOIN facts f USING (company, period, period_sort)"""
 
 
+# --- scalar functions by SQL alone --------------------------------------------------------------------------------------
+
+
+def by_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    sql.register(spark)
+    return tables.run(spark, sf_dir, text)
+
+
+def q68_sql_clean_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC1, SC2."""
+    tokens = f"SELECT c_custkey, {base._cases(0)} AS token FROM ({base.NUMBER_SQL}) x"
+    return by_sql(spark, sf_dir, f"SELECT c_custkey, token, clean_number(token) AS value, is_value(token) AS is_value FROM ({tokens}) y")
+
+
+def q69_sql_clean_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC3, SC4."""
+    return by_sql(spark, sf_dir, f"SELECT p_partkey, clean_label(label) AS label FROM ({base.LABEL_SQL}) x")
+
+
+def q70_sql_unit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC8."""
+    cases = base.cases_sql([u[:3] for u in base.UNITS], ["label", "line", "value"])
+    return by_sql(spark, sf_dir, f"SELECT p_partkey, guess_unit(label, line, map('Q1 2024', value)) AS unit FROM ({cases}) x")
+
+
+def q71_sql_statement_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC7."""
+    return by_sql(spark, sf_dir, f"SELECT p_partkey, statement_for(title) AS statement FROM ({base.cases_sql([t[:1] for t in base.TITLES], ['title'])}) x")
+
+
+def q72_sql_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC11, SC12, SC14, SC15, SC19, SC21, SC22."""
+    return by_sql(
+        spark,
+        sf_dir,
+        "SELECT c_custkey, format_amount(v, 2) AS amount, trace_number(CAST(cents AS DOUBLE) / 100) AS traced, "
+        f"difference(v, 1.0D) AS diff, CAST(from_cents(cents) AS DOUBLE) AS dollars, reversed_name(c_name) AS reversed, zero_pad(CAST(c_custkey AS STRING), 4) AS padded "
+        f"FROM (SELECT *, IF(c_custkey % 7 <> 0, b, NULL) AS v FROM ({SCALAR_SQL}) x) y",
+    )
+
+
 # --- batches under one memo -----------------------------------------------------------------------------------------------
 
 #: Eight ledger rows for every sixteenth order, whose amounts give each choice of rows a sum of its own; two bank rows that share them.
@@ -753,6 +795,11 @@ def oracle_sql() -> dict[str, str]:
         "q63_recon_batches": batches_oracle(),
         "q64_ledger_source": LEDGER_ORACLE,
         "q65_feed_shift": oracle_of("q25_recon_shift"),
+        "q68_sql_clean_number": oracle_of("q10_clean_number"),
+        "q69_sql_clean_label": oracle_of("q11_clean_label"),
+        "q70_sql_unit_rules": oracle_of("q12_unit_rules"),
+        "q71_sql_statement_rules": oracle_of("q13_statement_rules"),
+        "q72_sql_scalars": f"SELECT c_custkey, amount, traced, diff, dollars, reversed, padded FROM ({SCALAR_ORACLE}) s",
         "q66_deep_lineage": deep_lineage_oracle(),
         "q67_composed_metrics": composed_oracle(),
     }

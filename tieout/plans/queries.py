@@ -162,9 +162,13 @@ TITLES = [
 ]
 
 
-def _by_rest(spark: SparkSession, sf_dir: str, rows: list[tuple], names: list[str]) -> DataFrame:
+def cases_sql(rows: list[tuple], names: list[str]) -> str:
     cases = [f"CASE p_partkey % {len(rows)} " + " ".join(f"WHEN {i} THEN {_quoted(r[k])}" for i, r in enumerate(rows)) + f" END AS {n}" for k, n in enumerate(names)]
-    return tables.run(spark, sf_dir, f"SELECT p_partkey, {', '.join(cases)} FROM {{part}}")
+    return f"SELECT p_partkey, {', '.join(cases)} FROM {{part}}"
+
+
+def _by_rest(spark: SparkSession, sf_dir: str, rows: list[tuple], names: list[str]) -> DataFrame:
+    return tables.run(spark, sf_dir, cases_sql(rows, names))
 
 
 def _quoted(x: str | None) -> str:
