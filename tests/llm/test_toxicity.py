@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -43,16 +44,15 @@ def test_chain_is_fitted_out_of_fold():
     assert second[80] < by_heart[80]
 
 
-def test_forms_that_stand_together_make_a_group():
-    rng = np.random.default_rng(7)
-    kind = rng.integers(0, 3, 300)
-    has = rng.uniform(size=(300, 30)) < np.where(np.arange(30)[None, :] % 3 == kind[:, None], 0.4, 0.01)
-    groups = toxicity.form_groups((has.T.astype(float) @ has), np.ones(30), 3)
-    assert len({(g, i % 3) for i, g in enumerate(groups)}) == 3
-    weights = np.stack([[1.0 * (groups == k) for k in range(3)]] * toxicity.FOLDS)
-    kinds = toxicity.kind_of(np.hstack([has, np.ones((300, 1))]), np.ones(300), rng.integers(0, 4, 300), weights)
-    assert np.mean(kinds == groups[kind]) > 0.9
-    assert set(toxicity.kind_of(np.hstack([has, np.ones((300, 1))]), np.zeros(300), kind, weights)) == {-1}
+def test_weights_are_out_of_fold():
+    """A form that only one fold's toxic texts have does not weigh there."""
+    presence = np.zeros((toxicity.FOLDS, 2, 3))
+    presence[:, 0], presence[:, 1] = [0, 5, 100], [10, 5, 20]
+    presence[1, 1, 1] = 15
+    telling = toxicity.telling_forms(presence)
+    assert (telling[:, 0] > 0).all() and telling[1, 1] < telling[0, 1]
+    assert np.allclose(telling[0, 0], toxicity.deviations(np.array([30.0]), np.array([30.0]), 360, 60))
+    assert not toxicity.telling_forms(np.zeros((toxicity.FOLDS, 2, 3))).any()
 
 
 def test_partitions_sum_to_the_whole():
@@ -90,13 +90,53 @@ def test_held_out_accuracy(spark):
     held = [d for d in got if zlib.crc32(str(d).encode()) % 5 == 0]
     assert np.mean([got[d]["toxic"] == truth[d] for d in held]) > 0.97
     assert all(0 <= got[d][f"p_{c}"] <= 1 for d in got for c in toxicity.CATEGORIES)
-    texts = {r["doc_id"]: r["text"].split() for r in docs.collect()}
     words = {*"idiot moron clown loser scum stupid pathetic worthless disgusting trash".split()}
-    kind = lambda d: int(np.argmax([got[d][f"p_kind_{k + 1}"] for k in range(toxicity.KINDS)]))
+    texts = {r["doc_id"]: set(r["text"].split()) for r in docs.collect()}
     toxic = [d for d in held if truth[d]]
-    here, foreign = ([kind(d) for d in toxic if bool(words & set(texts[d])) == own] for own in (True, False))
-    most = max(set(here), key=here.count)
-    assert here.count(most) > 0.8 * len(here) and foreign.count(most) < 0.4 * len(foreign)
+    assert all(sum(bool(texts[d] & words) == own for d in toxic if got[d]["p_marked"] > 0.5) for own in (True, False))
+
+
+def test_whole_result_against_one_matrix(spark):
+    """Vocabulary, weights out of fold, levels, the chain and all probabilities, by hand over one matrix."""
+    docs, labels = made_docs(spark, 300)
+    got = {r["doc_id"]: r for r in toxicity.query(docs, labels).collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    folds = {r["doc_id"]: r["f"] for r in docs.selectExpr("doc_id", f"pmod(xxhash64('fold', doc_id), {toxicity.FOLDS}) AS f").collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = sorted(d for d in texts if zlib.crc32(str(d).encode()) % 5)
+    forms = {d: set().union(*map(toxicity.forms, toxicity.words_of(texts[d]))) for d in known}
+    n, bad = Counter(f for d in known for f in forms[d]), Counter(f for d in known if truth[d] for f in forms[d])
+    toxic = sum(truth[d] for d in known)
+    z = {f: float(toxicity.deviations(np.array([n[f]]), np.array([bad[f]]), len(known), toxic)[0]) for f in n if n[f] >= toxicity.LEAST_SUPPORT}
+    vocabulary = sorted(z, key=lambda f: (-abs(z[f]), f))[: toxicity.VOCABULARY_SIZE]
+    assert len(vocabulary) == toxicity.VOCABULARY_SIZE
+
+    def matrix(ids):
+        counts = [Counter(f for w in toxicity.words_of(texts[d]) for f in toxicity.forms(w)) for d in ids]
+        return np.log1p(np.array([[c[f] for f in vocabulary] + [len(toxicity.words_of(texts[d]))] for c, d in zip(counts, ids)], float))
+
+    x, y, fold = matrix(known).astype(np.float32).astype(float), np.array([truth[d] for d in known], float), np.array([folds[d] for d in known])
+    has = x[:, :-1] > 0
+    weight = np.zeros(len(known))
+    for f in range(toxicity.FOLDS):
+        seen = fold != f
+        telling = np.maximum(toxicity.deviations(has[seen].sum(0), has[seen & (y == 1)].sum(0), seen.sum(), y[seen].sum()), 0)
+        weight[fold == f] = has[fold == f] @ telling
+    targets = [(y == 1) & (weight >= np.quantile(weight[y == 1], share)) for share in (2 / 3, 1 / 3)] + [y == 1]
+    share = (toxic + 0.5) / (len(known) + 1)
+    chains = [[] for _ in range(toxicity.FOLDS + 1)]
+    for k, target in enumerate(targets):
+        own = np.empty((len(known), x.shape[1] + k))
+        for f in range(toxicity.FOLDS):
+            own[fold == f] = toxicity.extended(x[fold == f], chains[f])
+        start = np.insert(chains[-1][-1], x.shape[1] + k - 1, 0.0) if k else np.append(np.zeros(x.shape[1]), np.log(share / (1 - share)))
+        for chain, w in zip(chains, toxicity.newton(lambda models: toxicity.part_sums(own, target.astype(float), fold, models), start)):  # noqa: B023
+            chain.append(w)
+    every = sorted(texts)
+    want = toxicity.extended(matrix(every), chains[-1])[:, x.shape[1] :]
+    have = np.array([[got[d][f"p_{c}"] for c in toxicity.CATEGORIES] for d in every])
+    assert np.abs(have - want).max() < 1e-6
+    assert all(got[d]["toxic"] == (p[-1] >= toxicity.THRESHOLD) for d, p in zip(every, want))
 
 
 def test_hard_rows_and_missing_labels(spark):

@@ -1,10 +1,11 @@
 """Toxicity by a classifier chain.
 
-The labels know one class, toxic; its kinds are taken from the data. Telling forms (words and beginnings of words) that stand
-together in toxic texts make a group, and a toxic text is of the kind whose forms it has most of. Groups are made out of
-fold: the kind of a text is judged by groups found without its fold.
+The labels know one class, toxic; how severe a toxic text is comes from the data: the weight of the telling forms (words and
+beginnings of words) that it has, each weighing how far its share among toxic texts is from that among others. The
+upper third of toxic texts by weight is severe, the upper two thirds are marked. A text is weighed out of fold, by
+what the other folds tell.
 
-Categories are predicted one after the other, the kinds and then toxic: each linear model sees the telling forms, and the
+Categories are predicted one after the other, severe, marked and then toxic: each linear model sees the telling forms, and the
 probabilities of all categories before it. While fitting, those probabilities are out of fold, so that a later model learns
 from what it will see; for scoring they are those of the models fitted on all folds. Models are fitted by Newton's method:
 each of a fixed number of partitions sums its part of the gradients and Hessians of all folds in one pass, so what reaches
@@ -46,13 +47,14 @@ MOST_FORMS = 1 << 18
 FOLDS = 4
 RIDGE = 1.0
 #: Passes of Newton's method for each category, at most, and the relative gain of the last.
-STEPS, LEAST_GAIN = 10, 1e-5
+STEPS, LEAST_GAIN = 10, 1e-4
 #: Partitions that each sum a part of the gradients and Hessians.
 SUMMED_IN = 8
 THRESHOLD = 0.5
 BATCH = 512
-KINDS = 3
-CATEGORIES = [*[f"kind_{k + 1}" for k in range(KINDS)], "toxic"]
+#: From which share of toxic texts on, by weight, a category holds.
+SEVERITY = {"severe": 2 / 3, "marked": 1 / 3}
+CATEGORIES = [*SEVERITY, "toxic"]
 
 
 def words_of(text: str) -> list[str]:
@@ -159,30 +161,13 @@ def newton(sums: Callable[[list[np.ndarray]], list[tuple[np.ndarray, np.ndarray,
     return [w for _, w in best]
 
 
-def form_groups(together: np.ndarray, telling: np.ndarray, kinds: int, near: np.ndarray | None = None) -> np.ndarray:
-    """The group of each form, by how often two stand together in toxic texts; telling weighs the forms.
-
-    Groups grow from seeds that are telling and apart, or from the groups near; a form joins the group with which it stands together
-    most on the whole.
-    """
-    n = len(together)
-    alike = together / np.sqrt(np.maximum(np.outer(together.diagonal(), together.diagonal()), 1e-9))
-    np.fill_diagonal(alike, 0)
-    if near is None:
-        seeds: list[int] = []
-        for _ in range(min(kinds, n)):
-            apart = 1 - np.clip(alike[:, seeds].max(axis=1), 0, 1) if seeds else np.ones(n)
-            apart[seeds] = -1
-            seeds.append(int(np.argmax(telling * apart)))
-        near = np.argmax(alike[:, seeds], axis=1) if seeds else np.zeros(n, int)
-        near[seeds] = np.arange(len(seeds))
-    for _ in range(20):
-        mean = np.stack([alike[:, near == k].mean(axis=1) if (near == k).any() else np.full(n, -1.0) for k in range(kinds)], axis=1)
-        now = mean.argmax(axis=1)
-        if (now == near).all():
-            break
-        near = now
-    return near
+def deviations(n: np.ndarray, bad: np.ndarray, rows: float, toxic: float) -> np.ndarray:
+    """How far the share of forms among toxic texts is from that among others, in its own deviations; n texts have a form, bad toxic ones."""
+    others = rows - toxic
+    if not toxic or not others:
+        return np.zeros(len(n))
+    p = n / rows
+    return (bad / toxic - (n - bad) / others) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / toxic + 1 / others))
 
 
 def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,28 +206,55 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.
             yield x, batch.column("y").to_numpy(zero_copy_only=False).astype(np.float64), batch.column("fold").to_numpy(zero_copy_only=False)
 
 
-def _together_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """For each fold, how many toxic texts have two forms."""
-    sums = np.zeros((FOLDS, width - 1, width - 1))
+def _presence_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """For each fold and class, how many texts have each form; the last number counts the texts."""
+    sums = np.zeros((FOLDS, 2, width))
     for x, y, fold in _blocks(batches, width):
+        has = np.hstack([x[:, :-1] > 0, np.ones((len(x), 1))])
         for f in range(FOLDS):
-            has = (x[(fold == f) & (y == 1), :-1] > 0).astype(np.float64)
-            sums[f] += has.T @ has
-    yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.astype(np.float32).tobytes()], pa.binary())})
+            for c in range(2):
+                sums[f, c] += has[(fold == f) & (y == c)].sum(axis=0)
+    yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary())})
+
+
+def telling_forms(presence: np.ndarray) -> np.ndarray:
+    """(fold, form): the weight of each form by the texts of the other folds; forms that speak against toxic have none."""
+    whole, made = presence.sum(axis=0), []
+    for own in presence:
+        good, bad = whole - own
+        made.append(np.maximum(deviations((good + bad)[:-1], bad[:-1], good[-1] + bad[-1], bad[-1]), 0))
+    return np.stack(made)
+
+
+def weight_of(x: np.ndarray, fold: np.ndarray, telling: np.ndarray) -> np.ndarray:
+    """Of the telling forms of each row."""
+    return ((x[:, : telling.shape[1]] > 0) * telling[fold]).sum(axis=1)
 
 
-def kind_of(x: np.ndarray, y: np.ndarray, fold: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """The kind of each toxic row, -1 for others; groups is (fold, kind, form)."""
-    mass = np.einsum("nf,nkf->nk", (x[:, : groups.shape[2]] > 0).astype(np.float64), groups[fold])
-    return np.where(y == 1, mass.argmax(axis=1), -1)
+def _weight_batches(batches: Iterator[pa.RecordBatch], width: int, telling: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The weights of toxic texts."""
+    found = [weight_of(x[y == 1], fold[y == 1], telling) for x, y, fold in _blocks(batches, width)]
+    yield pa.RecordBatch.from_pydict({"sums": pa.array([np.concatenate(found or [np.empty(0)]).tobytes()], pa.binary())})
 
 
-def _sum_batches(batches: Iterator[pa.RecordBatch], width: int, groups: np.ndarray, before: list[list[np.ndarray]], models: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def cuts_of(weights: np.ndarray) -> np.ndarray:
+    """The least weight of each category of SEVERITY."""
+    return np.quantile(weights, list(SEVERITY.values())) if len(weights) else np.zeros(len(SEVERITY))
+
+
+def target_of(category: int, x: np.ndarray, y: np.ndarray, fold: np.ndarray, telling: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """What a category's model learns: rows of the category are ones."""
+    if category >= len(cuts):
+        return y
+    return ((y == 1) & (weight_of(x, fold, telling) >= cuts[category])).astype(np.float64)
+
+
+def _sum_batches(batches: Iterator[pa.RecordBatch], width: int, telling: np.ndarray, cuts: np.ndarray, before: list[list[np.ndarray]], models: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """part_sums over a partition; before has, for each fold and for all rows, the chain of categories fitted so far."""
     total: list | None = None
     for x, y, fold in _blocks(batches, width):
-        kind, k = kind_of(x, y, fold, groups), len(before[0])
-        target = (kind == k).astype(np.float64) if k < groups.shape[1] else y
+        k = len(before[0])
+        target = target_of(k, x, y, fold, telling, cuts)
         seen = np.empty((len(x), width + k))
         for f in range(FOLDS):
             seen[fold == f] = extended(x[fold == f], before[f])
@@ -271,31 +283,27 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
     if not bad or bad == n:
         chain.weights = [np.append(np.zeros(1 + k), constant) for k in range(len(chain.names))]
         return chain
-    # how far the share among toxic documents is from that among others, in its own deviations
+    # deviations() of all labelled texts
     p, p1, p0 = F.col("n") / n, F.col("bad") / bad, (F.col("n") - F.col("bad")) / (n - bad)
     z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / bad + 1 / (n - bad)))
     top = counts.where((F.col("n") >= LEAST_SUPPORT) & F.col("form").isNotNull()).select("form", z.alias("z")).orderBy(F.abs("z").desc(), "form").limit(VOCABULARY_SIZE).collect()
     chain.vocabulary = {r["form"]: k for k, r in enumerate(top)}
-    telling, width = np.array([max(r["z"], 0.0) for r in top]), len(top) + 1
+    width = len(top) + 1
     rows = sampled(texts, known, most_labelled).mapInArrow(partial(_matrix_batches, chain=chain), "fold int, y int, x binary")
     rows = write_table(rows.repartition(SUMMED_IN), "toxicity_rows")
 
     def collected(step: Callable) -> list[np.ndarray]:
         return [np.frombuffer(r["sums"], np.float64) for r in rows.mapInArrow(step, "sums binary").collect()]
 
-    parts = rows.mapInArrow(partial(_together_batches, width=width), "sums binary").collect()
-    together = sum(np.frombuffer(r["sums"], np.float32).astype(np.float64) for r in parts).reshape(FOLDS, width - 1, width - 1)
-    whole = form_groups(together.sum(axis=0), telling, KINDS)
-    of_fold = [form_groups(together.sum(axis=0) - own, telling, KINDS, whole) for own in together]
-    groups = np.stack([[telling * (g == k) for k in range(KINDS)] for g in of_fold])
-
+    telling = telling_forms(sum(collected(partial(_presence_batches, width=width))).reshape(FOLDS, 2, width))
+    cuts = cuts_of(np.concatenate(collected(partial(_weight_batches, width=width, telling=telling))))
     before: list[list[np.ndarray]] = [[] for _ in range(FOLDS + 1)]
     for k in range(len(chain.names)):
         size = width + k + 1
         upper = np.triu_indices(size)
 
         def sums(models: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
-            total = sum(collected(partial(_sum_batches, width=width, groups=groups, before=before, models=models)))
+            total = sum(collected(partial(_sum_batches, width=width, telling=telling, cuts=cuts, before=before, models=models)))
             unpacked = []
             for own in total.reshape(FOLDS + 1, -1):
                 hessian = np.zeros((size, size))
@@ -304,7 +312,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
                 unpacked.append((hessian, own[len(upper[0]) : -1], own[-1]))
             return unpacked
 
-        for chained, w in zip(before, newton(sums, np.append(np.zeros(size - 1), constant))):
+        # a category begins from the model of the one before, which it is much like
+        start = np.insert(before[-1][-1], size - 2, 0.0) if k else np.append(np.zeros(size - 1), constant)
+        for chained, w in zip(before, newton(sums, start)):
             chained.append(w)
     chain.weights = before[-1]
     return chain
