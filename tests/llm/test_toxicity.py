@@ -51,7 +51,7 @@ def test_weights_are_out_of_fold():
     presence[1, 1, 1] = 15
     telling = toxicity.telling_forms(presence)
     assert (telling[:, 0] > 0).all() and telling[1, 1] < telling[0, 1]
-    assert np.allclose(telling[0, 0], toxicity.deviations(np.array([30.0]), np.array([30.0]), 360, 60))
+    assert np.allclose(telling[0, 0], np.log(30.5 / 61) - np.log(0.5 / 301))
     assert not toxicity.telling_forms(np.zeros((toxicity.FOLDS, 2, 3))).any()
 
 
@@ -107,7 +107,12 @@ def test_whole_result_against_one_matrix(spark):
     forms = {d: set().union(*map(toxicity.forms, toxicity.words_of(texts[d]))) for d in known}
     n, bad = Counter(f for d in known for f in forms[d]), Counter(f for d in known if truth[d] for f in forms[d])
     toxic = sum(truth[d] for d in known)
-    z = {f: float(toxicity.deviations(np.array([n[f]]), np.array([bad[f]]), len(known), toxic)[0]) for f in n if n[f] >= toxicity.LEAST_SUPPORT}
+    others = len(known) - toxic
+    z = {}
+    for f in n:
+        if n[f] >= toxicity.LEAST_SUPPORT:
+            p = n[f] / len(known)
+            z[f] = (bad[f] / toxic - (n[f] - bad[f]) / others) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / toxic + 1 / others))
     vocabulary = sorted(z, key=lambda f: (-abs(z[f]), f))[: toxicity.VOCABULARY_SIZE]
     assert len(vocabulary) == toxicity.VOCABULARY_SIZE
 
@@ -120,7 +125,7 @@ def test_whole_result_against_one_matrix(spark):
     weight = np.zeros(len(known))
     for f in range(toxicity.FOLDS):
         seen = fold != f
-        telling = np.maximum(toxicity.deviations(has[seen].sum(0), has[seen & (y == 1)].sum(0), seen.sum(), y[seen].sum()), 0)
+        telling = np.maximum(toxicity.log_ratios(has[seen].sum(0), has[seen & (y == 1)].sum(0), seen.sum(), y[seen].sum()), 0)
         weight[fold == f] = has[fold == f] @ telling
     targets = [(y == 1) & (weight >= np.quantile(weight[y == 1], share)) for share in (2 / 3, 1 / 3)] + [y == 1]
     share = (toxic + 0.5) / (len(known) + 1)
@@ -129,7 +134,7 @@ def test_whole_result_against_one_matrix(spark):
         own = np.empty((len(known), x.shape[1] + k))
         for f in range(toxicity.FOLDS):
             own[fold == f] = toxicity.extended(x[fold == f], chains[f])
-        start = np.insert(chains[-1][-1], x.shape[1] + k - 1, 0.0) if k else np.append(np.zeros(x.shape[1]), np.log(share / (1 - share)))
+        start = np.append(np.zeros(x.shape[1] + k), np.log(share / (1 - share)))
         for chain, w in zip(chains, toxicity.newton(lambda models: toxicity.part_sums(own, target.astype(float), fold, models), start)):  # noqa: B023
             chain.append(w)
     every = sorted(texts)

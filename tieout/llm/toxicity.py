@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 The labels know one class, toxic; how severe a toxic text is comes from the data: the weight of the telling forms (words and
-beginnings of words) that it has, each weighing how far its share among toxic texts is from that among others. The
+beginnings of words) that it has, each weighing how many times more of the toxic texts than of others have it. The
 upper third of toxic texts by weight is severe, the upper two thirds are marked. A text is weighed out of fold, by
 what the other folds tell.
 
@@ -161,13 +161,10 @@ def newton(sums: Callable[[list[np.ndarray]], list[tuple[np.ndarray, np.ndarray,
     return [w for _, w in best]
 
 
-def deviations(n: np.ndarray, bad: np.ndarray, rows: float, toxic: float) -> np.ndarray:
-    """How far the share of forms among toxic texts is from that among others, in its own deviations; n texts have a form, bad toxic ones."""
-    others = rows - toxic
-    if not toxic or not others:
-        return np.zeros(len(n))
-    p = n / rows
-    return (bad / toxic - (n - bad) / others) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / toxic + 1 / others))
+def log_ratios(n: np.ndarray, bad: np.ndarray, rows: float, toxic: float) -> np.ndarray:
+    """How many times more of the toxic texts than of others have a form, as a logarithm; n texts have it, bad toxic ones. It is a ratio of
+    shares, so forms of a language with few texts weigh about what those of one with many do."""
+    return np.log((bad + 0.5) / (toxic + 1)) - np.log((n - bad + 0.5) / (rows - toxic + 1))
 
 
 def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +219,7 @@ def telling_forms(presence: np.ndarray) -> np.ndarray:
     whole, made = presence.sum(axis=0), []
     for own in presence:
         good, bad = whole - own
-        made.append(np.maximum(deviations((good + bad)[:-1], bad[:-1], good[-1] + bad[-1], bad[-1]), 0))
+        made.append(np.maximum(log_ratios((good + bad)[:-1], bad[:-1], good[-1] + bad[-1], bad[-1]), 0))
     return np.stack(made)
 
 
@@ -283,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
     if not bad or bad == n:
         chain.weights = [np.append(np.zeros(1 + k), constant) for k in range(len(chain.names))]
         return chain
-    # deviations() of all labelled texts
+    # how far the share among toxic documents is from that among others, in its own deviations
     p, p1, p0 = F.col("n") / n, F.col("bad") / bad, (F.col("n") - F.col("bad")) / (n - bad)
     z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / bad + 1 / (n - bad)))
     top = counts.where((F.col("n") >= LEAST_SUPPORT) & F.col("form").isNotNull()).select("form", z.alias("z")).orderBy(F.abs("z").desc(), "form").limit(VOCABULARY_SIZE).collect()
@@ -312,9 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
                 unpacked.append((hessian, own[len(upper[0]) : -1], own[-1]))
             return unpacked
 
-        # a category begins from the model of the one before, which it is much like
-        start = np.insert(before[-1][-1], size - 2, 0.0) if k else np.append(np.zeros(size - 1), constant)
-        for chained, w in zip(before, newton(sums, start)):
+        for chained, w in zip(before, newton(sums, np.append(np.zeros(size - 1), constant))):
             chained.append(w)
     chain.weights = before[-1]
     return chain
