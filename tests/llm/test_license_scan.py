@@ -31,19 +31,20 @@ def test_matching_statistics_against_all_substrings():
         sequences = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 8))] for _ in range(3)]
         own = scan.Scanner(tuple(("x", b" ".join(s).decode()) for s in sequences[:2]), ((b" ".join(sequences[2]).decode(), "p"),), 1, 3, 0.5)
         words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(30)]
-        want = longest_run_by_hand(words, sequences)
         runs, found = own.runs(words)
-        assert [(i, want[i]) for i in range(30) if want[i] and (i == 29 or want[i + 1] <= want[i])] == [(i, n) for i, n, _ in runs]
+        for k in range(2):
+            want = longest_run_by_hand(words, [sequences[k]])
+            assert [(i, want[i]) for i in range(30) if want[i] and (i == 29 or want[i + 1] <= want[i])] == [(i, n) for i, n, notice, _ in runs if notice == k]
         p = sequences[2]
         assert sorted(i for i, _ in found) == [i for i in range(30) if words[i : i + len(p)] == p]
 
 
 def chains_by_hand(words, notices, least_run, most_gap, least_cover):
-    """Spans from maximal runs that are found by comparing all places of the text with all places of every notice."""
-    longest = longest_run_by_hand(words, notices)
-    ends = [i for i, n in enumerate(longest) if n and (i == len(words) - 1 or longest[i + 1] <= n)]
+    """Spans from maximal runs that are found by comparing all places of the text with all places of each notice."""
     spans = []
     for k, notice in enumerate(notices):
+        longest = longest_run_by_hand(words, [notice])
+        ends = [i for i, n in enumerate(longest) if n and (i == len(words) - 1 or longest[i + 1] <= n)]
         chain = None
         for i in ends:
             n = longest[i]
@@ -89,6 +90,16 @@ def test_chains_against_brute_force():
     assert found > 300
 
 
+def test_a_stretch_of_one_notice_inside_a_run_of_another():
+    """Six of b's nine words stand in a; a run of a that goes over them does not hide them."""
+    b = "one two three four five six seven eight nine"
+    a = "zero one two three four five six ten eleven twelve thirteen fourteen"
+    own = scan.Scanner((("a", a), ("b", b)), (), 4, 8, 0.6)
+    for text, want in (("one two three four five six", {"b"}), ("zero one two three four five six ten", {"a", "b"}), (a, {"a", "b"}), ("x zero one two three x", set())):
+        words = scan.words_of(text)
+        assert {s[0] for s in own.spans(own.runs(words)[0])} == want, text
+
+
 def test_spans_and_labels():
     own = scanner()
     mit = NOTICES[2][1]

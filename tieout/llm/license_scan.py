@@ -1,8 +1,9 @@
 """License scans by matching statistics over a generalised suffix automaton of licence words.
 
 The automaton holds all notices and phrases. A text is streamed through it word by word; after each word the state and
-the match length are the longest run of words, ending there, that stands anywhere in a notice. Runs that cannot be
-extended and are long enough are chained, notice by notice, into spans: in order in both the text and the notice,
+the match length are the longest run of words, ending there, that stands anywhere in a notice, and the state's suffix
+links give the longest run for every other notice. Runs that cannot be extended within their notice and are long enough are
+chained, notice by notice, into spans: in order in both the text and the notice,
 with few words between. A span that covers enough of its notice gives its label. Phrases are read off the same
 states: a phrase ends at a word if its state is the current one or one of its suffix links.
 
@@ -114,37 +115,59 @@ class Scanner:
                 u = a.link[u]
             if found:
                 self.ending[v] = found
+        #: For each state the notices that stand there or along its suffix links: (notice, longest suffix, the state of it).
+        self.by_notice: list[list[tuple[int, int, int]]] = []
+        for v in range(len(a.link)):
+            own_notices, u = {}, v
+            while u > 0:
+                for k in a.ends[u]:
+                    if k < len(self.notices) and a.length[u] >= self.least(k):
+                        own_notices.setdefault(k, (a.length[u], u))
+                u = a.link[u]
+            self.by_notice.append([(k, n, u) for k, (n, u) in own_notices.items()])
+
+    def least(self, notice: int) -> int:
+        """Words of a run of a notice."""
+        return min(self.least_run, len(self.notices[notice]))
 
-    def runs(self, words: list[bytes]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-        """Longest runs as (last word, length, state), and phrases as (first word, phrase)."""
+    def runs(self, words: list[bytes]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+        """Runs that cannot be extended within their notice, as (last word, length, notice, state), and phrases as (first word, phrase)."""
         move, link, length, ending = self.automaton.next, self.automaton.link, self.automaton.length, self.ending
-        root, shortest = move[0], self.shortest
+        root, shortest, by_notice = move[0], self.shortest, self.by_notice
         runs, found, state, n = [], [], 0, 0
+        before: dict[int, tuple[int, int]] = {}  # notice: length and state of its run up to the last word
+
+        def follow(i: int) -> None:
+            """Runs up to word i; those up to the word before that do not go on have ended."""
+            nonlocal before
+            now = {k: (min(n, most), u) for k, most, u in by_notice[state] if min(n, most) >= self.least(k)} if n >= shortest else {}
+            for k, (size, u) in before.items():
+                if k not in now or now[k][0] <= size:
+                    runs.append((i - 1, size, k, u))
+            before = now
+
         for i, w in enumerate(words):
             if not state:
                 state = root.get(w, 0)
-                if not state:
-                    continue
-                n = 1
+                n = 1 if state else 0
             else:
                 to = move[state].get(w)
                 if to is None:
-                    if n >= shortest:
-                        runs.append((i - 1, n, state))
                     while state and w not in move[state]:
                         state = link[state]
-                    n, to = length[state], move[state].get(w)
-                    if to is None:
-                        n = 0
-                        continue
+                    n, to = length[state], move[state].get(w, 0)
+                    if not to:
+                        n = -1
                 state, n = to, n + 1
+            if before or n >= shortest:
+                follow(i)
             if state in ending:
                 found += [(i - size + 1, k) for size, k in ending[state] if n >= size]
-        if state and n >= shortest:
-            runs.append((len(words) - 1, n, state))
+        state, n = 0, 0
+        follow(len(words))
         return runs, found
 
-    def spans(self, runs: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+    def spans(self, runs: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
         """(label, first word, last word, covered share) of the spans that cover enough."""
         chains: dict[int, list[int]] = {}  # notice: first and last word in the text, last in the notice, covered
         spans = []
@@ -154,20 +177,18 @@ class Scanner:
             if covered >= self.least_cover * len(self.notices[k]):
                 spans.append((self.labels[k], first, last, covered / len(self.notices[k])))
 
-        for last, n, state in runs:
-            for k, places in self.automaton.ends[state].items():
-                if k >= len(self.notices) or n < min(self.least_run, len(self.notices[k])):
+        for last, n, k, state in runs:
+            places = self.automaton.ends[state][k]
+            if k in chains:
+                chain = chains[k]
+                # what the runs share, in the text or in the notice, counts once
+                at = next((p for p in places if p > chain[2]), None)
+                new = 0 if at is None else min(n, at - chain[2], last - chain[1])
+                if new > 0 and last - n - chain[1] <= self.most_gap:
+                    chains[k] = [chain[0], last, at, chain[3] + new]
                     continue
-                if k in chains:
-                    chain = chains[k]
-                    # what the runs share, in the text or in the notice, counts once
-                    at = next((p for p in places if p > chain[2]), None)
-                    new = 0 if at is None else min(n, at - chain[2], last - chain[1])
-                    if new > 0 and last - n - chain[1] <= self.most_gap:
-                        chains[k] = [chain[0], last, at, chain[3] + new]
-                        continue
-                    close(k)
-                chains[k] = [last - n + 1, last, places[0], n]
+                close(k)
+            chains[k] = [last - n + 1, last, places[0], n]
         for k in list(chains):
             close(k)
         return sorted(spans, key=lambda s: (s[1], s[2], s[0]))
