@@ -46,13 +46,14 @@ def islands(places: DataFrame, keys: list[str], reach: int) -> DataFrame:
 
 def dealt(places: DataFrame, keys: list[str], reach: int | None) -> DataFrame:
     """places with island, by which they may be dealt to tasks: keys of many places by islands, others, and all if no reach bounds
-    what may cross, as a whole. places is read more than once: a written table."""
+    what may cross, as a whole."""
     whole = F.lit(0).cast("long")
     if reach is None:
         return places.withColumn("island", whole)
     sizes = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if (sizes.agg(F.max("_n")).first()[0] or 0) <= PLACES_TOGETHER:
         return places.withColumn("island", whole)
+    places = settle(places, "island_all")
     many = settle(sizes.where(F.col("_n") > PLACES_TOGETHER).drop("_n"), "island_keys")
     few = places.join(many, keys, "left_anti").withColumn("island", whole)
     return few.unionByName(islands(places.join(many, keys, "left_semi"), keys, reach))

@@ -22,7 +22,7 @@ from tieout.operators.islands import all_known, dealt
 from tieout.operators.subsets import split_groups
 from tieout.schemas import MEMO_LENGTHS
 from tieout.session import bounded_batches
-from tieout.sources.scratch import discard, settle
+from tieout.sources.scratch import remove, settle, settle_at
 
 # Days and cents by which scenarios are told apart.
 SLIGHT_DAYS = (1, 3)
@@ -111,7 +111,7 @@ def nearest(gl: DataFrame, bank: DataFrame, keys: list[str], at: Column, low: in
     placed = lambda side: side.select("id", *keys, at.cast("long").alias("at")).where(known & F.col("at").isNotNull())
     sides = {"gl": placed(gl), "bank": placed(bank)}
     rows = reduce(DataFrame.unionByName, [x.drop("id").withColumn("side", F.lit(s)) for s, x in sides.items()])
-    places = settle(rows.groupBy(*keys, "at").agg(*[F.count_if(F.col("side") == s).alias(s) for s in sides]), "recon_all_places")
+    places = rows.groupBy(*keys, "at").agg(*[F.count_if(F.col("side") == s).alias(s) for s in sides])
     both = dealt(places, keys, high).groupBy(*keys, "island").agg(F.collect_list(F.struct("at", "gl", "bank")).alias("places"), F.sum("gl").alias("_gl"), F.sum("bank").alias("_bank"))
     apart = both.where(f"_gl > 0 and _bank > 0 and size(places) > {int(low > 0)}").drop("_gl", "_bank", "island")
     types = {f.name: f.dataType.simpleString() for f in placed(gl).schema}
@@ -183,11 +183,11 @@ SIDES = ("gl", "bank")
 
 
 class _Left:
-    """The rows of both sides that no step has taken, one table; each step writes what it takes and what it leaves."""
+    """The rows of both sides that no step has taken. A step writes them once, what it takes apart from what it leaves."""
 
     def __init__(self, gl: DataFrame, bank: DataFrame):
         columns = ["id", "day", "cents", "memo"]
-        self.rows = settle(reduce(DataFrame.unionByName, [x.select(F.lit(s).alias("side"), *columns) for s, x in zip(SIDES, (gl, bank))]), "recon_left")
+        self.rows, self.folder = settle_at(reduce(DataFrame.unionByName, [x.select(F.lit(s).alias("side"), *columns) for s, x in zip(SIDES, (gl, bank))]), "recon_left")
         self.taken: list[DataFrame] = []
 
     def side(self, name: str) -> DataFrame:
@@ -196,11 +196,11 @@ class _Left:
     def take(self, scenario: str, matches: DataFrame) -> None:
         """matches has side, id and match_id."""
         status = "review" if scenario in REVIEW else "void" if scenario == "void" else "matched"
-        took = settle(matches.select("side", "id", F.lit(scenario).alias("scenario"), F.lit(status).alias("status"), "match_id"), "recon_taken")
-        self.taken.append(took)
-        rest = settle(self.rows.join(took.select("side", "id"), ["side", "id"], "left_anti"), "recon_left")
-        discard(self.rows)
-        self.rows = rest
+        judged = self.rows.join(matches.withColumn("took", F.lit(True)), ["side", "id"], "left").withColumn("took", F.coalesce("took", F.lit(False)))
+        written, folder = settle_at(judged, "recon_step", "took")
+        self.taken.append(written.where("took").select("side", "id", F.lit(scenario).alias("scenario"), F.lit(status).alias("status"), "match_id"))
+        remove(self.rows.sparkSession, self.folder)
+        self.rows, self.folder = written.where("not took").select(*self.rows.columns), f"{folder}/took=false"
 
     def take_voids(self) -> None:
         own = [voids(self.side(s)).select(F.lit(s).alias("side"), "id", F.col("void_id").alias("match_id")) for s in SIDES]

@@ -20,12 +20,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return LOCAL_SCRATCH
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet and read back, so that loops do not repeat it and lost executors cost a read."""
+def settle_at(df: DataFrame, name: str, *partition_by: str) -> tuple[DataFrame, str]:
+    """df settled, and its folder."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet and read back, so that loops do not repeat it and lost executors cost a read."""
+    return settle_at(df, name)[0]
 
 
 def settle_counting(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
