@@ -130,20 +130,45 @@ SELECT count(*) AS n, arg_min(shown, n_nationkey) AS first,
 
 
 def q44_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC8: the seeded corpus, three sets of it: rows by scenario and side, and rules that it breaks (none)."""
-    ledger, bank = corpus.corpus(spark, sets=3)
-    own = [x.groupBy("scenario").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(s)) for s, x in (("gl", ledger), ("bank", bank))]
-    broken = recon.corpus_violations(ledger, bank, "2026-05-01", "2026-05-31").select(F.concat_ws(" ", F.lit("broken"), "rule").alias("scenario"), F.col("violations").alias("n"), "side")
-    return reduce(DataFrame.unionByName, [*own, broken.withColumn("side", F.regexp_replace("side", "ledger", "gl"))])
+    """SRC8: the seeded corpus, a set of it for each supplier: by nation and scenario the rows of either side, and the cases whose days,
+    amounts and memos are as the scenario wants; and rules that it breaks (none)."""
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
+    ledger, bank = corpus.corpus(spark, sets=suppliers.agg(F.max("s_suppkey")).first()[0] + 1)
+
+    def by_case(rows: DataFrame, side: str, day: str, amount: str, memo: str) -> DataFrame:
+        case = F.expr(f"{side}_id div 8").alias("case_id")
+        cents = fn.to_cents(F.col(amount))
+        return rows.groupBy(case, "scenario").agg(F.count(F.lit(1)).alias(f"n_{side}"), F.sum(cents).alias(f"{side}_cents"), F.min(day).alias(f"{side}_day"), F.countDistinct(day, memo).alias(f"{side}_places"), F.min(memo).alias(f"{side}_memo"))
+
+    both = by_case(ledger, "gl", "gl_date", "amount", "line_memo").join(by_case(bank, "bank", "posted_date", "posted_amount", "messy_memo"), ["case_id", "scenario"], "full")
+    gap, off = F.abs(F.datediff("gl_day", "bank_day")), F.col("bank_cents") - F.col("gl_cents")
+    is_, same_memo, same_core = (lambda *x: F.col("scenario").isin(*x)), F.col("gl_memo") == F.col("bank_memo"), fn.invoice_core(F.col("gl_memo")) == fn.invoice_core(F.col("bank_memo"))
+    law = (
+        F.when(is_("shift"), gap.between(1, 3) & (off == 0) & same_memo)
+        .when(is_("wide"), (gap >= 14) & (off == 0) & same_memo)
+        .when(is_("similar"), (gap == 0) & (off == 0) & ~same_memo & same_core)
+        .when(is_("similar_date"), gap.between(1, 20) & (off == 0) & ~same_memo & same_core)
+        .when(is_("near"), (gap == 0) & off.between(1, 9) & same_memo)
+        .when(is_("no_match_gl", "void_gl"), F.col("n_bank").isNull() & ((F.col("gl_cents") == 0) == is_("void_gl")))
+        .when(is_("no_match_bank", "void_bank"), F.col("n_gl").isNull() & ((F.col("bank_cents") == 0) == is_("void_bank")))
+        .otherwise((gap == 0) & (off == 0) & same_memo)
+    )
+    one_place = (F.coalesce("gl_places", F.lit(1)) == 1) & (F.coalesce("bank_places", F.lit(1)) == 1)
+    per_set = sum(n for _, n, _, _ in corpus.SCENARIOS)
+    own = both.withColumn("s_suppkey", F.expr(f"case_id div {per_set}")).join(suppliers, "s_suppkey").groupBy("s_nationkey", "scenario").agg(
+        F.coalesce(F.sum("n_gl"), F.lit(0)).alias("n_gl"), F.coalesce(F.sum("n_bank"), F.lit(0)).alias("n_bank"), F.count_if(law & one_place).alias("lawful_cases")
+    )
+    broken = recon.corpus_violations(ledger, bank, "2026-05-01", "2026-05-31").groupBy(F.lit(-1).alias("s_nationkey"), F.lit("broken").alias("scenario")).agg(F.sum("violations").alias("n_gl"), F.lit(0).cast("long").alias("n_bank"), F.lit(0).cast("long").alias("lawful_cases"))
+    return own.unionByName(broken)
 
 
-#: Published sizes: cases, and rows of either side for a case.
+# Published sizes: cases, and rows of either side for a case.
 CORPUS_SIZES = "('exact',50,1,1),('shift',50,1,1),('wide',10,1,1),('similar',10,1,1),('similar_date',10,1,1),('many_gl_2',5,2,1),('many_gl_3',5,3,1),('many_gl_5',5,5,1),('many_bank_2',5,1,2),('many_bank_3',5,1,3),('many_bank_5',5,1,5),('no_match_gl',3,1,0),('no_match_bank',3,0,1),('void_gl',1,2,0),('void_bank',1,0,2),('near',5,1,1)"
+# End of fixed values.
 CORPUS_ORACLE = f"""
-WITH s AS (SELECT * FROM (VALUES {CORPUS_SIZES}) t(scenario, cases, gl, bank))
-SELECT scenario, CAST(3 * cases * gl AS BIGINT) AS n, 'gl' AS side FROM s WHERE gl > 0 UNION ALL SELECT scenario, 3 * cases * bank, 'bank' FROM s WHERE bank > 0
-UNION ALL SELECT concat('broken ', r), 0, s FROM (VALUES ('date','gl'),('cents','gl'),('main_memo','gl'),('line_memo','gl'),('date','bank'),('cents','bank'),('messy_memo','bank')) t(r, s)
-"""
+WITH s AS (SELECT * FROM (VALUES {CORPUS_SIZES}) t(scenario, cases, gl, bank)), n AS (SELECT s_nationkey, count(*) AS sets FROM supplier GROUP BY 1)
+SELECT s_nationkey, scenario, CAST(sets * cases * gl AS BIGINT) AS n_gl, CAST(sets * cases * bank AS BIGINT) AS n_bank, CAST(sets * cases AS BIGINT) AS lawful_cases FROM s, n
+UNION ALL SELECT -1, 'broken', 0, 0, 0"""
 
 # --- layout cases -----------------------------------------------------------------------------------------------------
 
