@@ -45,16 +45,17 @@ def free_name(df: DataFrame, base: str) -> str:
 HOT_SHARE = 1000
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner", merge: bool = False) -> DataFrame:
     """left joined with right, which has one row for each key and in count the number of left's rows of that key.
 
     Hot keys, fewer than HOT_SHARE whatever the input, are sent to all tasks, so their rows stay where they are; only the
-    others are dealt by key. Both sides are read twice: right should be a written table, and left one, or cheap to make.
+    others are dealt by key; with merge at every size, not only where right looks large. Both sides are read twice: right should be a
+    written table, and left one, or cheap to make.
     """
     rows = right.select(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     hot = F.col(count) * HOT_SHARE > rows
     few = left.join(F.broadcast(right.where(hot)), keys)
-    others = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti").join(right.where(~hot), keys, how)
+    others = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti").join(right.where(~hot).hint("merge") if merge else right.where(~hot), keys, how)
     return few.unionByName(others).drop(count)
 
 

@@ -109,8 +109,8 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     urls = write_table(own.where("contains(url, '://')").groupBy("url").agg(F.count(F.lit(1)).alias("n")).select("url", host.alias("host"), path.alias("path"), "n"), "urls")
     best = F.min(F.struct("tier", (-F.length("pattern")).alias("short"), "pattern", (F.col("verdict") == "allow").alias("mild"), "rule", "verdict")).alias("best")
     winners = hits(urls, rules).groupBy("url").agg(best)
-    verdicts = write_table(urls.join(winners, "url").select("url", "n", "best.tier", "best.rule", "best.verdict"), "url_verdicts")
-    return join_hot(own, verdicts, ["url"], "n", "left").select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "tier", "rule", "verdict")
+    verdicts = write_table(urls.join(winners.hint("merge"), "url").select("url", "n", "best.tier", "best.rule", "best.verdict"), "url_verdicts")
+    return join_hot(own, verdicts, ["url"], "n", "left", merge=True).select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "tier", "rule", "verdict")
 
 
 def query(pages: DataFrame) -> DataFrame:
