@@ -710,7 +710,7 @@ def q67_composed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composed_oracle() -> str:
     from tieout.plans.oracle import FUNDING, GROWTH, with_facts
 
-    rounded = lambda x, n: f"sign({x}) * floor(abs({x}) * {10**n} + 0.5) / {10**n}"
+    rounded = lambda x, n: f"sign({x}) * floor(abs({x}) * {10**n} + 0.5) / {10**n} + 0.0::DOUBLE"
     return f"""{with_facts()}, m AS ({FUNDING}), g AS ({GROWTH}),
 a AS (SELECT company, period, period_sort, delta_debt + delta_apic AS outside_funding, {rounded('(100.0::DOUBLE * retained_earnings_change / nullif(delta_assets, 0))', 1)} AS own_share_pct FROM m),
 b AS (SELECT a.*, outside_funding - lag(outside_funding) OVER (PARTITION BY company ORDER BY period_sort) AS outside_change, g.gaap_gross_margin_pct - own_share_pct AS margin_less_share FROM a JOIN g USING (company, period, period_sort))
