@@ -69,8 +69,8 @@ def test_nothing_varies(spark):
 
 def test_deviation_beyond_64_bits_is_null(spark):
     rows = [(i, [float(2**45 * (i % 2)), float(i)]) for i in range(50)]
-    got = whitening.query(table(spark, rows)).collect()
-    assert len(got) == 100 and all(r["deviation"] is None for r in got)
+    got = whitening.query(table(spark, rows)).collect()  # the second entry's deviation is nothing beside the first's
+    assert len(got) == 50 and all(r["deviation"] is None for r in got)
 
 
 def graded(rng, d):

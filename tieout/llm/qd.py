@@ -40,6 +40,8 @@ def bidiagonalise(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _dqds_step(q: np.ndarray, e: np.ndarray, shift: float) -> tuple[np.ndarray, np.ndarray, float]:
     """One transform by a shift; the least pivot is negative where the shift is too large."""
     new_q, new_e, d = np.empty_like(q), np.empty_like(e), q[0] - shift
+    if d < 0:
+        return new_q, new_e, -1.0
     least = d
     for k in range(len(e)):
         new_q[k] = d + e[k]
@@ -128,8 +130,8 @@ def twisted_vector(diagonal: np.ndarray, above: np.ndarray, value: float) -> np.
     return z / np.linalg.norm(z)
 
 
-def _refined(t: np.ndarray, values: np.ndarray, start: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values and orthonormal vectors of a cluster, by inverse iteration on its space, apart from the vectors of others."""
+def _refined(t: np.ndarray, values: np.ndarray, start: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Orthonormal vectors of a cluster of values, by inverse iteration on its space, apart from the vectors of others."""
     x, scale = start + np.random.default_rng(0).standard_normal(start.shape) * 1e-3, max(abs(values).max(), EPS * np.abs(t).max())
     for _ in range(4):
         x -= others @ (others.T @ x)
@@ -137,8 +139,7 @@ def _refined(t: np.ndarray, values: np.ndarray, start: np.ndarray, others: np.nd
         x = np.linalg.solve(t - (values.mean() + scale * 16 * EPS) * np.eye(len(t)), x)
     x -= others @ (others.T @ x)
     x, _ = np.linalg.qr(x)
-    own, turned = np.linalg.eigh(x.T @ t @ x)
-    return own[::-1], x @ turned[:, ::-1]
+    return x @ np.linalg.eigh(x.T @ t @ x)[1][:, ::-1]
 
 
 def eigen_of_gram(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +159,7 @@ def eigen_of_gram(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = np.column_stack([twisted_vector(diagonal, above, x) for x in values[begin:k]])
         done = vectors[:, :begin]
         if k - begin > 1:
-            values[begin:k], own = _refined(t, values[begin:k], own, done)
+            own = _refined(t, values[begin:k], own, done)
         vectors[:, begin:k] = own
         begin = k
     return values * size * size, v @ vectors
