@@ -302,7 +302,7 @@ def q49_all_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.run_checks(identity_items(spark, sf_dir), COMPANY, "statement", skipped=True).where("passed is null").select(*COMPANY, "name", "period")
 
 
-#: (name, left-hand side, right-hand side) over the keys; k_ is of the period before.
+# Fixed values: (name, left-hand side, right-hand side) over the keys; k_ is of the period before.
 IDENTITY_SIDES = [
     ("balance_sheet_balances", "total_assets", "total_liabilities + total_stockholders_equity"),
     ("assets_equal_stated_total", "total_liabilities_and_equity", "total_assets"),
@@ -320,6 +320,7 @@ IDENTITY_SIDES = [
     ("clean_surplus", "accumulated_deficit - accumulated_deficit_", "net_income_loss"),
     ("delta_identity", "total_assets - total_assets_", "(total_liabilities - total_liabilities_) + (total_stockholders_equity - total_stockholders_equity_)"),
 ]
+# End of fixed values.
 _MOVED = ("accumulated_deficit", "total_assets", "total_liabilities", "total_stockholders_equity")
 IDENTITY_BASE = (
     f"WITH w AS ({tables.duck(IDENTITY_SQL)}), v AS (SELECT company, period, period_sort, row_number() OVER t AS nth, "
