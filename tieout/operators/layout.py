@@ -1,6 +1,7 @@
 """Positioned words to raw rows, page by page: rows, period heading, columns, wrapped labels, headings.
 
-All work is by (doc_id, page), so pages spread over the cluster; but for the rows' tops it is windows and higher-order functions.
+All work is by (doc_id, page), so pages spread over the cluster; but for the rows' tops and the headings above them it is windows and
+higher-order functions.
 """
 
 from __future__ import annotations
@@ -158,25 +159,39 @@ def labelled(all_lines: DataFrame, strict: bool) -> DataFrame:
     return all_lines.where(F.when(lost, F.raise_error(message).cast("boolean")).otherwise(F.col("label") != ""))
 
 
+def _path_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come page by page, from top to bottom; what stands above goes on from batch to batch."""
+    at, above, path = None, [], []
+    for batch in batches:
+        paths = []
+        for *page, role, x0, label in zip(*[batch.column(c).to_pylist() for c in (*PAGE, "role", "x0", "label")]):
+            if page != at:
+                at, above, path = page, [], []
+            if role == "heading":
+                while above and (x0 is None or above[-1][0] is None or above[-1][0] >= x0):
+                    above.pop()
+                above.append((x0, label))
+                path = [text for _, text in above]
+            paths.append(path)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.list_(pa.string()))], [*batch.schema.names, "section_path"])
+
+
 def roles(known: DataFrame) -> DataFrame:
-    """LAY8-LAY10: each labelled line's role (item, tail, heading, prefix), the item it belongs to, and the headings above."""
+    """LAY8-LAY10: each labelled line's role (item, tail, heading, prefix), the item it belongs to, and the headings above.
+
+    A page is read once from below, for the next item's edge, and once from above: its headings are kept as they stand over each other, so
+    the work grows with its lines.
+    """
     upto = Window.partitionBy(*PAGE).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*PAGE).orderBy("row_no").rowsBetween(1, Window.unboundedFollowing)
+    below = Window.partitionBy(*PAGE).orderBy(F.desc("row_no")).rowsBetween(Window.unboundedPreceding, -1)
     valued = F.col("values").isNotNull()
-    known = known.withColumn("_n", F.count(F.when(valued, 1)).over(upto)).withColumn("_next", F.first(F.when(valued, F.col("x0")), ignorenulls=True).over(after))
+    known = known.withColumn("_next", F.last(F.when(valued, F.col("x0")), ignorenulls=True).over(below)).withColumn("_n", F.count(F.when(valued, 1)).over(upto))
     heading = F.rtrim("raw_text").endswith(":") | F.coalesce(F.col("x0") < F.col("_next") - HEADING_INDENT, F.lit(False))
     role = F.when(valued, "item").when(fn.starts_lowercase(F.col("label")) & (F.col("_n") > 0), "tail").when(heading, "heading").otherwise("prefix")
-    told = known.withColumn("role", role).withColumn("row_ord", F.when(F.col("role") == "prefix", F.col("_n") + 1).otherwise(F.col("_n")).cast("int"))
-    above = F.collect_list(F.when(F.col("role") == "heading", F.struct("x0", "label"))).over(upto)
-    stack = F.aggregate(
-        above,
-        F.expr("cast(array() as array<struct<x0: double, label: string>>)"),
-        lambda s, h: F.concat(F.filter(s, lambda x: x["x0"] < h["x0"]), F.array(h)),
-    )
-    # only a heading changes what stands above, so only there the stack is worked out
-    changed = told.withColumn("_stack", F.when(F.col("role") == "heading", F.transform(stack, lambda h: h["label"])))
-    path = F.coalesce(F.last("_stack", ignorenulls=True).over(upto), F.expr("cast(array() as array<string>)"))
-    return changed.withColumn("section_path", path).drop("_n", "_next", "_stack")
+    told = known.withColumn("role", role).withColumn("row_ord", F.when(F.col("role") == "prefix", F.col("_n") + 1).otherwise(F.col("_n")).cast("int")).drop("_n", "_next")
+    # the windows have brought each page into one task
+    inorder = bounded_batches(told).sortWithinPartitions(*PAGE, "row_no")
+    return inorder.mapInArrow(_path_batches, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in told.schema], "section_path array<string>"]))
 
 
 def trailing_prefixes(told: DataFrame) -> DataFrame:
