@@ -72,9 +72,21 @@ CASES = f"(SELECT o_orderkey AS k, {CASE} AS m, {BASE} FROM {{orders}}) x"
 
 
 def one_pass(parts: Parts) -> str:
-    """(condition, number, day, cents, memo) of each kind of row, by one scan of the orders. For Spark alone."""
-    rows = [f"named_struct('ok', {where}, 'id', CAST(k * 10 + {n} AS BIGINT), 'day', {day}, 'cents', CAST({cents} AS BIGINT), 'memo', {memo})" for where, n, day, cents, memo in parts]
-    return f"SELECT r.id, r.day, r.cents, r.memo FROM (SELECT explode(filter(array({', '.join(rows)}), r -> r.ok)) AS r FROM {CASES}) y"
+    """(condition, number, day, cents, memo) of each kind of row, by one scan of the orders. Kinds of one number exclude each other, as ids
+    are told by it, so each order and number is one row at most, made only where its kind's condition holds. For Spark alone."""
+
+    holds = [f"n = {n} AND ({where})" for where, n, _, _, _ in parts]
+
+    def of_kind(values: list[str]) -> str:
+        """Each value once, the commonest for all other kinds: the JVM does not compile what is longer."""
+        rest = max(values, key=values.count)
+        cases = {v: " OR ".join(h for h, x in zip(holds, values) if x == v) for v in values if v != rest}
+        return f"CASE {' '.join(f'WHEN {c} THEN {v}' for v, c in cases.items())} ELSE {rest} END" if cases else rest
+
+    numbers = ", ".join(sorted({n for _, n, _, _, _ in parts}))
+    day, cents, memo = (of_kind([part[i] for part in parts]) for i in (2, 3, 4))
+    rows = f"SELECT k, m, cents, day, explode(array({numbers})) AS n FROM {CASES}"
+    return f"SELECT CAST(k * 10 + n AS BIGINT) AS id, {day} AS day, CAST({cents} AS BIGINT) AS cents, {memo} AS memo FROM ({rows}) y WHERE {' OR '.join(holds)}"
 
 
 def by_kind(parts: Parts) -> str:
