@@ -51,3 +51,18 @@ def test_a_page_beyond_a_million_points(spark, tmp_path, name, items):
     con.execute(f"CREATE TABLE want AS SELECT {columns} FROM ({entry.oracle_sql()[name]}) s")
     counts = [con.execute(f"SELECT count(*) FROM ({q})").fetchone()[0] for q in ("FROM got", "FROM want", "FROM got EXCEPT ALL FROM want")]
     assert counts[0] == counts[1] > items - 1 and counts[2] == 0
+
+
+def test_a_page_is_told_its_rows_as_its_words_pass(spark):
+    rng = random.Random(6)
+    pages = {(d, p): [rng.randint(0, 900) / 10 for _ in range(200)] for d in "ab" for p in (1, 2)}
+    rows = [(d, p, k, top) for (d, p), tops in pages.items() for k, top in enumerate(tops)]
+    rng.shuffle(rows)
+    words = spark.createDataFrame(rows, "doc_id string, page int, word_seq int, top double")
+    assert "collect_list" not in layout.cluster(words)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = layout.cluster(words).orderBy("doc_id", "page", "word_seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r["bucket"] for r in got] == [b for key in sorted(pages) for b in layout.buckets(pages[key], 5.0)]

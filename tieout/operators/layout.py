@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -32,39 +34,48 @@ def body_words(words: DataFrame) -> DataFrame:
     return words.where(F.col("top") < F.col("page_height") - FOOTER_BAND)
 
 
-def buckets(tops: list[float], tolerance: float) -> list[float]:
+Bands = dict[int, list[tuple[int, float]]]
+
+
+def buckets(tops: list[float], tolerance: float, bands: Bands | None = None) -> list[float]:
     """For each word in order of appearance, the top of the first row within tolerance, which may be its own.
 
-    Rows within tolerance lie in a word's band of that height or in one beside it.
+    Rows within tolerance lie in a word's band of that height or in one beside it. bands holds the rows of the words before, by number, and
+    takes those found here.
     """
-    bands: dict[int, list[tuple[int, float]]] = {}
+    bands = {} if bands is None else bands
+    rows = sum(map(len, bands.values()))
     found = []
-    for k, top in enumerate(tops):
+    for top in tops:
         band = int(top // tolerance)
         near = [(n, t) for b in range(band - 1, band + 2) for n, t in bands.get(b, ()) if abs(t - top) <= tolerance]
         if not near:
-            bands.setdefault(band, []).append((k, top))
+            bands.setdefault(band, []).append((rows, top))
+            rows += 1
         found.append(min(near)[1] if near else top)
     return found
 
 
 def _bucket_batches(batches: Iterator[pa.RecordBatch], tolerance: float) -> Iterator[pa.RecordBatch]:
+    """Words come page by page, in order of appearance; the rows of a page go on from batch to batch."""
+    at, bands = None, {}
     for batch in batches:
-        made = [buckets(tops, tolerance) for tops in batch.column("_tops").to_pylist()]
-        kept = [c for c in batch.schema.names if c != "_tops"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(made, pa.list_(pa.float64()))], [*kept, "_buckets"])
+        found = []
+        words = zip(*[batch.column(c).to_pylist() for c in (*PAGE, "top")])
+        for page, own in groupby(words, itemgetter(slice(len(PAGE)))):
+            if page != at:
+                at, bands = page, {}
+            found += buckets([top for *_, top in own], tolerance, bands)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "bucket"])
 
 
 def cluster(words: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
-    """LAY1: words with bucket, the top of the first row within tolerance in order of appearance. A page is one entry: its words
-    are gathered once and told their rows in one pass."""
+    """LAY1: words with bucket, the top of the first row within tolerance in order of appearance. A page's words are told their rows as
+    they pass by in order, in one task; only the rows found so far are kept."""
     order = ["word_seq", *[c for c in words.columns if c not in (*PAGE, "word_seq")]]
-    pages = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_words"))
-    types = {f.name: f.dataType.simpleString() for f in pages.schema}
-    placed = bounded_batches(pages).withColumn("_tops", F.transform("_words", lambda w: w["top"]))
-    made = placed.mapInArrow(partial(_bucket_batches, tolerance=tolerance), ", ".join([*[f"{c} {types[c]}" for c in pages.columns], "_buckets array<double>"]))
-    one = made.select(*PAGE, F.explode(F.arrays_zip("_words", "_buckets")).alias("_w"))
-    return one.select(*[F.col(c) if c in PAGE else F.col(f"_w._words.{c}").alias(c) for c in words.columns], F.col("_w._buckets").alias("bucket"))
+    inorder = bounded_batches(words).repartition(*PAGE).sortWithinPartitions(*PAGE, *order)
+    types = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in words.schema], "bucket double"])
+    return inorder.mapInArrow(partial(_bucket_batches, tolerance=tolerance), types)
 
 
 def page_rows(clustered: DataFrame) -> DataFrame:
