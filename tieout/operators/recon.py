@@ -32,6 +32,7 @@ NEAR_CENTS = (1, 9)
 # End of fixed values.
 #: Scenarios a person looks at.
 REVIEW = ("wide", "near")
+SIDES = ("gl", "bank")
 #: A key with more pairs of places than this is paired gap by gap, else from a sorted list; the result is the same.
 LISTED_PAIRS = 10_000
 
@@ -101,17 +102,28 @@ def _allocate_batches(batches: Iterator[pa.RecordBatch], low: int, high: int | N
         yield pa.RecordBatch.from_arrays([*taken, *[pa.array(x, pa.int64()) for x in columns]], [*keys, *ALLOCATED])
 
 
+def meeting(rows: DataFrame, keys: list[str], wanted: Column, name: str) -> DataFrame:
+    """The rows of keys for which wanted, an aggregate, holds, written once: what can match at all. Keys are told by a hash, so that only
+    numbers are counted for all rows; one that lets more through costs a little and changes nothing."""
+    told = rows.withColumn("_key", F.xxhash64(*keys))
+    found = told.groupBy("_key").agg(wanted.alias("_wanted")).where("_wanted").select("_key")
+    return settle(told.join(found, "_key", "left_semi").drop("_key"), name)
+
+
 def nearest(gl: DataFrame, bank: DataFrame, keys: list[str], at: Column, low: int, high: int | None) -> DataFrame:
     """(gl_id, bank_id) of rows with equal keys, at most one for each row, whose places differ by low to high: nearest first.
 
     A task holds places, not rows: one entry for each day, or each amount, that occurs. Where high bounds the difference, a key of many
-    places is dealt by islands of them, between which no pair crosses.
+    places is dealt by islands of them, between which no pair crosses. Keys of one side, or whose places all lie closer than low, are left
+    out beforehand.
     """
     known = all_known(keys)
     placed = lambda side: side.select("id", *keys, at.cast("long").alias("at")).where(known & F.col("at").isNotNull())
-    sides = {"gl": placed(gl), "bank": placed(bank)}
-    rows = reduce(DataFrame.unionByName, [x.drop("id").withColumn("side", F.lit(s)) for s, x in sides.items()])
-    places = settle(rows.groupBy(*keys, "at").agg(*[F.count_if(F.col("side") == s).alias(s) for s in sides]), "recon_all_places")
+    marked = reduce(DataFrame.unionByName, [placed(x).withColumn("side", F.lit(s)) for s, x in zip(SIDES, (gl, bank))])
+    apart = F.coalesce(F.try_subtract(F.max("at"), F.min("at")) >= low, F.lit(True))
+    rows = meeting(marked, keys, reduce(Column.__and__, [F.count_if(F.col("side") == s) > 0 for s in SIDES], apart), "recon_meeting")
+    sides = {s: rows.where(F.col("side") == s).drop("side") for s in SIDES}
+    places = settle(rows.groupBy(*keys, "at").agg(*[F.count_if(F.col("side") == s).alias(s) for s in SIDES]), "recon_all_places")
     both = dealt(places, keys, high).groupBy(*keys, "island").agg(F.collect_list(F.struct("at", "gl", "bank")).alias("places"), F.sum("gl").alias("_gl"), F.sum("bank").alias("_bank"))
     apart = both.where(f"_gl > 0 and _bank > 0 and size(places) > {int(low > 0)}").drop("_gl", "_bank", "island")
     types = {f.name: f.dataType.simpleString() for f in placed(gl).schema}
@@ -179,7 +191,6 @@ PAIRED: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "similar": similar,
     "similar_date": similar_shifted,
 }
-SIDES = ("gl", "bank")
 
 
 class _Left:
