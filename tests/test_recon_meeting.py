@@ -32,3 +32,10 @@ def test_keys_of_any_span_meet(spark):
     gl = spark.createDataFrame([(1, DAY, -(2**62) - 9, "far"), (2, DAY, 5, "far")], SIDE)
     bank = spark.createDataFrame([(1, DAY, 2**62 + 9, "far"), (2, DAY, 8, "far"), (3, DAY, 8, None)], SIDE)
     assert [tuple(r) for r in recon.near(gl, bank).collect()] == [(2, 2)]
+
+
+def test_groups_are_summed_where_they_meet(spark, monkeypatch):
+    many = spark.createDataFrame([(i, DAY, 100, f"m{i // 2}") for i in range(50)] + [(60, DAY, 1, None), (61, DAY, 2, None)], SIDE)
+    one = spark.createDataFrame([(1, DAY, 200, "m3"), (2, DAY, 100, "alone"), (3, DAY, 3, None)], SIDE)
+    pairs, sizes = written(monkeypatch, lambda: recon.groups_to_one(many, one))
+    assert pairs == [(6, 1), (7, 1)] and sizes["recon_meeting"] == 3

@@ -178,7 +178,11 @@ def _summed(many: DataFrame, one: DataFrame) -> DataFrame:
 
 def groups_to_one(many: DataFrame, one: DataFrame) -> DataFrame:
     """Sets 6 and 7: (many_id, one_id) of groups of one day and memo that sum to a row of the other side, as a whole or else by
-    disjoint parts of them."""
+    disjoint parts of them. Groups of one row, or without a row of the other side, are left out beforehand."""
+    marked = reduce(DataFrame.unionByName, [x.select(F.lit(s).alias("side"), "id", "day", "cents", "memo") for s, x in (("many", many), ("one", one))])
+    of = lambda s: F.count_if(F.col("side") == s)
+    rows = meeting(marked.where(all_known(["day", "memo"])), ["day", "memo"], (of("many") > 1) & (of("one") > 0), "recon_meeting")
+    many, one = (rows.where(F.col("side") == s).drop("side") for s in ("many", "one"))
     whole = settle(_summed(many, one), "recon_groups")
     return many.join(whole, ["day", "memo"]).select(F.col("id").alias("many_id"), "one_id").unionByName(split_groups(many, one, whole))
 
