@@ -101,3 +101,17 @@ def test_long_chains_reach_their_last(spark):
     chain = [f"w{i}" for i in range(23)]
     forms = spark.createDataFrame(list(zip(chain, chain[1:])), "word string, form string")
     assert {(r["word"], r["root"]) for r in spelling.roots(forms).collect()} == {(w, chain[-1]) for w in chain[:-1]}
+
+
+def test_nothing_is_broadcast_however_small_spark_sizes_it(spark, monkeypatch):
+    """Signatures are sized as the words they are made of; 0.5 GB of documents did not fit the driver so."""
+    plans = []
+
+    def write_table(df, name, own=spelling.write_table):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(df, name)
+
+    monkeypatch.setattr(spelling, "write_table", write_table)
+    made = spelling.query(spark.createDataFrame(texts(3), "doc_id long, text string"))
+    plans.append(made._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 6 and not any("Broadcast" in p for p in plans)

@@ -10,6 +10,9 @@ one leaves the other. That keeps all pairs and drops most anagrams. Signatures o
 signature has more than MOST_IN_BUCKET words, its words meet through the strings that deleting one letter leaves, which only near
 words and few others share, so no bucket lists the square of its size.
 
+All joins are merge joins at every size: Spark sizes what signatures make by the words they are made of, and written tables by their
+compressed files, far too low for a broadcast.
+
 Words are counted over whole texts. Null texts have no words, a null doc_id stands as an empty string; repeated rows count each time;
 a text of one huge run is one word. Extra columns are not read; an empty table gives an empty one.
 """
@@ -84,7 +87,7 @@ def _keyed(batches: Iterator[pa.RecordBatch], keys, half: int) -> Iterator[pa.Re
 def _pairs(keyed: DataFrame) -> DataFrame:
     """Verified pairs of words that share a signature."""
     a, b = (keyed.select("signature", F.col("word").alias(x), F.col("n").alias(f"{x}_n")) for x in "ab")
-    return a.join(b, (a["signature"] == b["signature"]) & (F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1)).select("a", "a_n", "b", "b_n")
+    return a.join(b.hint("merge"), (a["signature"] == b["signature"]) & (F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1)).select("a", "a_n", "b", "b_n")
 
 
 def near_pairs(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
@@ -93,7 +96,7 @@ def near_pairs(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
     ddl = "signature long, word string, n long"
     keyed = bounded_batches(words).mapInArrow(partial(_keyed, keys=signatures, half=half), ddl)
     sizes = keyed.groupBy("signature").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = write_table(keyed.join(sizes, "signature"), "spelling_signatures")
+    shared = write_table(keyed.join(sizes.hint("merge"), "signature"), "spelling_signatures")
     small = shared.where(F.col("size") <= MOST_IN_BUCKET)
     large = shared.where(F.col("size") > MOST_IN_BUCKET).groupBy("word", "n").agg(F.lit(0)).select("word", "n")
     rest = write_table(large.mapInArrow(partial(_keyed, keys=left_by_deletion, half=half), ddl), "spelling_deletions")
@@ -108,7 +111,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = write_table(forms.select("word", F.col("form").alias("root")), "spelling_roots")
     while True:
         on = now.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        joined = now.join(on, "root", "left")
+        joined = now.join(on.hint("merge"), "root", "left")
         later = write_table(joined.select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")), "spelling_roots")
         discard(now)
         now = later
@@ -122,13 +125,13 @@ def group(words: DataFrame, least_length: int = LEAST_LENGTH, times: int = TIMES
     pairs = write_table(near_pairs(words, least_length), "spelling_pairs")
     both = pairs.select("a", "b", "b_n").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("a_n").alias("b_n")))
     best = both.groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("b_n")).alias("order"), F.col("b"))).alias("m"))
-    near = words.join(best, "word", "left").withColumn("fits", -F.col("m.order") >= times * F.col("n"))
+    near = words.join(best.hint("merge"), "word", "left").withColumn("fits", -F.col("m.order") >= times * F.col("n"))
     judged = write_table(
         near.select("word", F.when(F.col("fits"), F.col("m.b")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("fits"), -F.col("m.order")).alias("form_n")),
         "spelling_forms",
     )
     ends = roots(judged.where("form is not null"))
-    return judged.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return judged.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def query(docs: DataFrame) -> DataFrame:
