@@ -2,7 +2,8 @@
 
 For groups of one day and memo that as a whole sum to no row of the other side, because two batches share a short memo or a row
 is left over. Totals are served in order of id, each by the fewest rows that sum to it, two at least; of as few, by those first in
-order of id. Rows serve one total at most. The sums of either half of a group are listed, so a group has a stated bound.
+order of id. Rows serve one total at most. A group may have any number of rows and totals: of few rows the sums of either half are
+listed, more rows go to fewest.py, with the same result. A group is one entry of a task.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tieout.operators.fewest import fewest
 from tieout.session import bounded_batches
 
-#: Rows of a group, and totals for it: each half has 4,096 sums at most. Larger groups are matched as a whole only.
-MOST_ROWS, MOST_TOTALS = 24, 24
+#: Up to so many rows the sums of either half, 4,096 at most, are simply listed. The result does not depend on it.
+LISTED_ROWS = 24
+TASKS_A_CORE = 4
 GROUP = ["day", "memo"]
 
 Row = tuple[int, int]
@@ -25,6 +28,9 @@ Row = tuple[int, int]
 
 def best_subset(rows: list[Row], total: int) -> tuple[int, ...] | None:
     """Ids of the rows (id, cents), in order of id, that sum to total: the fewest, two at least, and of those the first."""
+    if len(rows) > LISTED_ROWS:
+        found = fewest([c for _, c in rows], total)
+        return found and tuple(rows[i][0] for i in found)
     half = len(rows) // 2
 
     def listed(part: list[Row]) -> dict[int, list[tuple[int, tuple[int, ...]]]]:
@@ -47,15 +53,17 @@ def served(rows: list[Row], totals: list[Row]) -> Iterator[tuple[int, int]]:
     left = sorted(rows)
     for total_id, total in sorted(totals):
         if chosen := best_subset(left, total):
-            left = [r for r in left if r[0] not in chosen]
+            gone = set(chosen)
+            left = [r for r in left if r[0] not in gone]
             yield from ((i, total_id) for i in chosen)
 
 
 def _served_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        groups = zip(batch.column("rows").to_pylist(), batch.column("totals").to_pylist())
-        pair = lambda x: [(r["id"], r["cents"]) for r in x]
-        made = [x for rows, totals in groups for x in served(pair(rows), pair(totals))]
+        made = []
+        for k in range(len(batch)):  # a group after the other, by columns: groups may be large
+            own = [batch.column(c)[k].values for c in ("rows", "totals")]
+            made += served(*[list(zip(*[x.field(f).to_pylist() for f in ("id", "cents")])) for x in own])
         many, one = zip(*made) if made else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(many, pa.int64()), pa.array(one, pa.int64())], ["many_id", "one_id"])
 
@@ -63,11 +71,11 @@ def _served_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def split_groups(many: DataFrame, one: DataFrame, whole: DataFrame) -> DataFrame:
     """(many_id, one_id) of groups that have totals on the other side, but for those in whole (day, memo)."""
 
-    def small(side: DataFrame, least: int, most: int) -> DataFrame:
-        return side.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(least, most)).select(*GROUP)
-
-    # sizes are known before any list is made
-    wanted = small(many, 3, MOST_ROWS).join(small(one, 1, MOST_TOTALS), GROUP).join(whole.select(*GROUP), GROUP, "left_anti")
+    # a part of two rows is the whole
+    enough = many.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).where("n > 2").select(*GROUP)
+    wanted = enough.join(one.select(*GROUP).distinct(), GROUP).join(whole.select(*GROUP), GROUP, "left_anti")
     lists = lambda side, name: side.where("cents is not null").join(wanted, GROUP, "left_semi").groupBy(*GROUP).agg(F.collect_list(F.struct("id", "cents")).alias(name))
-    both = lists(many, "rows").join(lists(one, "totals"), GROUP).select("rows", "totals")
+    # few bytes may be much work: the groups are dealt to all cores, whatever their size
+    tasks = TASKS_A_CORE * many.sparkSession.sparkContext.defaultParallelism
+    both = lists(many, "rows").join(lists(one, "totals"), GROUP).repartition(tasks, *GROUP).select("rows", "totals")
     return bounded_batches(both).mapInArrow(_served_batches, "many_id long, one_id long")
