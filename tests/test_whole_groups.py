@@ -65,9 +65,29 @@ def test_more_rows_and_totals_than_were_split(spark):
     assert {found["gl", j] for _, j in want} == {("many_bank", j) for _, j in want} and found["bank", 29] == ("unmatched", None)
 
 
-def test_the_listed_rows_make_no_difference(monkeypatch):
+def test_no_setting_makes_a_difference(monkeypatch):
+    """Pairs are found in order of id, rows too large for a total left out, ids twice taken together."""
     rng = random.Random(8)
-    groups = [([(i, rng.randint(-3, 30)) for i in rng.sample(range(90), 20)], [(j, rng.randint(0, 80)) for j in range(6)]) for _ in range(30)]
-    before = [list(subsets.served(*x)) for x in groups]
-    monkeypatch.setattr(subsets, "LISTED_ROWS", 0)
-    assert [list(subsets.served(*x)) for x in groups] == before and sum(map(len, before)) > 100
+    ids = lambda n: rng.sample(range(90), n) if n > 8 else [rng.randrange(6) for _ in range(n)]
+    groups = [([(i, rng.randint(least, 30)) for i in ids(n)], [(j, rng.randint(0, 80)) for j in range(6)]) for n in (6, 12, 20) for least in (-3, 0, 3) for _ in range(9)]
+
+    def plainly(rows, totals):
+        left = sorted(rows)
+        for total_id, total in sorted(totals):
+            if found := plain([c for _, c in left], total):
+                gone = {left[at][0] for at in found}
+                yield from [(left[at][0], total_id) for at in found]
+                left = [r for r in left if r[0] not in gone]
+
+    want = [list(plainly(*x)) for x in groups]
+    for listed, passed_by in ((24, 1000), (0, 1000), (0, 1), (24, 1)):
+        monkeypatch.setattr(subsets, "LISTED_ROWS", listed)
+        monkeypatch.setattr(subsets, "PASSED_BY", passed_by)
+        assert [list(subsets.served(*x)) for x in groups] == want
+    assert sum(map(len, want)) > 100
+
+
+def test_totals_that_a_large_group_does_not_hold_cost_little():
+    """Twenty thousand rows, as many totals below their two least."""
+    rows = [(i, 1000 + i % 500) for i in range(20_000)]
+    assert list(subsets.served(rows, [(j, 1999 - j % 900) for j in range(20_000)] + [(90_000, 2001)])) == [(0, 90_000), (1, 90_000)]

@@ -8,6 +8,7 @@ listed, more rows go to fewest.py, with the same result. A group is one entry of
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,6 +21,8 @@ from tieout.session import bounded_batches
 
 #: Up to so many rows the sums of either half, 4,096 at most, are simply listed. The result does not depend on it.
 LISTED_ROWS = 24
+#: Of more rows a pair is first looked for in order of id. The result does not depend on it.
+PASSED_BY = 1000
 TASKS_A_CORE = 4
 GROUP = ["day", "memo"]
 
@@ -48,14 +51,59 @@ def best_subset(rows: list[Row], total: int) -> tuple[int, ...] | None:
     return min(found)[1] if found else None
 
 
+class _Left:
+    """The rows of a group that no total has taken, by place in order of id, in order of amount, and the places of each amount."""
+
+    def __init__(self, rows: list[Row]):
+        self.rows = rows
+        self.cents = {at: c for at, (_, c) in enumerate(rows)}
+        self.order = sorted((c, at) for at, c in self.cents.items())
+        self.places: dict[int, list[int]] = {}
+        for at in reversed(self.cents):
+            self.places.setdefault(self.cents[at], []).append(at)
+
+    def _other(self, cents: int, at: int) -> int | None:
+        places = self.places.get(cents, [])
+        while places and places[-1] not in self.cents:
+            places.pop()
+        return next((x for x in reversed(places) if x != at and x in self.cents), None)
+
+    def _pair(self, rows: dict[int, int], total: int) -> tuple[int, int] | None:
+        """The first two rows that sum to total: the first row that has another, which then comes after it."""
+        return next(((at, other) for at, c in rows.items() if (other := self._other(total - c, at)) is not None), None)
+
+    def best(self, total: int) -> tuple[int, ...] | None:
+        """The places of best_subset. Where no row is negative, rows larger than the total less the least row are not looked at."""
+        least = self.order[0][0] if self.order else 0
+        n = bisect_right(self.order, (total - least, len(self.rows))) if least >= 0 else len(self.order)
+        if n < 2:
+            return None
+        # of many rows some of the first have another
+        if n > PASSED_BY and (found := self._pair(self.cents, total)):
+            return found
+        few = dict(sorted((at, c) for c, at in self.order[:n]))
+        return self._pair(few, total) or best_subset(list(few.items()), total)
+
+    def take(self, chosen: tuple[int, ...]) -> None:
+        """Without these rows, and any of the same ids."""
+        for at in chosen:
+            for step in (1, -1):
+                x = at
+                while 0 <= x < len(self.rows) and self.rows[x][0] == self.rows[at][0]:
+                    if x in self.cents:
+                        del self.order[bisect_left(self.order, (self.cents.pop(x), x))]
+                    x += step
+        if 2 * len(self.cents) < len(self.rows):  # what has gone is not passed by again
+            self.__init__([self.rows[at] for at in self.cents])
+
+
 def served(rows: list[Row], totals: list[Row]) -> Iterator[tuple[int, int]]:
     """(row id, total id)."""
-    left = sorted(rows)
+    left = _Left(sorted(rows))
     for total_id, total in sorted(totals):
-        if chosen := best_subset(left, total):
-            gone = set(chosen)
-            left = [r for r in left if r[0] not in gone]
-            yield from ((i, total_id) for i in chosen)
+        if chosen := left.best(total):
+            yield from [(left.rows[at][0], total_id) for at in chosen]
+            left.take(chosen)
 
 
 def _served_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
